@@ -56,8 +56,9 @@ def targets(stats: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), share: float
     after = by.rowsBetween(0, W.unboundedFollowing)
     level = (F.lit(share) * F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)
     capped = capped.withColumn("_level", level)
-    water = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(W.partitionBy())
-    return capped.select("source", "source_size", "n_docs", F.least(F.col("_cap"), F.coalesce(water, F.col("_ratio")) * F.col("_w")).alias("target"))
+    # the level rises while sources below it are capped and falls afterwards
+    water = F.max("_level").over(W.partitionBy())
+    return capped.select("source", "source_size", "n_docs", F.least(F.col("_cap"), water * F.col("_w")).alias("target"))
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
@@ -127,7 +128,7 @@ c as (select *, cast([3, 1, 2][i % 3 + 1] as double) as wt, cast(2 as double) *
 r as (select *, cap / wt as ratio from c),
 v as (select *, (cast(1.5 as double) * (select sum(source_size) from s)::bigint - coalesce(sum(cap) over (order by ratio, i rows between unbounded preceding and 1 preceding), cast(0 as double)))
   / sum(wt) over (order by ratio, i rows between current row and unbounded following) as level from r),
-t as (select source, source_size, least(cap, coalesce((select min(level) from v where level <= ratio), ratio) * wt) as target from v),
+t as (select source, source_size, least(cap, (select max(level) from v) * wt) as target from v),
 e as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from t),
 p as (select d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as rest,
   sum(d.size) over (partition by d.source order by -ln(u) / w, doc_id rows between unbounded preceding and current row) - d.size as before
