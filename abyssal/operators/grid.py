@@ -28,7 +28,7 @@ class Grid:
 
 def axis_values(cube: DataFrame, dims: tuple[str, ...] = ("i", "j", "k")) -> DataFrame:
     """(dim, idx, coord, next_coord): the distinct values of each axis in order."""
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("coord")) for d in dims])).alias("a")
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("coord")) for d in dims])).alias("a")
     values = cube.select(each).select("a.dim", "a.coord").distinct()
     by = W.partitionBy("dim").orderBy("coord")
     return values.select("dim", (F.row_number().over(by) - 1).alias("idx"), "coord", F.lead("coord").over(by).alias("next_coord"))
