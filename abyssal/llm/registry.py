@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abyssal.llm import byte_bpe, fingerprints, jaccard_join, line_dedup, mixing, quality, sharding, url_filter
+from abyssal.llm import bm25, byte_bpe, fingerprints, jaccard_join, line_dedup, mixing, passages, quality, sharding, url_filter
 from abyssal.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op2_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 50 == 0), k=10)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -26,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rule_table(spark, url_filter.RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -48,7 +57,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op3_ngram_jaccard, op4_mixing, op6_url_filter, op7_sharding, op8_line_dedup, op9_quality, op10_fingerprints]
+    own = [op1_byte_bpe, op2_bm25, op3_ngram_jaccard, op4_mixing, op5_substring_dedup, op6_url_filter, op7_sharding, op8_line_dedup, op9_quality, op10_fingerprints]
     return {f.__name__: f for f in own}
 
 
