@@ -11,7 +11,7 @@ def read_grids(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\r?\n").alias("l"))
     head = lambda i: F.element_at(F.split(F.trim(F.col("l")[i]), r"\s+"), 2).cast("double")
     files = files.select("path", *[head(i).alias(n) for i, n in enumerate(("ncols", "nrows", "xll", "yll", "cell", "nodata"))], F.slice("l", 7, 1_000_000_000).alias("body"))
-    rows = files.select("*", F.posexplode("body").alias("row", "line")).drop("body")
+    rows = files.select("*", F.posexplode("body").alias("row", "line")).drop("body").where(F.trim("line") != "")
     cells = rows.select("*", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v"))
     z = F.col("v").cast("double")
     half = F.col("cell") / 2
