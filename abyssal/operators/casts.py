@@ -18,7 +18,7 @@ def parse(files: DataFrame) -> DataFrame:
     Prof-Flag ends the header and END the levels. Casts of a file are numbered by a running sum over its lines.
     """
     lines = files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("no", "line"))
-    f = F.transform(F.split("line", ","), F.trim)
+    f = F.transform(F.split("line", ","), lambda x: F.trim(x))
     order = W.partitionBy("path").orderBy("no")
     lines = lines.withColumns({"f": f, "cast_no": F.sum(F.startswith(F.col("line"), F.lit("#--")).cast("int")).over(order)}).where("cast_no > 0")
     whole = W.partitionBy("path", "cast_no")
