@@ -12,11 +12,12 @@ at least p - d, for p cells that are not empty and d tokens of difference.
 Candidates. Cells are shuffled packed, in buckets by cell hash, and grouped in numpy. A cell of up to ``light`` classes
 is a light group. A cell of more is heavy (common passages, or a large group of copies); map tasks split off its surplus
 before the shuffle. A class with fewer heavy cells than p - d shares a light one with every partner, so heavy cells
-matter only between the classes that have more (saturated ones). All groups are first compared as stars to their least
+matter only between the classes that have more (saturated ones), and of those only the rarest h - (p - d - 1) of h, for
+all similar pairs share a cell among the first d+1 in the order of light cells, then heavy ones by count. All groups are first compared as stars to their least
 class; after components are known, only members outside a group's main component are compared with the rest. Thus every
 pair that shares a deciding cell is compared or already connected, and no group is expanded into all its pairs.
 
-Verification. Sizes, then a 1024-bit parity sketch, whose Hamming distance also bounds the symmetric difference from
+Verification. Sizes, then parity sketches (1,024 bits, and 16,384 for large sets), whose Hamming distance also bounds the symmetric difference from
 below, rule out most candidates; the rest are compared exactly, from the shingles of the whole texts.
 
 Shingles, sets and cells are compared by 64-bit hashes. N leaves a set fewer than d+1 non-empty cells with a probability
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abyssal.llm import textkit
@@ -45,6 +47,9 @@ from abyssal.llm.components import components
 from abyssal.llm.textkit import U64, mix
 
 _SKETCH_BITS = 1024
+#: Sets larger than this have a second sketch of so many bits, as the first one fills up.
+_WIDE_FROM, _WIDE_BITS = 1000, 16384
+_PACK = 512
 _NO_ID = -(1 << 63)
 _CELL = U64(0x9E6C63D0876A9A47)
 _CLASS = U64(0x3C79AC492BA7B653)
@@ -117,8 +122,8 @@ def filled(s: np.ndarray, band: int, n_cells: int) -> int:
     return int(np.count_nonzero(np.bincount(((dealt >> U64(32)) * U64(n_cells) >> U64(32)).astype(np.int64))))
 
 
-def parity_sketch(s: np.ndarray) -> bytes:
-    bits = np.bincount((mix(s + _CELL) >> U64(54)).astype(np.int64), minlength=_SKETCH_BITS) & 1
+def parity_sketch(s: np.ndarray, bits: int = _SKETCH_BITS) -> bytes:
+    bits = np.bincount((mix(s + _CELL) >> U64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -126,14 +131,15 @@ def _profile(k: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textkit.buffers(batch.column(2))
-            n, cls, slack, sketch = [], [], [], []
+            n, cls, slack, sketch, wide = [], [], [], [], []
             for a, b in textkit.steps(offsets):
                 for s in sets_of(data, offsets[a : b + 1], k):
                     n.append(len(s))
                     cls.append(class_of(s) if len(s) else None)
                     slack.append(min((filled(s, g, bands.cells(g)) - d - 1 for g, d in bands.roles(len(s))), default=0) if len(s) else None)
                     sketch.append(parity_sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(slack, pa.int64()), pa.array(sketch, pa.binary())], names=["id", "th", "n", "cls", "slack", "sketch"])
+                    wide.append(parity_sketch(s, _WIDE_BITS) if len(s) > _WIDE_FROM else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(slack, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary())], names=["id", "th", "n", "cls", "slack", "sketch", "wide"])
 
     return run
 
@@ -143,10 +149,18 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(x)]]))
 
 
-def _cells(k: int, bands: Bands, buckets: int, light: int, chunk: int = 2_000_000):
+def _packs(cells: np.ndarray, cls: np.ndarray, most: int = 128) -> tuple[pa.Array, pa.Array]:
+    """Rows (cell, up to ``most`` of its classes) from sorted cells."""
+    starts, sizes = _runs(cells)
+    cuts = np.concatenate([np.arange(a, a + n, most) for a, n in zip(starts.tolist(), sizes.tolist())]) if len(starts) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(np.concatenate([cuts, [len(cells)]]).astype(np.int32), cls)
+    return pa.array(cells[cuts].view(np.int64)), lists
+
+
+def _cells(k: int, bands: Bands, buckets: int, light: int, chunk: int = 1_000_000):
     """Map side: packed (bucket, classes, counts, cell hashes), and rows of cells that are heavy within one chunk."""
     names = ["bucket", "cls", "counts", "cells", "heavy_cell", "heavy_cls"]
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
     def flush(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         cells = np.concatenate([x for _, x in held])
@@ -158,7 +172,9 @@ def _cells(k: int, bands: Bands, buckets: int, light: int, chunk: int = 2_000_00
         surplus = np.zeros(len(cells), bool)
         surplus[order] = rank > light  # light + 1 of them stay, and show the cell to be heavy
         if surplus.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(surplus.sum()), t) for t in types[:4]] + [pa.array(cells[surplus].view(np.int64)), pa.array(classes[owner[surplus]])], names=names)
+            more = order[surplus[order]]
+            cell, lists = _packs(cells[more], classes[owner[more]])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(cell), t) for t in types[:4]] + [cell, lists], names=names)
             cells, owner = cells[~surplus], owner[~surplus]
         bucket = (cells >> U64(32)) * U64(buckets) >> U64(32)
         order = np.argsort(bucket, kind="stable")
@@ -200,11 +216,12 @@ def _cells(k: int, bands: Bands, buckets: int, light: int, chunk: int = 2_000_00
 
 def _groups(light: int, most: int = 6_000_000):
     """Reduce side: light groups as sorted members, heavy cells as rows. A task holds its own buckets' cells."""
-    names, types = ["members", "heavy_cell", "heavy_cls"], [pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    names, types = ["members", "heavy_cell", "heavy_cls"], [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
 
-    def emit(members: list[np.ndarray], heavy: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    def emit(members: list[np.ndarray], cells: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, members)]).astype(np.int32), np.concatenate(members) if members else np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([lists, pa.nulls(len(heavy), types[0])]), pa.concat_arrays([pa.nulls(len(members), types[1]), pa.array(heavy)]), pa.concat_arrays([pa.nulls(len(members), types[2]), pa.array(cls)])], names=names)
+        cell, packs = _packs(cells, cls)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ([lists, pa.nulls(len(cell), types[0])], [pa.nulls(len(members), types[1]), cell], [pa.nulls(len(members), types[2]), packs])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, cls = [], []
@@ -237,7 +254,49 @@ def _groups(light: int, most: int = 6_000_000):
                 seen.add(b)
                 members.append(x)
         heavy = np.repeat(sizes > light, sizes)
-        yield emit(members, cells[heavy].view(np.int64), cls[heavy])
+        yield emit(members, cells[heavy], cls[heavy])
+
+    return run
+
+
+def _close(num: int):
+    """Rows whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            most = (100 - num) * (batch.column(6).to_numpy() + batch.column(7).to_numpy()) // (100 + num)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U64).reshape(batch.num_rows, -1) for c in (8, 9))
+            keep = np.flatnonzero(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
+            wide = [batch.column(c).take(pa.array(keep)).to_pylist() for c in (10, 11)]
+            keep = [i for i, a, b in zip(keep.tolist(), *wide) if a is None or b is None or (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= most[i]]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in range(6)], names=batch.schema.names[:6])
+
+    return run
+
+
+def _near(num: int):
+    """Pairs of two packs that sizes and sketches allow and that are in different components."""
+
+    def unpack(column: pa.Array) -> tuple[np.ndarray, ...]:
+        flat = column.values
+        sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), U64).reshape(len(flat), _SKETCH_BITS // 64)
+        return column.offsets.to_numpy(), *(flat.field(x).to_numpy() for x in ("cls", "c", "size")), sketch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = pa.RecordBatch.from_arrays([c.take(pa.array([r])) for c in batch.columns], names=["x", "y"])
+                (_, xc, xg, xn, xs), (_, yc, yg, yn, ys) = unpack(one.column(0)), unpack(one.column(1))
+                i, j = np.nonzero((xg[:, None] != yg) & (100 * np.minimum(xn[:, None], yn) >= num * np.maximum(xn[:, None], yn)))
+                most = (100 - num) * (xn[i] + yn[j]) // (100 + num)
+                for words in (slice(0, 4), slice(4, None)):
+                    apart = np.bitwise_count(xs[i, words] ^ ys[j, words]).sum(1, dtype=np.int64)
+                    keep = apart <= most
+                    i, j, most = i[keep], j[keep], (most - apart)[keep]
+                a, b = np.minimum(xc[i], yc[j]), np.maximum(xc[i], yc[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -269,12 +328,10 @@ def _verify(num: int, k: int):
 
 def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, num: int, k: int) -> DataFrame:
     """The pairs (a, b) of classes that link. ``texts``: (id, th, text); a class is read from its least (id, th)."""
-    side = lambda x: reps.select(F.col("cls").alias(x), F.col("rep.i").alias(f"i{x}"), F.col("rep.t").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: reps.select(F.col("cls").alias(x), F.col("rep.i").alias(f"i{x}"), F.col("rep.t").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("wide").alias(f"w{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.lit(100) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-    word = lambda x, i: F.conv(F.hex(F.substring(x, 8 * i + 1, 8)), 16, -10).cast("long")
-    apart = sum((F.bit_count(word(F.col("sa"), i).bitwiseXOR(word(F.col("sb"), i))) for i in range(_SKETCH_BITS // 64)), F.lit(0))
-    both = both.where(apart * (100 + num) <= F.lit(100 - num) * (F.col("na") + F.col("nb")))
+    both = both.select("a", "b", "ia", "ta", "ib", "tb", "na", "nb", "sa", "sb", "wa", "wb").mapInArrow(_close(num), "a long, b long, ia long, ta long, ib long, tb long")
     both = materialise(both.select("a", "b", "ia", "ta", "ib", "tb"), "candidates")
     needed = materialise(both.select(F.col("ia").alias("id"), F.col("ta").alias("th")).union(both.select("ib", "tb")).distinct(), "needed")
     rows = needed.count()
@@ -295,24 +352,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     bands = Bands(percent)
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    table = materialise(rows.mapInArrow(_profile(k, bands), "id long, th long, n long, cls long, slack long, sketch binary"), "members")
+    table = materialise(rows.mapInArrow(_profile(k, bands), "id long, th long, n long, cls long, slack long, sketch binary, wide binary"), "members")
     members = table.select("id", "n", "cls")
-    reps = materialise(table.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(_NO_ID)).alias("i"), F.col("th").alias("t"))).alias("rep"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("sketch")), "classes")
+    reps = materialise(table.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(_NO_ID)).alias("i"), F.col("th").alias("t"))).alias("rep"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "classes")
     total = members.agg(F.sum("n")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, total // 4_000_000 + 1)
-    packed = rows.select("text").mapInArrow(_cells(k, bands, buckets, light), "bucket int, cls binary, counts binary, cells binary, heavy_cell long, heavy_cls long")
+    packed = rows.select("text").mapInArrow(_cells(k, bands, buckets, light), "bucket int, cls binary, counts binary, cells binary, heavy_cell long, heavy_cls array<long>")
     dealt = packed.repartition(buckets, F.coalesce("bucket", F.xxhash64("heavy_cell", "heavy_cls")))
-    found = materialise(dealt.mapInArrow(_groups_and_heavy(light), "members array<long>, heavy_cell long, heavy_cls long"), "groups")
+    found = materialise(dealt.mapInArrow(_groups_and_heavy(light), "members array<long>, heavy_cell long, heavy_cls array<long>"), "groups")
     groups = found.where("members is not null").select("members").distinct()
-    heavy = found.where("heavy_cell is not null").select(F.col("heavy_cell").alias("cell"), F.col("heavy_cls").alias("cls")).distinct()
     texts = rows.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
-    full = heavy.groupBy("cls").agg(F.count(F.lit(1)).alias("h")).join(reps.select("cls", "slack"), "cls").where("h > slack").select("cls")
-    deciding = materialise(heavy.join(full, "cls"), "deciding")
-    least = deciding.groupBy("cell").agg(F.min("cls").alias("a"))
+    # one row per saturated class: its heavy cells, rarest first, without the most common ones that it can do without
+    packs = found.where("heavy_cell is not null").select(F.col("heavy_cell").alias("cell"), F.col("heavy_cls").alias("packed"))
+    counts = packs.groupBy("cell").agg(F.sum(F.size("packed")).alias("cnt"))
+    heavy = packs.join(counts, "cell").repartition(buckets).select("cell", "cnt", F.explode("packed").alias("cls"))
+    full = heavy.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("cnt", "cell"))).alias("cells")).join(reps.select("cls", "slack"), "cls").where(F.size("cells") > F.col("slack"))
+    full = materialise(full.select("cls", F.slice("cells.cell", F.lit(1), F.size("cells") - F.greatest("slack", F.lit(0))).alias("cells"), F.aggregate("cells.cnt", F.lit(0).cast("long"), lambda t, x: t + x).alias("pop")), "deciding")
+    # stars around the member whose cells are the most common (what the others are copies of), and two others
+    deciding = full.select("cls", "pop", F.explode("cells").alias("cell"))
+    by_cell = W.partitionBy("cell")
+    seen = deciding.select("cls", F.min("cls").over(by_cell).alias("u"), F.max(F.struct("pop", "cls")).over(by_cell).alias("v"), F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("c"))).over(by_cell).alias("w"))
+    seen = seen.groupBy("cls").agg(F.collect_set("u").alias("u"), F.collect_set("v.cls").alias("v"), F.collect_set("w.c").alias("w"))
+    seen = seen.select("cls", F.explode(F.array_distinct(F.concat("u", "v", "w"))).alias("o")).where("o <> cls").select(F.least("o", "cls").alias("a"), F.greatest("o", "cls").alias("b"))
     stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, light)).alias("b"))
-    stars = stars.union(deciding.join(least, "cell").where("cls <> a").select("a", F.col("cls").alias("b"))).distinct()
-    first = _linked(stars, reps, texts, percent, k)
+    first = _linked(stars.union(seen).distinct(), reps, texts, percent, k)
     comp = components(first)
     of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
     # what the stars left open
@@ -321,12 +385,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     opened = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("m", "c"))).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     pairs = opened.select(F.posexplode("x").alias("i", "p"), "x").where("i > 0").select("p", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("q"))
     pairs = pairs.where("p.c <> q.c").select(F.col("p.m").alias("a"), F.col("q.m").alias("b"))
-    known = deciding.join(of("cls"), "cls", "left").select("cell", "cls", F.coalesce("ccls", "cls").alias("c"))
-    sizes = known.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.max(F.struct("n", "c")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    small = known.join(sizes.select("cell", F.col("big.c").alias("main")), "cell")
-    odd = small.where("c <> main").select("cell", F.col("cls").alias("x"), F.col("c").alias("cx"))
-    wide = odd.join(known.join(sizes.select("cell"), "cell", "left_semi"), "cell").where((F.col("c") != F.col("cx")))
-    pairs = pairs.union(wide.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"))).distinct()
+    # of the heavy cells with more than one component, members outside the largest one against all, in packs
+    known = full.join(of("cls"), "cls", "left").join(reps.select("cls", F.col("n").alias("size"), "sketch"), "cls")
+    known = known.select(F.explode("cells").alias("cell"), F.struct("cls", F.coalesce("ccls", "cls").alias("c"), "size", "sketch").alias("m"))
+    known = known.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("cell", "m.c")))
+    known = known.withColumns({"main": F.max(F.struct("n", "m.c")).over(by_cell), "lo": F.min("m.c").over(by_cell), "hi": F.max("m.c").over(by_cell), "all": F.count(F.lit(1)).over(by_cell)})
+    known = known.where("lo <> hi").withColumn("pack", F.pmod(F.xxhash64("m.cls"), F.ceil(F.col("all") / _PACK)))
+    packs = materialise(known.groupBy("cell", "pack").agg(F.collect_list("m").alias("y"), F.first("main.c").alias("main")), "packs")
+    odd = packs.select("cell", F.filter("y", lambda m: m["c"] != F.col("main")).alias("x")).where(F.size("x") > 0)
+    wide = odd.join(packs.select("cell", "y"), "cell").select("x", "y").mapInArrow(_near(percent), "a long, b long")
+    pairs = pairs.union(wide).distinct()
     second = _linked(pairs, reps, texts, percent, k)
     return members, first.union(second)
 
