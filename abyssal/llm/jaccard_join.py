@@ -269,9 +269,7 @@ def _close(num: int):
             most = (100 - num) * (batch.column(6).to_numpy() + batch.column(7).to_numpy()) // (100 + num)
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U64).reshape(batch.num_rows, -1) for c in (8, 9))
             keep = np.flatnonzero(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
-            wide = [batch.column(c).take(pa.array(keep)).to_pylist() for c in (10, 11)]
-            keep = [i for i, a, b in zip(keep.tolist(), *wide) if a is None or b is None or (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= most[i]]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in range(6)], names=batch.schema.names[:6])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in range(8)], names=batch.schema.names[:8])
 
     return run
 
@@ -328,10 +326,15 @@ def _verify(num: int, k: int):
 
 def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, num: int, k: int) -> DataFrame:
     """The pairs (a, b) of classes that link. ``texts``: (id, th, text); a class is read from its least (id, th)."""
-    side = lambda x: reps.select(F.col("cls").alias(x), F.col("rep.i").alias(f"i{x}"), F.col("rep.t").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("wide").alias(f"w{x}"))
+    pair = ["a", "b", "ia", "ta", "ib", "tb", "na", "nb"]
+    close = lambda df: df.select(*pair, "sa", "sb").mapInArrow(_close(num), ", ".join(f"{c} long" for c in pair))
+    side = lambda x: reps.select(F.col("cls").alias(x), F.col("rep.i").alias(f"i{x}"), F.col("rep.t").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.lit(100) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-    both = both.select("a", "b", "ia", "ta", "ib", "tb", "na", "nb", "sa", "sb", "wa", "wb").mapInArrow(_close(num), "a long, b long, ia long, ta long, ib long, tb long")
+    both = materialise(close(both.where(F.lit(100) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))), "close")
+    # the wide sketches travel only for the pairs that the narrow ones leave
+    large = F.least("na", "nb") > _WIDE_FROM
+    wide = lambda x: reps.where("wide is not null").select(F.col("cls").alias(x), F.col("wide").alias(f"s{x}"))
+    both = both.where(~large).union(close(both.where(large).join(wide("a"), "a").join(wide("b"), "b")))
     both = materialise(both.select("a", "b", "ia", "ta", "ib", "tb"), "candidates")
     needed = materialise(both.select(F.col("ia").alias("id"), F.col("ta").alias("th")).union(both.select("ib", "tb")).distinct(), "needed")
     rows = needed.count()
@@ -381,10 +384,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
     # what the stars left open
     each = groups.where(F.size("members") > 2).withColumn("g", F.xxhash64("members")).select("g", F.explode("members").alias("m"))
-    each = each.join(of("m"), "m", "left").select("g", "m", F.coalesce("cm", "m").alias("c"))
-    opened = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("m", "c"))).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    each = each.join(of("m"), "m", "left").join(reps.select(F.col("cls").alias("m"), F.col("n").alias("size")), "m").select("g", "m", F.coalesce("cm", "m").alias("c"), "size")
+    opened = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("m", "c", "size"))).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     pairs = opened.select(F.posexplode("x").alias("i", "p"), "x").where("i > 0").select("p", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("q"))
-    pairs = pairs.where("p.c <> q.c").select(F.col("p.m").alias("a"), F.col("q.m").alias("b"))
+    alike = F.lit(100) * F.least("p.size", "q.size") >= F.lit(percent) * F.greatest("p.size", "q.size")
+    pairs = pairs.where(alike & (F.col("p.c") != F.col("q.c"))).select(F.col("p.m").alias("a"), F.col("q.m").alias("b"))
     # of the heavy cells with more than one component, members outside the largest one against all, in packs
     known = full.join(of("cls"), "cls", "left").join(reps.select("cls", F.col("n").alias("size"), "sketch"), "cls")
     known = known.select(F.explode("cells").alias("cell"), F.struct("cls", F.coalesce("ccls", "cls").alias("c"), "size", "sketch").alias("m"))
