@@ -59,7 +59,7 @@ STAGES = [
     ("byte_bpe", tokenise),
 ]
 
-#: The classifier and the join are not SQL; tests hold the pipeline against a plain version.
+#: The classifier and the join are not SQL. A test compares all pairs at the near-copy stage and checks invariants of the others.
 ORACLE_SQL = None
 
 
