@@ -4,9 +4,10 @@ A document's set are its distinct k-word shingles. Documents of one set are one
 
 Sketch. Tokens of a set are dealt by their hash to N cells, and the hashes in a cell are XORed. A token in only one of
 two sets changes one cell, so the number of cells that differ is at most the symmetric difference. Sets of a and b
-tokens with similarity t or more differ in at most (1-t)/(1+t) * (a+b) tokens, which is (1-t)/t * a for the smaller and
-(1-t)/(1+t) * a for the larger set. N depends on the size band, so that cells hold few tokens; a set is sketched for its
-own band and, near the lower end, for the band below. By the pigeonhole principle two similar sets share a cell, in fact
+tokens with similarity t or more differ in at most (1-t)/(1+t) * (a+b) tokens, which is (1-t)/t * a for the smaller set.
+For the larger set of b tokens it is (1-t)/(1+t) * (b+m), m the largest size of a smaller partner. N depends on the size
+band, so that cells hold few tokens; a set is sketched for its own band and, near the lower end, for the band below, where
+m is that band's top. By the pigeonhole principle two similar sets share a cell, in fact
 at least p - d, for p cells that are not empty and d tokens of difference.
 
 Candidates. Cells are shuffled packed, in buckets by cell hash, and grouped in numpy. A cell of up to ``light`` classes
@@ -73,16 +74,15 @@ class Bands:
         top = self.top(band)
         return 0 if top <= 127 else int(top * max(0.36, 1.45 * (100 - self.num) / self.num))
 
-    def most(self, n: int, larger: bool) -> int:
-        """The largest symmetric difference to a partner: from the smaller set's size, or the larger's."""
-        return (100 - self.num) * n // (100 + self.num if larger else self.num)
-
     def roles(self, n: int) -> list[tuple[int, int]]:
-        """(band, difference bound) under which a set of n tokens is sketched."""
+        """(band, largest symmetric difference to a partner) under which a set of n tokens is sketched.
+
+        In its own band it may be the smaller set; in the band below its partners have that band's top size at most.
+        """
         band = self.of(n)
-        out = [(band, self.most(n, False))]
+        out = [(band, (100 - self.num) * n // self.num)]
         if band and self.num * n <= 100 * self.top(band - 1):
-            out.append((band - 1, self.most(n, True)))
+            out.append((band - 1, (100 - self.num) * (n + self.top(band - 1)) // (100 + self.num)))
         return out
 
 
