@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words everywhere in this subpackage.
@@ -40,6 +40,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """The row's own columns as one struct, so that no name of ours meets one of theirs."""
+    names = [c for c in df.columns if c not in but]
+    return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable by Python workers that do not see the repository on their path."""
     on_path = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]

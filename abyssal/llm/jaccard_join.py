@@ -2,27 +2,32 @@
 
 A document's set are its distinct k-word shingles. Documents of one set are one class; only classes are compared.
 
-Sketch. Tokens of a set are dealt by their hash to N cells, and the hashes in a cell are XORed. A token in only one of
-two sets changes one cell, so the number of cells that differ is at most the symmetric difference. Sets of a and b
+Sketch. Tokens of a set are dealt by their hash to N cells of 64 bits, and the hashes in a cell are XORed. A token in only
+one of two sets changes one cell, so the number of cells that differ is at most the symmetric difference. Sets of a and b
 tokens with similarity t or more differ in at most (1-t)/(1+t) * (a+b) tokens, which is (1-t)/t * a for the smaller set.
 For the larger set of b tokens it is (1-t)/(1+t) * (b+m), m the largest size of a smaller partner. N depends on the size
-band, so that cells hold few tokens; a set is sketched for its own band and, near the lower end, for the band below, where
-m is that band's top. By the pigeonhole principle two similar sets share a cell, in fact
-at least p - d, for p cells that are not empty and d tokens of difference.
+band by one rule for all sizes (``Bands.cells``); a set is sketched for its own band and, near the lower end, for the band
+below, where m is that band's top. By the pigeonhole principle two similar sets share a cell, in fact at least p - d, for
+p cells that are not empty and d tokens of difference.
 
 Candidates. Cells are shuffled packed, in buckets by cell hash, and grouped in numpy. A cell of up to ``light`` classes
 is a light group. A cell of more is heavy (common passages, or a large group of copies); map tasks split off its surplus
 before the shuffle. A class with fewer heavy cells than p - d shares a light one with every partner, so heavy cells
 matter only between the classes that have more (saturated ones), and of those only the rarest h - (p - d - 1) of h, for
-all similar pairs share a cell among the first d+1 in the order of light cells, then heavy ones by count. All groups are first compared as stars to their least
-class; after components are known, only members outside a group's main component are compared with the rest. Thus every
-pair that shares a deciding cell is compared or already connected, and no group is expanded into all its pairs.
+all similar pairs share a cell among the first d+1 in the order of light cells, then heavy ones by count.
 
-Verification. Sizes, then parity sketches (1,024 bits, and 16,384 for large sets), whose Hamming distance also bounds the symmetric difference from
-below, rule out most candidates; the rest are compared exactly, from the shingles of the whole texts.
+Stars first: each light group's members are compared with its least class, and classes of equal minimum under one of three
+hash functions with theirs, which makes a large group of copies one component. Then light groups with more than one
+component are compared across components; and saturated classes are dealt, packed, by deciding cell, where a cell of one
+component is passed over and in others what is outside the main component is compared with all, by size and sketch, in
+numpy. Thus every pair that shares a deciding cell is compared or already connected. A cell of very many saturated classes
+is cut into packs, each pair of which is a group of its own.
+
+Verification. Sizes, then parity sketches (1,024 bits, and 16,384 for large sets), whose Hamming distance also bounds the
+symmetric difference from below, rule out most candidates; the rest are compared exactly, from the shingles of the texts.
 
 Shingles, sets and cells are compared by 64-bit hashes. N leaves a set fewer than d+1 non-empty cells with a probability
-of about 1e-10 or less.
+under 1e-12.
 
 Defined results: a null or empty text, or one without words, has no shingles, is linked with nothing and is its own
 component; with fewer than k words, the whole sequence is the one shingle; doc_ids that repeat are nodes of their own
@@ -39,21 +44,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abyssal.llm import textkit
 from abyssal.llm.common import materialise, ship, small_or_plain
 from abyssal.llm.components import components
+from abyssal.llm.packing import bucket_of, dealt, gathered, runs
 from abyssal.llm.textkit import U64, mix
 
 _SKETCH_BITS = 1024
 #: Sets larger than this have a second sketch of so many bits, as the first one fills up.
 _WIDE_FROM, _WIDE_BITS = 1000, 16384
-_PACK = 512
+#: The first sketch as it travels with deciding cells, folded by XOR; a token still changes one bit of it.
+_SHORT_BITS = 256
 _NO_ID = -(1 << 63)
 _CELL = U64(0x9E6C63D0876A9A47)
 _CLASS = U64(0x3C79AC492BA7B653)
+_MULT = [U64(0x9FB21C651E98DF25), U64(0xD1B54A32D192ED03), U64(0xAEF17502108EF2D9)]
 
 
 class Bands:
@@ -61,6 +68,7 @@ class Bands:
 
     def __init__(self, num: int, ratio: float = 2.0):
         self.num, self.ratio = num, ratio
+        self._cells: dict[int, int] = {}
 
     def of(self, n: int) -> int:
         return int(math.log(n) / math.log(self.ratio) + 1e-9)
@@ -70,9 +78,20 @@ class Bands:
         return max(1, math.ceil(self.ratio ** (band + 1)) - 1)
 
     def cells(self, band: int) -> int:
-        """Cells in this band; 0: each token is a cell of its own."""
-        top = self.top(band)
-        return 0 if top <= 127 else int(top * max(0.36, 1.45 * (100 - self.num) / self.num))
+        """Cells of the band's sketches: a share of its largest size, and so many that no set leaves too few non-empty.
+
+        n tokens fill d cells or fewer of N with a probability of at most C(N, d) * (d/N)^n; N is the least for which
+        that is under 1e-12 at all sizes sketched in the band (from some size on, the share is the larger).
+        """
+        if band not in self._cells:
+            top = self.top(band)
+            least = max(1, int(top * max(0.36, 1.45 * (100 - self.num) / self.num)))
+            wants = [(n, d) for n in range(math.ceil(self.ratio**band), min(100 * top // self.num, 400) + 1) for g, d in self.roles(n) if g == band and d]
+            rare = lambda c: all(c > d and math.lgamma(c + 1) - math.lgamma(d + 1) - math.lgamma(c - d + 1) + n * math.log(d / c) < -27.6 for n, d in wants)
+            while not rare(least):
+                least = least + 1 + least // 16
+            self._cells[band] = least
+        return self._cells[band]
 
     def roles(self, n: int) -> list[tuple[int, int]]:
         """(band, largest symmetric difference to a partner) under which a set of n tokens is sketched.
@@ -104,8 +123,6 @@ def class_of(s: np.ndarray) -> int:
 def cell_hashes(s: np.ndarray, band: int, n_cells: int) -> np.ndarray:
     """Hashes of the cells that are not empty."""
     salt = mix(np.array([band + 1], U64))[0]
-    if not n_cells:
-        return mix(s ^ salt)
     dealt = mix(s + _CELL + salt)
     cell = ((dealt >> U64(32)) * U64(n_cells)) >> U64(32)
     order = np.argsort(cell, kind="stable")
@@ -114,12 +131,13 @@ def cell_hashes(s: np.ndarray, band: int, n_cells: int) -> np.ndarray:
     return mix(np.bitwise_xor.reduceat(mix(s ^ salt)[order], starts) ^ c[starts] * _CELL)
 
 
-def filled(s: np.ndarray, band: int, n_cells: int) -> int:
-    """The number of cells that are not empty."""
-    if not n_cells:
-        return len(s)
-    dealt = mix(s + _CELL + mix(np.array([band + 1], U64))[0])
-    return int(np.count_nonzero(np.bincount(((dealt >> U64(32)) * U64(n_cells) >> U64(32)).astype(np.int64))))
+def sketched(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
+    """The cells of a set under all its roles, and p - d - 1 of the role where that is least."""
+    cells, slack = [], []
+    for g, d in bands.roles(len(s)):
+        cells.append(cell_hashes(s, g, bands.cells(g)))
+        slack.append(len(cells[-1]) - d - 1)
+    return np.concatenate(cells), min(slack)
 
 
 def parity_sketch(s: np.ndarray, bits: int = _SKETCH_BITS) -> bytes:
@@ -127,69 +145,72 @@ def parity_sketch(s: np.ndarray, bits: int = _SKETCH_BITS) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def minima(s: np.ndarray) -> list[int]:
+    """The least hash of the set under each of a few functions."""
+    return [int((s * m).min().view(np.int64)) for m in _MULT]
+
+
 def _profile(k: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textkit.buffers(batch.column(2))
-            n, cls, slack, sketch, wide = [], [], [], [], []
+            n, cls, least, sketch, wide = [], [], [], [], []
             for a, b in textkit.steps(offsets):
                 for s in sets_of(data, offsets[a : b + 1], k):
                     n.append(len(s))
                     cls.append(class_of(s) if len(s) else None)
-                    slack.append(min((filled(s, g, bands.cells(g)) - d - 1 for g, d in bands.roles(len(s))), default=0) if len(s) else None)
+                    least.append(minima(s) if len(s) else None)
                     sketch.append(parity_sketch(s) if len(s) else None)
                     wide.append(parity_sketch(s, _WIDE_BITS) if len(s) > _WIDE_FROM else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(slack, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary())], names=["id", "th", "n", "cls", "slack", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary())], names=["id", "th", "n", "cls", "minima", "sketch", "wide"])
 
     return run
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return starts, np.diff(np.concatenate([starts, [len(x)]]))
+_FOUND = ["members", "heavy_cell", "heavy_cls", "heavy_slack"]
+_LONGS = pa.list_(pa.int64())
 
 
-def _packs(cells: np.ndarray, cls: np.ndarray, most: int = 128) -> tuple[pa.Array, pa.Array]:
-    """Rows (cell, up to ``most`` of its classes) from sorted cells."""
-    starts, sizes = _runs(cells)
+def _heavy(cells: np.ndarray, cls: np.ndarray, slack: np.ndarray, most: int = 128) -> list[pa.Array]:
+    """Columns (cell, up to ``most`` of its classes, their slacks) from sorted cells."""
+    starts, sizes = runs(cells)
     cuts = np.concatenate([np.arange(a, a + n, most) for a, n in zip(starts.tolist(), sizes.tolist())]) if len(starts) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(np.concatenate([cuts, [len(cells)]]).astype(np.int32), cls)
-    return pa.array(cells[cuts].view(np.int64)), lists
+    at = np.concatenate([cuts, [len(cells)]]).astype(np.int32)
+    return [pa.array(cells[cuts].view(np.int64)), pa.ListArray.from_arrays(at, cls), pa.ListArray.from_arrays(at, slack.astype(np.int64))]
 
 
 def _cells(k: int, bands: Bands, buckets: int, light: int, chunk: int = 1_000_000):
-    """Map side: packed (bucket, classes, counts, cell hashes), and rows of cells that are heavy within one chunk."""
-    names = ["bucket", "cls", "counts", "cells", "heavy_cell", "heavy_cls"]
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-
-    def flush(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        cells = np.concatenate([x for _, x in held])
-        owner = np.repeat(np.arange(len(held)), [len(x) for _, x in held])
-        classes = np.array([c for c, _ in held], np.int64)
+    """Map side: packed (bucket, classes, slacks, counts, cell hashes), and rows of cells that are heavy within one chunk."""
+    names = ["bucket", "cls", "slack", "counts", "cells", *_FOUND[1:]]
+    types = [pa.int32(), *[pa.binary()] * 4, pa.int64(), _LONGS, _LONGS]
+
+    def flush(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        cells = np.concatenate([x for _, _, x in held])
+        owner = np.repeat(np.arange(len(held)), [len(x) for _, _, x in held])
+        classes, slacks = np.array([c for c, _, _ in held], np.int64), np.array([t for _, t, _ in held], np.int32)
         order = np.argsort(cells, kind="stable")
-        starts, sizes = _runs(cells[order])
+        starts, sizes = runs(cells[order])
         rank = np.arange(len(cells)) - np.repeat(starts, sizes)
         surplus = np.zeros(len(cells), bool)
         surplus[order] = rank > light  # light + 1 of them stay, and show the cell to be heavy
         if surplus.any():
             more = order[surplus[order]]
-            cell, lists = _packs(cells[more], classes[owner[more]])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cell), t) for t in types[:4]] + [cell, lists], names=names)
+            columns = _heavy(cells[more], classes[owner[more]], slacks[owner[more]])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), t) for t in types[:5]] + columns, names=names)
             cells, owner = cells[~surplus], owner[~surplus]
-        bucket = (cells >> U64(32)) * U64(buckets) >> U64(32)
+        bucket = bucket_of(cells, buckets)
         order = np.argsort(bucket, kind="stable")
         bucket, cells, owner = bucket[order], cells[order], owner[order]
-        out: list[list] = [[], [], [], []]
-        for a, m in zip(*(x.tolist() for x in _runs(bucket))):
-            s, c = _runs(owner[a : a + m])
-            out[0].append(int(bucket[a]))
-            out[1].append(classes[owner[a : a + m][s]].tobytes())
-            out[2].append(c.astype("<u2").tobytes())
-            out[3].append(cells[a : a + m].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)] + [pa.nulls(len(out[0]), t) for t in types[4:]], names=names)
+        out: list[list] = [[] for _ in types[:5]]
+        for a, m in zip(*(x.tolist() for x in runs(bucket))):
+            s, c = runs(owner[a : a + m])
+            mine = owner[a : a + m][s]
+            for column, value in zip(out, (int(bucket[a]), classes[mine].tobytes(), slacks[mine].tobytes(), c.astype("<u2").tobytes(), cells[a : a + m].tobytes())):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)] + [pa.nulls(len(out[0]), t) for t in types[5:]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray]] = []
         seen: set[int] = set()
         total = 0
         for batch in batches:
@@ -199,9 +220,9 @@ def _cells(k: int, bands: Bands, buckets: int, light: int, chunk: int = 1_000_00
                     if not len(s) or (c := class_of(s)) in seen:
                         continue
                     seen.add(c)
-                    cells = np.concatenate([cell_hashes(s, g, bands.cells(g)) for g, _ in bands.roles(len(s))])
+                    cells, slack = sketched(s, bands)
                     for i in range(0, len(cells), 65_000):
-                        held.append((c, cells[i : i + 65_000]))
+                        held.append((c, slack, cells[i : i + 65_000]))
                     total += len(cells)
                     if total >= chunk:
                         yield from flush(held)
@@ -214,36 +235,43 @@ def _cells(k: int, bands: Bands, buckets: int, light: int, chunk: int = 1_000_00
     return run
 
 
-def _groups(light: int, most: int = 6_000_000):
+def _groups(light: int):
     """Reduce side: light groups as sorted members, heavy cells as rows. A task holds its own buckets' cells."""
-    names, types = ["members", "heavy_cell", "heavy_cls"], [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+    types = [_LONGS, pa.int64(), _LONGS, _LONGS]
 
-    def emit(members: list[np.ndarray], cells: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    def emit(members: list[np.ndarray], cells: np.ndarray, cls: np.ndarray, slack: np.ndarray) -> pa.RecordBatch:
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, members)]).astype(np.int32), np.concatenate(members) if members else np.zeros(0, np.int64))
-        cell, packs = _packs(cells, cls)
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ([lists, pa.nulls(len(cell), types[0])], [pa.nulls(len(members), types[1]), cell], [pa.nulls(len(members), types[2]), packs])], names=names)
+        columns = _heavy(cells, cls, slack)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([lists, pa.nulls(len(columns[0]), types[0])]), *[pa.concat_arrays([pa.nulls(len(members), t), c]) for t, c in zip(types[1:], columns)]], names=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, cls = [], []
+        cells, cls, slack = [], [], []
         for batch in batches:
-            for c, n, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            loose = batch.column(0).is_null()
+            if n := loose.true_count:  # heavy rows of the map side, as they are
+                rest = batch.filter(loose)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, types[0]), *[rest.column(i) for i in (5, 6, 7)]], names=_FOUND)
+                batch = batch.filter(pc.invert(loose))
+            for c, t, n, x in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                n = np.frombuffer(n, "<u2")
                 cells.append(np.frombuffer(x, U64))
-                cls.append(np.repeat(np.frombuffer(c, np.int64), np.frombuffer(n, "<u2")))
+                cls.append(np.repeat(np.frombuffer(c, np.int64), n))
+                slack.append(np.repeat(np.frombuffer(t, np.int32), n))
         if not cells:
             return
-        cells, cls = np.concatenate(cells), np.concatenate(cls)
+        cells, cls, slack = np.concatenate(cells), np.concatenate(cls), np.concatenate(slack)
         order = np.argsort(cells, kind="stable")
-        cells, cls = cells[order], cls[order]
-        starts, sizes = _runs(cells)
+        cells, cls, slack = cells[order], cls[order], slack[order]
+        starts, sizes = runs(cells)
         wide = np.repeat(sizes > 1, sizes)
-        cells, cls = cells[wide], cls[wide]
+        cells, cls, slack = cells[wide], cls[wide], slack[wide]
         order = np.lexsort((cls, cells))
-        cells, cls = cells[order], cls[order]
+        cells, cls, slack = cells[order], cls[order], slack[order]
         if not len(cells):
             return
         fresh = np.concatenate([[True], (cells[1:] != cells[:-1]) | (cls[1:] != cls[:-1])])
-        cells, cls = cells[fresh], cls[fresh]
-        starts, sizes = _runs(cells)
+        cells, cls, slack = cells[fresh], cls[fresh], slack[fresh]
+        starts, sizes = runs(cells)
         two = starts[sizes == 2]
         pairs = np.unique(np.stack([cls[two], cls[two + 1]], 1), axis=0) if len(two) else np.zeros((0, 2), np.int64)
         members = list(pairs)
@@ -254,47 +282,117 @@ def _groups(light: int, most: int = 6_000_000):
                 seen.add(b)
                 members.append(x)
         heavy = np.repeat(sizes > light, sizes)
-        yield emit(members, cells[heavy], cls[heavy])
+        yield emit(members, cells[heavy], cls[heavy], slack[heavy])
 
     return run
 
 
-def _close(num: int):
-    """Rows whose sketches allow the similarity."""
+def _turn(buckets: int):
+    """Heavy rows (cell, classes, slacks, count of the cell) dealt by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            most = (100 - num) * (batch.column(6).to_numpy() + batch.column(7).to_numpy()) // (100 + num)
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U64).reshape(batch.num_rows, -1) for c in (8, 9))
-            keep = np.flatnonzero(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in range(8)], names=batch.schema.names[:8])
+            per = pc.list_value_length(batch.column(1)).to_numpy()
+            cls, slack = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            cell, cnt = (np.repeat(batch.column(i).to_numpy(), per) for i in (0, 3))
+            yield dealt(bucket_of(mix(cls.view(U64)), buckets), [cls, cell, cnt, slack], ["cls", "cell", "cnt", "slack"])
 
     return run
 
 
-def _near(num: int):
-    """Pairs of two packs that sizes and sketches allow and that are in different components."""
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (class, deciding cells, their counts) for each saturated class: its heavy cells, rarest first, without those it can do without."""
+    cls, cell, cnt, slack = gathered(batches, [np.int64] * 4)
+    order = np.lexsort((cell, cnt, cls))
+    cls, cell, cnt, slack = cls[order], cell[order], cnt[order], slack[order]
+    if not len(cls):
+        return
+    fresh = np.concatenate([[True], (cls[1:] != cls[:-1]) | (cell[1:] != cell[:-1])])
+    cls, cell, cnt, slack = cls[fresh], cell[fresh], cnt[fresh], slack[fresh]
+    starts, sizes = runs(cls)
+    spare = slack[starts]
+    full = np.flatnonzero(sizes > spare)
+    keep = (sizes - np.maximum(spare, 0))[full]
+    at = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep) + np.repeat(starts[full], keep)
+    ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(cls[starts[full]]), pa.ListArray.from_arrays(ends, cell[at]), pa.ListArray.from_arrays(ends, cnt[at])], names=["cls", "cells", "counts"])
+
+
+def _by_cell(buckets: int, most: int):
+    """Saturated classes (class, component, size, sketch, cells, counts) dealt by deciding cell.
+
+    A cell of more than ``most`` classes is cut into packs, and each pair of packs is a group of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            per = pc.list_value_length(batch.column(4)).to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), per)
+            cell, cnt = batch.column(4).flatten().to_numpy().view(U64), batch.column(5).flatten().to_numpy()
+            cls = batch.column(0).to_numpy()
+            packs = -(-cnt // most)
+            own = (mix(cls.view(U64) ^ _CLASS)[of] >> U64(33)).astype(np.int64) % packs
+            again = np.repeat(np.arange(len(of)), packs)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(packs) - packs, packs)
+            low, high = np.minimum(own[again], other), np.maximum(own[again], other)
+            key = mix(cell[again] ^ mix((low * packs[again] + high).astype(U64)))
+            of = of[again]
+            sketch = np.bitwise_xor.reduce(np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(batch.num_rows, -1, _SHORT_BITS // 64), 1)
+            yield dealt(bucket_of(key, buckets), [key, cls[of], batch.column(1).to_numpy()[of], batch.column(2).to_numpy()[of], sketch[of]], ["key", "cls", "comp", "size", "sketch"])
+
+    return run
+
 
-    def unpack(column: pa.Array) -> tuple[np.ndarray, ...]:
-        flat = column.values
-        sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), U64).reshape(len(flat), _SKETCH_BITS // 64)
-        return column.offsets.to_numpy(), *(flat.field(x).to_numpy() for x in ("cls", "c", "size")), sketch
+def _odd(num: int):
+    """Pairs of a deciding cell's classes in different components that sizes and sketches allow: those outside the main component with all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cls, comp, size, sketch = gathered(batches, [U64, np.int64, np.int64, np.int64, (U64, _SHORT_BITS // 64)])
+        order = np.lexsort((size, key))
+        key, cls, comp, size, sketch = key[order], cls[order], comp[order], size[order], sketch[order]
+        out = []
+        for a, m in zip(*(x.tolist() for x in runs(key))):
+            c, n = comp[a : a + m], size[a : a + m]
+            kinds, counts = np.unique(c, return_counts=True)
+            if len(kinds) == 1:
+                continue
+            for i in np.flatnonzero(c != kinds[counts.argmax()]).tolist():
+                lo, hi = np.searchsorted(100 * n, num * n[i], "left"), np.searchsorted(num * n, 100 * n[i], "right")
+                j = lo + np.flatnonzero(c[lo:hi] != c[i])
+                apart = np.bitwise_count(sketch[a + j] ^ sketch[a + i]).sum(1, dtype=np.int64)
+                j = j[apart <= (100 - num) * (n[i] + n[j]) // (100 + num)]
+                if len(j):
+                    x, y = cls[a + j], cls[a + i]
+                    out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            if sum(map(len, out)) > 200_000:
+                yield _pairs(out)
+                out = []
+        if out:
+            yield _pairs(out)
+
+    return run
+
+
+def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.unique(np.concatenate(parts), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+
+def _close(num: int):
+    """Rows whose sketches allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                one = pa.RecordBatch.from_arrays([c.take(pa.array([r])) for c in batch.columns], names=["x", "y"])
-                (_, xc, xg, xn, xs), (_, yc, yg, yn, ys) = unpack(one.column(0)), unpack(one.column(1))
-                i, j = np.nonzero((xg[:, None] != yg) & (100 * np.minimum(xn[:, None], yn) >= num * np.maximum(xn[:, None], yn)))
-                most = (100 - num) * (xn[i] + yn[j]) // (100 + num)
-                for words in (slice(0, 4), slice(4, None)):
-                    apart = np.bitwise_count(xs[i, words] ^ ys[j, words]).sum(1, dtype=np.int64)
-                    keep = apart <= most
-                    i, j, most = i[keep], j[keep], (most - apart)[keep]
-                a, b = np.minimum(xc[i], yc[j]), np.maximum(xc[i], yc[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            most = (100 - num) * (batch.column(6).to_numpy() + batch.column(7).to_numpy()) // (100 + num)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U64).reshape(batch.num_rows, -1) for c in (8, 9))
+            keep = np.flatnonzero(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in range(8)], names=batch.schema.names[:8])
 
     return run
 
@@ -345,41 +443,34 @@ def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, num: int, k: in
     return materialise(full.select("a", "b", "xa", "xb").mapInArrow(_verify(num, k), "a long, b long"), "links")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, light: int = 48) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (id, n, cls), a row per row of docs; links (a, b), pairs of class ids that link.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, light: int = 48, pack: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (id, th, n, cls), a row per row of docs; links (a, b), pairs of class ids that link.
 
-    Links hold all that components need: each pair of linking classes is listed or connected through listed ones.
+    th is xxhash64 of the text. Links hold all that components need: each pair of linking classes is listed or connected
+    through listed ones.
     """
     spark = docs.sparkSession
     ship(spark)
     bands = Bands(percent)
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    table = materialise(rows.mapInArrow(_profile(k, bands), "id long, th long, n long, cls long, slack long, sketch binary, wide binary"), "members")
-    members = table.select("id", "n", "cls")
-    reps = materialise(table.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(_NO_ID)).alias("i"), F.col("th").alias("t"))).alias("rep"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "classes")
+    table = materialise(rows.mapInArrow(_profile(k, bands), "id long, th long, n long, cls long, minima array<long>, sketch binary, wide binary"), "members")
+    members = table.select("id", "th", "n", "cls")
+    reps = materialise(table.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(_NO_ID)).alias("i"), F.col("th").alias("t"))).alias("rep"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "classes")
     total = members.agg(F.sum("n")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, total // 4_000_000 + 1)
-    packed = rows.select("text").mapInArrow(_cells(k, bands, buckets, light), "bucket int, cls binary, counts binary, cells binary, heavy_cell long, heavy_cls array<long>")
-    dealt = packed.repartition(buckets, F.coalesce("bucket", F.xxhash64("heavy_cell", "heavy_cls")))
-    found = materialise(dealt.mapInArrow(_groups_and_heavy(light), "members array<long>, heavy_cell long, heavy_cls array<long>"), "groups")
+    packed = rows.select("text").mapInArrow(_cells(k, bands, buckets, light), "bucket int, cls binary, slack binary, counts binary, cells binary, heavy_cell long, heavy_cls array<long>, heavy_slack array<long>")
+    spread = packed.repartition(buckets, F.coalesce("bucket", F.xxhash64("heavy_cell", "heavy_cls")))
+    found = materialise(spread.mapInArrow(_groups(light), "members array<long>, heavy_cell long, heavy_cls array<long>, heavy_slack array<long>"), "groups")
     groups = found.where("members is not null").select("members").distinct()
     texts = rows.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
-    # one row per saturated class: its heavy cells, rarest first, without the most common ones that it can do without
-    packs = found.where("heavy_cell is not null").select(F.col("heavy_cell").alias("cell"), F.col("heavy_cls").alias("packed"))
-    counts = packs.groupBy("cell").agg(F.sum(F.size("packed")).alias("cnt"))
-    heavy = packs.join(counts, "cell").repartition(buckets).select("cell", "cnt", F.explode("packed").alias("cls"))
-    full = heavy.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("cnt", "cell"))).alias("cells")).join(reps.select("cls", "slack"), "cls").where(F.size("cells") > F.col("slack"))
-    full = materialise(full.select("cls", F.slice("cells.cell", F.lit(1), F.size("cells") - F.greatest("slack", F.lit(0))).alias("cells"), F.aggregate("cells.cnt", F.lit(0).cast("long"), lambda t, x: t + x).alias("pop")), "deciding")
-    # stars around the member whose cells are the most common (what the others are copies of), and two others
-    deciding = full.select("cls", "pop", F.explode("cells").alias("cell"))
-    by_cell = W.partitionBy("cell")
-    seen = deciding.select("cls", F.min("cls").over(by_cell).alias("u"), F.max(F.struct("pop", "cls")).over(by_cell).alias("v"), F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("c"))).over(by_cell).alias("w"))
-    seen = seen.groupBy("cls").agg(F.collect_set("u").alias("u"), F.collect_set("v.cls").alias("v"), F.collect_set("w.c").alias("w"))
-    seen = seen.select("cls", F.explode(F.array_distinct(F.concat("u", "v", "w"))).alias("o")).where("o <> cls").select(F.least("o", "cls").alias("a"), F.greatest("o", "cls").alias("b"))
+    # stars: the members of a light group around its least class, and classes of equal minima around theirs
     stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, light)).alias("b"))
-    first = _linked(stars.union(seen).distinct(), reps, texts, percent, k)
+    least = reps.select("cls", F.posexplode("minima").alias("f", "u"))
+    centres = least.groupBy("f", "u").agg(F.min("cls").alias("o"), F.max("cls").alias("last")).where("o <> last").select("f", "u", "o")
+    alike = least.join(centres, ["f", "u"]).where("o <> cls").select(F.col("o").alias("a"), F.col("cls").alias("b"))
+    first = _linked(stars.union(alike).distinct(), reps, texts, percent, k)
     comp = components(first)
     of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
     # what the stars left open
@@ -387,52 +478,52 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     each = each.join(of("m"), "m", "left").join(reps.select(F.col("cls").alias("m"), F.col("n").alias("size")), "m").select("g", "m", F.coalesce("cm", "m").alias("c"), "size")
     opened = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("m", "c", "size"))).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     pairs = opened.select(F.posexplode("x").alias("i", "p"), "x").where("i > 0").select("p", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("q"))
-    alike = F.lit(100) * F.least("p.size", "q.size") >= F.lit(percent) * F.greatest("p.size", "q.size")
-    pairs = pairs.where(alike & (F.col("p.c") != F.col("q.c"))).select(F.col("p.m").alias("a"), F.col("q.m").alias("b"))
-    # of the heavy cells with more than one component, members outside the largest one against all, in packs
-    known = full.join(of("cls"), "cls", "left").join(reps.select("cls", F.col("n").alias("size"), "sketch"), "cls")
-    known = known.select(F.explode("cells").alias("cell"), F.struct("cls", F.coalesce("ccls", "cls").alias("c"), "size", "sketch").alias("m"))
-    known = known.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("cell", "m.c")))
-    known = known.withColumns({"main": F.max(F.struct("n", "m.c")).over(by_cell), "lo": F.min("m.c").over(by_cell), "hi": F.max("m.c").over(by_cell), "all": F.count(F.lit(1)).over(by_cell)})
-    known = known.where("lo <> hi").withColumn("pack", F.pmod(F.xxhash64("m.cls"), F.ceil(F.col("all") / _PACK)))
-    packs = materialise(known.groupBy("cell", "pack").agg(F.collect_list("m").alias("y"), F.first("main.c").alias("main")), "packs")
-    odd = packs.select("cell", F.filter("y", lambda m: m["c"] != F.col("main")).alias("x")).where(F.size("x") > 0)
-    wide = odd.join(packs.select("cell", "y"), "cell").select("x", "y").mapInArrow(_near(percent), "a long, b long")
-    pairs = pairs.union(wide).distinct()
+    sizes = F.lit(100) * F.least("p.size", "q.size") >= F.lit(percent) * F.greatest("p.size", "q.size")
+    pairs = pairs.where(sizes & (F.col("p.c") != F.col("q.c"))).select(F.col("p.m").alias("a"), F.col("q.m").alias("b"))
+    # saturated classes, by deciding cell: what is outside a cell's main component against all
+    heavy = found.where("heavy_cell is not null")
+    counts = heavy.groupBy("heavy_cell").agg(F.sum(F.size("heavy_cls")).alias("cnt"))
+    turned = heavy.join(counts, "heavy_cell").select("heavy_cell", "heavy_cls", "heavy_slack", "cnt").mapInArrow(_turn(buckets), "bucket int, cls binary, cell binary, cnt binary, slack binary")
+    full = turned.repartition(buckets, "bucket").mapInArrow(_decide, "cls long, cells array<long>, counts array<long>")
+    full = full.join(of("cls"), "cls", "left").join(reps.select("cls", "n", "sketch"), "cls")
+    full = full.select("cls", F.coalesce("ccls", "cls").alias("c"), "n", "sketch", "cells", "counts")
+    spread = full.mapInArrow(_by_cell(buckets, pack), "bucket int, key binary, cls binary, comp binary, size binary, sketch binary").repartition(buckets, "bucket")
+    pairs = pairs.union(spread.mapInArrow(_odd(percent), "a long, b long")).distinct()
     second = _linked(pairs, reps, texts, percent, k)
     return members, first.union(second)
 
 
-def _groups_and_heavy(light: int):
-    """``_groups`` over the packed rows of a partition, and the map side's heavy rows as they are."""
-    inner = _groups(light)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                loose = batch.column(0).is_null()
-                if (n := loose.true_count):
-                    rest = batch.filter(loose)
-                    held.append(pa.RecordBatch.from_arrays([pa.nulls(n, pa.list_(pa.int64())), rest.column(4), rest.column(5)], names=["members", "heavy_cell", "heavy_cls"]))
-                yield batch.filter(pc.invert(loose))
-
-        held: list[pa.RecordBatch] = []
-        yield from inner(packed())
-        yield from held
-
-    return run
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, light: int = 48) -> DataFrame:
-    """(id_col, n_shingles, class_id, component_id), a row per row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, light: int = 48, pack: int = 50_000) -> DataFrame:
+    """(id_col, text_hash, n_shingles, class_id, component_id), a row per row of docs.
 
     class_id is the digest of the document's set, null when empty; component_id the least id reachable by links.
     """
-    members, links = classes(docs, id_col, text_col, k, percent, light)
+    members, links = classes(docs, id_col, text_col, k, percent, light, pack)
     comp = components(links)
     least = members.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"))
     named = least.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(lowest, "comp").select("cls", "component_id")
+    by_class = named.join(lowest, "comp").select("cls", "comp", "component_id")
     out = members.join(by_class, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.col("comp").alias("group_id"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without near copies: of each group the row of least (id, text hash) stays, null ids last; its own columns only.
+
+    Rows without shingles stay. Rows that repeat the id and text that stay are copies of each other: one of them stays, of
+    those the least in the order of their columns' hash.
+    """
+    id_, th = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    found = materialise(near_duplicates(docs, id_col, text_col, **how).where("group_id is not null").select(F.col(id_col).alias("i"), F.col("text_hash").alias("t"), "group_id"), "near_groups")
+    best = found.groupBy("group_id").agg(F.min(F.struct(F.col("i").isNull().alias("n"), "i", "t")).alias("b"), F.count(F.lit(1)).alias("rows"))
+    lost = found.join(best, "group_id").where(~(F.col("i").eqNullSafe(F.col("b.i")) & (F.col("t") == F.col("b.t")))).select("i", "t").distinct()
+    twice = materialise(found.groupBy("i", "t").count().where("count > 1").select("i", "t"), "near_repeats")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("i"), th.alias("t"))
+    same = lambda x: keyed["i"].eqNullSafe(x["i"]) & (keyed["t"] == x["t"])
+    kept = keyed.join(lost, same(lost), "left_anti")
+    if not twice.isEmpty():
+        again = kept.join(twice, kept["i"].eqNullSafe(twice["i"]) & (kept["t"] == twice["t"]), "left_semi")
+        again = again.groupBy("i", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row", "i", "t")
+        kept = kept.join(twice, kept["i"].eqNullSafe(twice["i"]) & (kept["t"] == twice["t"]), "left_anti").unionByName(again)
+    return kept.select("row.*")

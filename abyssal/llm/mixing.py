@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from abyssal.llm.common import WORD, materialise
+from abyssal.llm.common import WORD, carried, materialise
 
 _BUCKET_ROWS = 2000
 
@@ -62,14 +62,10 @@ def targets(stats: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), share: float
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
+    """(row, _size, _source, _key, _id, _th); row holds the columns of docs."""
     text = F.col(text_col)
-    return docs.withColumns({
-        "_size": n_words(text),
-        "_source": F.col(source_col),
-        "_key": sampling_key(F.col(id_col), clean_share(text) if weight is None else weight),
-        "_id": F.col(id_col),
-        "_th": F.xxhash64(text),
-    })
+    key = sampling_key(F.col(id_col), clean_share(text) if weight is None else F.greatest(F.lit(0.001), F.coalesce(weight, F.lit(0.001))))
+    return docs.select(carried(docs).alias("row"), n_words(text).alias("_size"), F.col(source_col).alias("_source"), key.alias("_key"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"))
 
 
 def _bucket() -> Column:
@@ -112,11 +108,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, **how) -> DataFrame:
-    """docs as the mix takes them: each row as many times as it is taken, only its own columns."""
-    names = docs.columns
+    """docs as the mix takes them: each row as many times as it is taken, only its own columns, whatever their names.
+
+    ``weight`` is a quality weight, as a classifier's score; null and what is under 0.001 count as 0.001.
+    """
     rows = sized(docs, id_col, text_col, source_col, weight)
     small = materialise(rows.select("_id", "_source", "_size", "_key", "_th"), "mix_sizes")
-    return copies(rows, plan(small, **how), "_copies").where("_copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"`{c}`" for c in names])
+    return copies(rows, plan(small, **how), "_copies").where("_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 ORACLE = r"""

@@ -12,35 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abyssal.llm import byte_bpe, jaccard_join, line_dedup, mixing, quality
-from abyssal.llm.common import materialise, read
+from abyssal.llm.common import carried, materialise, read
 from abyssal.llm.registry import RANKS
 
 THRESHOLD = 0.3
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    names = docs.columns
+    """Documents that the classifier does not reject. Null and empty texts are scored like others; rows that repeat are judged alike."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out_col="_score").where(F.col("_score") >= THRESHOLD).select(*names)
+    rows = docs.select(carried(docs).alias("row"), "text")
+    return quality.score(rows, model, keep=["row"]).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated three-line windows, n_chars to match; a document that is emptied by this goes."""
-    done = line_dedup.dedup(docs, lines_col="_lines", removed_col="_removed")
-    done = done.where((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines")))
-    return done.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    """Texts without their repeated three-line windows, n_chars to match; a document that is emptied by this goes.
+
+    A null or empty text stays as it is, and so does a document none of whose windows occurred before.
+    """
+    rows = docs.select(carried(docs).alias("row"), "doc_id", "text")
+    done = line_dedup.dedup(rows).where("n_removed = 0 or n_removed < n_lines")
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("row.n_chars")).cast("long")
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return done.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least doc_id."""
-    groups = jaccard_join.near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c"))
-    others = materialise(groups.where("_id <> _c").select("_id").distinct(), "near_copies")
-    return docs.join(others, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Of each group of near copies, the row of least (doc_id, text hash), null ids last; texts without words stay."""
+    return jaccard_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it; texts without words weigh nothing and are taken with complete epochs."""
     return mixing.repeat(docs)
 
 

@@ -138,8 +138,7 @@ def test_sketch_bounds_the_difference():
         bits = np.unpackbits(np.frombuffer(jaccard_join.parity_sketch(a), np.uint8)) != np.unpackbits(np.frombuffer(jaccard_join.parity_sketch(b), np.uint8))
         assert bits.sum() <= apart
         for band, d in bands.roles(len(a)):
-            assert jaccard_join.filled(a, band, bands.cells(band)) > d
-            assert len(jaccard_join.cell_hashes(a, band, bands.cells(band))) == jaccard_join.filled(a, band, bands.cells(band))
+            assert len(jaccard_join.cell_hashes(a, band, bands.cells(band))) > d
 
 
 def test_components(spark):
