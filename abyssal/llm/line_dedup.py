@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abyssal.llm.common import carried
+
 _LAST = (1 << 63) - 1
 
 
@@ -25,10 +27,14 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+
+
 def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_o, _t, _p, _a, _b): document key, position, and the 128-bit hash of each window."""
     lines = _lines(F.col(text_col))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_o"), F.xxhash64(text_col).alias("_t"), lines.alias("_l")).where(F.size("_l") >= 3)
+    keyed = docs.select(_key(id_col).alias("_o"), F.xxhash64(text_col).alias("_t"), lines.alias("_l")).where(F.size("_l") >= 3)
     w = F.transform(
         F.sequence(F.lit(0), F.size("_l") - 3),
         lambda i: F.struct(
@@ -43,22 +49,22 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """docs with ``text_col`` without its repeated lines, its number of lines before, and the number removed."""
-    docs = docs.drop(lines_col, removed_col)
+    names = [c for c in docs.columns if c not in (lines_col, removed_col)]
     found = windows(docs, id_col, text_col)
     first = found.groupBy("_a", "_b").agg(F.min(F.struct("_o", "_t", "_p")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a", "_b", "_first")
     later = found.join(first, ["_a", "_b"]).where(F.struct("_o", "_t", "_p") != F.col("_first"))
     covered = later.groupBy("_o", "_t").agg(F.collect_set("_p").alias("_w"))
     covered = covered.select(F.col("_o").alias("_co"), F.col("_t").alias("_ct"), F.flatten(F.transform("_w", lambda p: F.array(p, p + 1, p + 2))).alias("_cov"))
-    keyed = docs.withColumns({"_o": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_t": F.xxhash64(text_col)})
+    keyed = docs.select(carried(docs).alias("row"), F.col(text_col).alias("_text"), _key(id_col).alias("_o"), F.xxhash64(text_col).alias("_t"))
     joined = keyed.join(covered, (F.col("_o") == F.col("_co")) & (F.col("_t") == F.col("_ct")), "left")
-    total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(F.col(text_col))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col(text_col))) - 1), F.col("_cov"))
-    hit = F.col("_cov").isNotNull()
-    joined = joined.withColumns({lines_col: total, "_kept": F.when(hit, kept), "_l": F.when(hit, _lines(F.col(text_col)))})
-    return joined.withColumns({
-        removed_col: F.when(hit, F.col(lines_col) - F.size("_kept")).otherwise(0),
-        text_col: F.when(hit, F.array_join(F.transform("_kept", lambda i: F.col("_l")[i]), "\n")).otherwise(F.col(text_col)),
-    }).drop("_o", "_t", "_co", "_ct", "_cov", "_kept", "_l")
+    lines, hit = _lines(F.col("_text")), F.col("_cov").isNotNull()
+    total = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cov"))
+    joined = joined.select("row", "_text", total.alias("_n"), F.when(hit, kept).alias("_kept"), F.when(hit, lines).alias("_l"))
+    removed = F.when(F.col("_kept").isNotNull(), F.col("_n") - F.size("_kept")).otherwise(0)
+    text = F.when(F.col("_kept").isNotNull(), F.array_join(F.transform("_kept", lambda i: F.col("_l")[i]), "\n")).otherwise(F.col("_text"))
+    own = [text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names]
+    return joined.select(*own, F.col("_n").alias(lines_col), removed.alias(removed_col))
 
 
 #: The same in DuckDB: text as the window key.

@@ -5,8 +5,8 @@ feature in turn gets a shallow tree fitted to the logistic gradient of the histo
 feature add up to one lookup table. Then the pairs of features that explain most of what is left get two-way tables in
 the same way. Scoring adds one table entry per feature and pair, vectorised over rows.
 
-The fit uses at most ``max_labelled`` labelled rows (those of least xxhash64(doc_id)); that bound is the only limit, and
-only their features, 8 bytes times 18 a row, come to the driver. Every row is scored over its whole text.
+The fit uses at most ``max_labelled`` labelled ids (those of least xxhash64(doc_id)), one text of each; that bound is the
+only limit, and only their features, 8 bytes times 18 a row, come to the driver. Every row is scored over its whole text.
 
 Defined results: null and empty texts have all features 0 and a score like any other; equal texts score equally; null
 labels are left out; without any labelled row the score is 0.5; rows repeat independently; other columns pass through
@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from abyssal.llm import textkit
-from abyssal.llm.common import ship
+from abyssal.llm.common import carried, ship
 
 FEATURES = ["log_bytes", "log_words", "word_length", "upper", "digits", "symbols", "pipes", "shouts", "stops", "lines", "non_ascii", "distinct", "repeats", "top_word", "same_shingles", "short_words", "long_words", "line_words"]
 
@@ -205,7 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
     picked = F.broadcast(rows.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled))  # at most max_labelled ids
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id")
-    got = with_features(found, "_text", ["_id", "_y"]).limit(2 * max_labelled).toPandas().sort_values("_id")
+    found = with_features(found.select("_id", "_y", "_text", F.xxhash64("_text").alias("_th")), "_text", ["_id", "_y", "_th"])
+    found = found.groupBy("_id").agg(F.min_by(F.struct("_y", "_x"), "_th").alias("r")).select("_id", "r.*")  # ids that repeat: the text of least hash
+    got = found.toPandas().sort_values("_id")  # a row per picked id
     x = np.array(got["_x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit(x, got["_y"].to_numpy(float))
 
@@ -214,7 +217,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """docs (or the ``keep`` columns of it) with the probability of label 1."""
     ship(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != out_col]
-    kinds = dict(docs.dtypes)
+    rows = docs.select(F.col(text_col).alias("text"), carried(docs.select(*[f"`{c}`" for c in keep])).alias("row"))
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +226,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             data, offsets = textkit.buffers(batch.column(0))
             for a, b in textkit.steps(offsets):
                 s = held.value.score(features(data, offsets[a : b + 1]))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i + 1).slice(a, b - a) for i in range(len(keep))], pa.array(s)], names=[*keep, out_col])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(s)], names=["row", "score"])
 
-    rows = docs.select(F.col(text_col).alias("_classified"), *[f"`{c}`" for c in keep])
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out_col}` double"]))
+    return rows.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in keep], F.col("score").alias(out_col))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

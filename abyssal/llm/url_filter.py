@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abyssal.llm.common import small_or_plain
+from abyssal.llm.common import carried, small_or_plain
 
 _PREFIX = 8  # hex digits of the short hash
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,13 +58,16 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     host, path = host_and_path(F.col("_u"))
     urls = urls.select("_u", host.alias("_h"), path.alias("_p"))
     parts = urls.where("_h <> ''").select("_u", F.explode(expressions(F.col("_h"), F.col("_p"))).alias("e")).select("_u", digest(F.col("e.h"), F.col("e.p")).alias("_d"))
-    hits = parts.join(small_or_plain(held, rules.count(), most_broadcast), (F.substring("_d", 1, _PREFIX) == F.col("_rs")) & (F.col("_d") == F.col("_rd")))
+    # the short prefix is the join's key; the full digest is confirmed on what meets
+    hits = parts.withColumn("_s", F.substring("_d", 1, _PREFIX)).join(small_or_plain(held, rules.count(), most_broadcast), F.col("_s") == F.col("_rs"))
+    hits = hits.where(F.struct("_d") == F.struct(F.col("_rd").alias("_d")))
     best = hits.groupBy("_u").agg(F.max(F.struct(F.length("_rule").alias("a"), F.length("_rh").alias("b"), F.col("_rule").alias("rule"), F.col("_v").alias("v"))).alias("_b"))
     best = best.select(F.col("_u").alias("_bu"), F.col("_b.rule").alias("_rule"), F.col("_b.v").alias("_v"))
     host, path = host_and_path(F.col(url_col))
-    out = pages.join(best, F.col(url_col) == F.col("_bu"), "left")
-    out = out.withColumns({"_h": host, "_p": path}).withColumns({"host": F.col("_h"), "path": F.col("_p"), "rule": F.col("_rule"), "verdict": F.coalesce("_v", F.lit(default))})
-    return out.drop("_bu", "_rule", "_v", "_h", "_p")
+    new = ("host", "path", "rule", "verdict")
+    rows = pages.select(carried(pages).alias("row"), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
+    out = rows.join(best, F.col("_url") == F.col("_bu"), "left")
+    return out.select(*[F.col(f"row.`{c}`") for c in pages.columns if c not in new], "host", "path", F.col("_rule").alias("rule"), F.coalesce("_v", F.lit(default)).alias("verdict"))
 
 
 #: The contract's rules.
