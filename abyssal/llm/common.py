@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,22 @@ def carried(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
 
 
+def tidy(run):
+    """A task's function that gives memory back when it ends: Python workers stay, and hold what they once needed."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return inner
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable by Python workers that do not see the repository on their path."""
     on_path = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]

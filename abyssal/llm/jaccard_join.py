@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abyssal.llm import textkit
-from abyssal.llm.common import materialise, ship, small_or_plain
+from abyssal.llm.common import materialise, ship, small_or_plain, tidy
 from abyssal.llm.components import components
 from abyssal.llm.packing import bucket_of, dealt, gathered, runs
 from abyssal.llm.textkit import U64, mix
@@ -154,7 +154,7 @@ def _profile(k: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textkit.buffers(batch.column(2))
-            n, cls, least, sketch, wide = [], [], [], [], []
+            n, cls, least, sketch, wide, short = [], [], [], [], [], []
             for a, b in textkit.steps(offsets):
                 for s in sets_of(data, offsets[a : b + 1], k):
                     n.append(len(s))
@@ -162,7 +162,8 @@ def _profile(k: int, bands: Bands):
                     least.append(minima(s) if len(s) else None)
                     sketch.append(parity_sketch(s) if len(s) else None)
                     wide.append(parity_sketch(s, _WIDE_BITS) if len(s) > _WIDE_FROM else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary())], names=["id", "th", "n", "cls", "minima", "sketch", "wide"])
+                    short.append(np.bitwise_xor.reduce(np.frombuffer(sketch[-1], U64).reshape(-1, _SHORT_BITS // 64)).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.array(short, pa.binary())], names=["id", "th", "n", "cls", "minima", "sketch", "wide", "short"])
 
     return run
 
@@ -341,7 +342,7 @@ def _by_cell(buckets: int, most: int):
             low, high = np.minimum(own[again], other), np.maximum(own[again], other)
             key = mix(cell[again] ^ mix((low * packs[again] + high).astype(U64)))
             of = of[again]
-            sketch = np.bitwise_xor.reduce(np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(batch.num_rows, -1, _SHORT_BITS // 64), 1)
+            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(batch.num_rows, -1)
             yield dealt(bucket_of(key, buckets), [key, cls[of], batch.column(1).to_numpy()[of], batch.column(2).to_numpy()[of], sketch[of]], ["key", "cls", "comp", "size", "sketch"])
 
     return run
@@ -377,6 +378,28 @@ def _odd(num: int):
     return run
 
 
+def _across(num: int):
+    """Pairs of a light group's members in different components that sizes and sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            per = pc.list_value_length(batch.column(0)).to_numpy()
+            flat = batch.column(0).flatten()
+            m, c, n = (flat.field(x).to_numpy() for x in ("m", "c", "size"))
+            sketch = np.frombuffer(b"".join(flat.field("short").to_pylist()), U64).reshape(len(m), -1)
+            left = np.repeat(np.cumsum(per), per) - np.arange(len(m)) - 1  # members that follow in the same group
+            i = np.repeat(np.arange(len(m)), left)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+            keep = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            i, j = i[keep], j[keep]
+            keep = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= (100 - num) * (n[i] + n[j]) // (100 + num)
+            i, j = i[keep], j[keep]
+            if len(i):
+                yield _pairs([np.stack([np.minimum(m[i], m[j]), np.maximum(m[i], m[j])], 1)])
+
+    return run
+
+
 def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
     found = np.unique(np.concatenate(parts), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
@@ -425,7 +448,7 @@ def _verify(num: int, k: int):
 def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, num: int, k: int) -> DataFrame:
     """The pairs (a, b) of classes that link. ``texts``: (id, th, text); a class is read from its least (id, th)."""
     pair = ["a", "b", "ia", "ta", "ib", "tb", "na", "nb"]
-    close = lambda df: df.select(*pair, "sa", "sb").mapInArrow(_close(num), ", ".join(f"{c} long" for c in pair))
+    close = lambda df: df.select(*pair, "sa", "sb").mapInArrow(tidy(_close(num)), ", ".join(f"{c} long" for c in pair))
     side = lambda x: reps.select(F.col("cls").alias(x), F.col("rep.i").alias(f"i{x}"), F.col("rep.t").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = materialise(close(both.where(F.lit(100) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))), "close")
@@ -440,7 +463,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, num: int, k: in
     one = used.select(F.col("id").alias("ia"), F.col("th").alias("ta"), F.col("text").alias("xa"))
     two = used.select(F.col("id").alias("ib"), F.col("th").alias("tb"), F.col("text").alias("xb"))
     full = both.join(one, ["ia", "ta"]).join(two, ["ib", "tb"])
-    return materialise(full.select("a", "b", "xa", "xb").mapInArrow(_verify(num, k), "a long, b long"), "links")
+    return materialise(full.select("a", "b", "xa", "xb").mapInArrow(tidy(_verify(num, k)), "a long, b long"), "links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, light: int = 48, pack: int = 50_000) -> tuple[DataFrame, DataFrame]:
@@ -454,15 +477,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     bands = Bands(percent)
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    table = materialise(rows.mapInArrow(_profile(k, bands), "id long, th long, n long, cls long, minima array<long>, sketch binary, wide binary"), "members")
+    table = materialise(rows.mapInArrow(tidy(_profile(k, bands)), "id long, th long, n long, cls long, minima array<long>, sketch binary, wide binary, short binary"), "members")
     members = table.select("id", "th", "n", "cls")
-    reps = materialise(table.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(_NO_ID)).alias("i"), F.col("th").alias("t"))).alias("rep"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "classes")
+    reps = materialise(table.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(_NO_ID)).alias("i"), F.col("th").alias("t"))).alias("rep"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("short").alias("short")), "classes")
     total = members.agg(F.sum("n")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, total // 4_000_000 + 1)
-    packed = rows.select("text").mapInArrow(_cells(k, bands, buckets, light), "bucket int, cls binary, slack binary, counts binary, cells binary, heavy_cell long, heavy_cls array<long>, heavy_slack array<long>")
+    packed = rows.select("text").mapInArrow(tidy(_cells(k, bands, buckets, light)), "bucket int, cls binary, slack binary, counts binary, cells binary, heavy_cell long, heavy_cls array<long>, heavy_slack array<long>")
     spread = packed.repartition(buckets, F.coalesce("bucket", F.xxhash64("heavy_cell", "heavy_cls")))
-    found = materialise(spread.mapInArrow(_groups(light), "members array<long>, heavy_cell long, heavy_cls array<long>, heavy_slack array<long>"), "groups")
+    found = materialise(spread.mapInArrow(tidy(_groups(light)), "members array<long>, heavy_cell long, heavy_cls array<long>, heavy_slack array<long>"), "groups")
     groups = found.where("members is not null").select("members").distinct()
     texts = rows.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
     # stars: the members of a light group around its least class, and classes of equal minima around theirs
@@ -475,20 +498,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
     # what the stars left open
     each = groups.where(F.size("members") > 2).withColumn("g", F.xxhash64("members")).select("g", F.explode("members").alias("m"))
-    each = each.join(of("m"), "m", "left").join(reps.select(F.col("cls").alias("m"), F.col("n").alias("size")), "m").select("g", "m", F.coalesce("cm", "m").alias("c"), "size")
-    opened = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("m", "c", "size"))).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    pairs = opened.select(F.posexplode("x").alias("i", "p"), "x").where("i > 0").select("p", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("q"))
-    sizes = F.lit(100) * F.least("p.size", "q.size") >= F.lit(percent) * F.greatest("p.size", "q.size")
-    pairs = pairs.where(sizes & (F.col("p.c") != F.col("q.c"))).select(F.col("p.m").alias("a"), F.col("q.m").alias("b"))
+    each = each.join(of("m"), "m", "left").join(reps.select(F.col("cls").alias("m"), F.col("n").alias("size"), "short"), "m").select("g", "m", F.coalesce("cm", "m").alias("c"), "size", "short")
+    opened = each.groupBy("g").agg(F.collect_list(F.struct("m", "c", "size", "short")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")  # ``light`` members at most
+    pairs = opened.select("x").mapInArrow(tidy(_across(percent)), "a long, b long")
     # saturated classes, by deciding cell: what is outside a cell's main component against all
     heavy = found.where("heavy_cell is not null")
     counts = heavy.groupBy("heavy_cell").agg(F.sum(F.size("heavy_cls")).alias("cnt"))
-    turned = heavy.join(counts, "heavy_cell").select("heavy_cell", "heavy_cls", "heavy_slack", "cnt").mapInArrow(_turn(buckets), "bucket int, cls binary, cell binary, cnt binary, slack binary")
-    full = turned.repartition(buckets, "bucket").mapInArrow(_decide, "cls long, cells array<long>, counts array<long>")
-    full = full.join(of("cls"), "cls", "left").join(reps.select("cls", "n", "sketch"), "cls")
-    full = full.select("cls", F.coalesce("ccls", "cls").alias("c"), "n", "sketch", "cells", "counts")
-    spread = full.mapInArrow(_by_cell(buckets, pack), "bucket int, key binary, cls binary, comp binary, size binary, sketch binary").repartition(buckets, "bucket")
-    pairs = pairs.union(spread.mapInArrow(_odd(percent), "a long, b long")).distinct()
+    turned = heavy.join(counts, "heavy_cell").select("heavy_cell", "heavy_cls", "heavy_slack", "cnt").mapInArrow(tidy(_turn(buckets)), "bucket int, cls binary, cell binary, cnt binary, slack binary")
+    full = turned.repartition(buckets, "bucket").mapInArrow(tidy(_decide), "cls long, cells array<long>, counts array<long>")
+    full = full.join(of("cls"), "cls", "left").join(reps.select("cls", "n", "short"), "cls")
+    full = full.select("cls", F.coalesce("ccls", "cls").alias("c"), "n", "short", "cells", "counts")
+    spread = full.mapInArrow(tidy(_by_cell(buckets, pack)), "bucket int, key binary, cls binary, comp binary, size binary, sketch binary").repartition(buckets, "bucket")
+    pairs = pairs.union(spread.mapInArrow(tidy(_odd(percent)), "a long, b long")).distinct()
     second = _linked(pairs, reps, texts, percent, k)
     return members, first.union(second)
 

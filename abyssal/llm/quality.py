@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from abyssal.llm import textkit
-from abyssal.llm.common import carried, ship
+from abyssal.llm.common import carried, ship, tidy
 
 FEATURES = ["log_bytes", "log_words", "word_length", "upper", "digits", "symbols", "pipes", "shouts", "stops", "lines", "non_ascii", "distinct", "repeats", "top_word", "same_shingles", "short_words", "long_words", "line_words"]
 
@@ -94,7 +94,7 @@ def with_features(rows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
                 flat = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * len(FEATURES), x.reshape(-1))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i + 1).slice(a, b - a) for i in range(len(keep))], flat], names=[*keep, "_x"])
 
-    return rows.select(text_col, *keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_x array<double>"]))
+    return rows.select(text_col, *keep).mapInArrow(tidy(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_x array<double>"]))
 
 
 def _tree(g: np.ndarray, h: np.ndarray, lam: float = 1.0, least: float = 2.0) -> np.ndarray:
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 s = held.value.score(features(data, offsets[a : b + 1]))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(s)], names=["row", "score"])
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in keep], F.col("score").alias(out_col))
+    return rows.mapInArrow(tidy(run), schema).select(*[F.col(f"row.`{c}`") for c in keep], F.col("score").alias(out_col))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
