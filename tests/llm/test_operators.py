@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from abyssal.llm import bm25, byte_bpe, fingerprints, jaccard_join, line_dedup, mixing, passages, quality, sharding, textkit, url_filter
 from abyssal.llm.components import components
@@ -73,24 +74,92 @@ def test_byte_bpe_boundaries():
         assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), t
 
 
-def test_bm25(docs, none):
-    data = [(r[0], r[1]) for r in rows() if r[0] is not None]
+def plain_bm25(data, asked):
+    """For each asked row the scores of all rows that share a word with it, as (score, row)."""
     words = [Counter(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for _, t in data]
     held = [w for w in words if w]
     n, avg = len(held), sum(sum(w.values()) for w in held) / len(held)
     df = Counter(t for w in held for t in w)
     idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-    own = docs.where("doc_id is not null")
-    got = bm25.search(own, own.where("doc_id % 9 = 0"), k=5, shard_docs=16, block=4).collect()
-    asked = [(i, w) for (i, _), w in zip(data, words) if i % 9 == 0]
+    score = lambda q, w: sum(c * idf[t] * w[t] * 2.2 / (w[t] + 1.2 * (0.25 + 0.75 * sum(w.values()) / avg)) for t, c in q.items() if t in w)
+    return {i: sorted(((x, j) for j, w in enumerate(words) if (x := score(words[i], w)) > 0), key=lambda x: -x[0]) for i in asked}
+
+
+def check_bm25(got, data, asked, k):
+    """Scores as the plain ones, rank by rank; each document with its own score; ties of alike texts by id, null first."""
+    want = plain_bm25(data, asked)
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
-    assert asked and set(by) == {i for i, w in asked if w}
-    for i, q in asked:
-        scores = sorted(((sum(c * idf[t] * w[t] * 2.2 / (w[t] + 1.2 * (0.25 + 0.75 * sum(w.values()) / avg)) for t, c in q.items() if t in w), d) for (d, _), w in zip(data, words)), key=lambda x: (-x[0], x[1]))
-        assert [s for _, _, s in sorted(by.get(i, []))] == pytest.approx([s for s, _ in scores[:5] if s > 0])
+    assert want and set(by) == {data[i][0] for i, x in want.items() if x}
+    text = {}
+    for d, t in data:
+        text.setdefault(d, t)
+    for i, scores in want.items():
+        mine = sorted(by.get(data[i][0], []))
+        assert [n for n, _, _ in mine] == list(range(1, min(k, len(scores)) + 1))
+        assert [x for _, _, x in mine] == pytest.approx([x for x, _ in scores[:k]])
+        of = {}
+        for x, j in scores:
+            of.setdefault(data[j][0], []).append(x)
+        assert all(any(math.isclose(x, y) for y in of[d]) for _, d, x in mine)
+        for (_, d, x), (_, e, y) in zip(mine, mine[1:]):
+            if text[d] == text[e] and x == y:
+                assert e is not None and (d is None or d <= e)
+        last = mine[-1][2] if mine else 0
+        inside = {d for _, d, _ in mine}
+        for _, d, x in mine:  # of alike texts, none of a lower id is left out
+            if math.isclose(x, last):
+                assert all(e in inside for e, t in data if t == text[d] and (e is None or d is not None and e < d))
+
+
+def test_bm25(docs, none, spark):
+    data = [(r[0], r[1]) for r in rows()]
+    asked = [i for i, (d, _) in enumerate(data) if d is None or d % 9 == 0]
+    for shard_docs, block in ((16, 2000), (8192, 16 << 20)):
+        got = bm25.search(docs, docs.where("doc_id is null or doc_id % 9 = 0"), k=5, shard_docs=shard_docs, block_bytes=block).collect()
+        check_bm25(got, data, asked, 5)
     assert bm25.search(none, none).count() == 0
+    assert bm25.search(docs, none).count() == 0
+
+
+def test_bm25_prunes_exactly(spark):
+    rng = random.Random(7)
+    common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(4000)]
+    data = [(i, " ".join(rng.choices(common, k=rng.randint(5, 60)) + rng.choices(rare, k=rng.randint(0, 12)))) for i in range(1500)]
+    data += [(2000 + i, data[i * 7][1]) for i in range(60)]  # ties
+    asked = list(range(0, len(data), 25))
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = bm25.search(frame, frame.where(F.col("doc_id").isin({data[i][0] for i in asked})), shard_docs=200).collect()
+    check_bm25(got, data, asked, 10)
+
+
+def test_every_code_point_has_the_librarys_class():
+    """A piece goes on after a letter, a digit or another character only with its own class, which shows as one id."""
+    own = byte_bpe.classes()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        some = points[at : at + 4096]
+        ranks = {bytes([i]): i for i in range(256)}
+        for c in some:
+            for lead in (b"a", b"1", b"!"):
+                piece = lead
+                for x in chr(c).encode():
+                    piece += bytes([x])
+                    ranks.setdefault(piece, len(ranks))
+        enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for c in some:
+            joined = [len(enc.encode_ordinary(lead + chr(c))) == 1 for lead in "a1!"]
+            assert own[c] == (joined.index(True) if any(joined) else byte_bpe._CLASS_S), hex(c)
+
+
+def test_newer_letters_are_encoded_as_the_library_does():
+    codec = byte_bpe.Codec(open(public_tokenizers.path(RANKS), "rb").read())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    points = [c for ranges in (byte_bpe.NEW_LETTERS, byte_bpe.NEW_NUMBERS) for a, b in ranges for c in (a, b)] + list(range(0xA0, 0x3000, 7))
+    texts = [t for c in points for t in (f"a{chr(c)}a", chr(c) * 2, f" {chr(c)}1")]
+    for t, ids in zip(texts, codec.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), t
 
 
 def test_jaccard_join(docs, none):
@@ -211,6 +280,57 @@ def test_passages(spark, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passages_within_a_text_copies_nulls_and_clashing_names(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    passage, other = fill(60), fill(90)
+    data = [(1, fill(40) + passage + fill(100) + passage + fill(30)), (2, other), (3, other), (None, other), (3, other), (4, ["same", "line", "again"] * 40), (5, None), (6, [])]
+    frame = spark.createDataFrame([(i, None if t is None else " ".join(t), 1, "x") for i, t in data], "doc_id long, text string, id int, th string")
+    got = {tuple(r) for r in passages.repeated_passages(frame).collect()}
+    copies = {g for g in got if g[0] in (2, 3)}
+    assert copies == {(2, None, 0, 90, 0, 90), (3, None, 0, 90, 0, 90)}
+    own = [g for g in got if g[0] == g[1] == 1]
+    assert len(own) == 1 and all(abs(x - y) <= 8 for x, y in zip(own[0][2:], (200, 260, 40, 100)))
+    for g in got:
+        if g[0] == g[1]:
+            assert g[5] <= g[2] + 4 and g[3] - g[2] == g[5] - g[4]  # places do not overlap; 5-word shingles share their rims
+    assert {g[0] for g in got} <= {1, 2, 3, 4}
+
+
+def test_passages_with_heavy_signatures(spark):
+    """The same passages however few windows make a signature heavy, and wherever rows lie."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    passage = fill(70)
+    data = [(i, fill(10 + i % 9) + passage + fill(20)) for i in range(60)] + [(100 + i, fill(120)) for i in range(20)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in data], "doc_id long, text string")
+    for light, parts in ((64, 2), (4, 5)):
+        got = passages.repeated_passages(frame.repartition(parts), light=light).collect()
+        assert {r.doc_id for r in got} == set(range(1, 60))
+        for i in range(1, 60):
+            assert min(r.start_word for r in got if r.doc_id == i) <= 10 + i % 9 + 2 and max(r.stop_word for r in got if r.doc_id == i) >= 10 + i % 9 + 68
+
+
+def test_supported_windows():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(1, 80))
+        pair = np.sort(rng.integers(0, 3, n))
+        pair = np.unique(pair, return_inverse=True)[1]
+        l, fl = rng.integers(0, 200, n), rng.integers(0, 200, n)
+        w = rng.integers(0, 30, (4, n))
+        a = np.stack([l, l + w[0], l + w[0] + w[1], fl, fl + w[2], fl + w[2] + w[3]], 1).astype(np.int32)
+        f = rng.integers(0, 3, n)
+        before, after = np.minimum(w[0], w[2]), np.minimum(w[1], w[3])
+        holds = [before[i] + after[i] + 1 >= 10 for i in range(n)]
+        for side in (1, 4):
+            begins = [set(range(a[i, side] - before[i], a[i, side] + after[i] - 8)) for i in range(n)]
+            holds = [holds[i] and any(len({int(f[j]) for j in range(n) if pair[j] == pair[i] and s in begins[j] and holds[j]}) >= 2 for s in begins[i]) for i in range(n)]
+        assert passages.supported(pair, a, f, 10, 2).tolist() == holds
+
+
 def test_compact_windows_are_all_ranges():
     rng = np.random.default_rng(1)
     per = np.array([0, 40, 7, 60])
@@ -260,6 +380,16 @@ def test_sharding(docs, none):
         sharding.shard(docs, [1, 2], [2, 1, 1])
 
 
+def test_sharding_choice(docs):
+    def unit(key, i):
+        return (int(hashlib.md5(f"shard:{i}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    for r in sharding.assignment(docs, 5).collect():
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        score = [-1 / math.log(unit(key, i)) for i in range(6)]
+        assert (r.shard, r.grown_shard) == (score.index(max(score[:5])), score.index(max(score)))
+
+
 def test_sharding_weights(spark):
     many = spark.range(20000).selectExpr("id as doc_id", "'x' as text")
     n = Counter(r.shard for r in sharding.shard(many, [1, 3]).select("shard").collect())
@@ -308,26 +438,70 @@ def test_quality(spark, none):
     assert quality.predictions(none, labels).count() == 0
 
 
+def plain_chunks(raw):
+    """Digest -> length by the definition: a hash of the last 32 bytes at each position, one boundary after the other."""
+    gear = [int(x) for x in fingerprints._GEAR]
+    out, at = {}, 0
+    while at < len(raw):
+        end, h = len(raw), 0
+        for i in range(max(0, at - 64), len(raw)):
+            h = ((h << 1) + gear[raw[i]]) & 0xFFFFFFFF
+            n = i - at + 1
+            if n < 32 or i + 1 >= len(raw):
+                continue
+            if (h >> 24 == 0) if n < 96 else (h >> 27 == 0):
+                end = i + 1
+                break
+            if n >= 384:
+                end = i + 1
+                break
+        if len(raw) - at <= 32:
+            end = len(raw)
+        out[hashlib.blake2b(raw[at:end], digest_size=8).digest()] = end - at
+        at = end
+    return out
+
+
 def test_fingerprints(docs, none, spark):
     data = sorted(((r[0], r[1] or "") for r in rows() if r[0] is not None and r[0] != 9), key=lambda x: x[0])
     got = {r.doc_id: r for r in fingerprints.successions(docs.where("doc_id is not null and doc_id <> 9")).collect()}
     assert len(got) == len(data)
+    text_of = lambda fp: ",".join(f"{d.hex()}:{n}" for d, n in sorted(fp.items()))
     for (i, t), (_, nxt) in zip(data, [*data[1:], data[0]]):
         half = len(t) // 2
         edited = (t[: len(t) - half] + nxt[:half]).encode()
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited).hexdigest())
-        assert r.fingerprint == fingerprints.as_text(fingerprints.chunks(t.encode())) and r.edited_fingerprint == fingerprints.as_text(fingerprints.chunks(edited))
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        mine, new, after = plain_chunks(t.encode()), plain_chunks(edited), plain_chunks(nxt.encode())
+        assert (r.fingerprint, r.edited_fingerprint) == (text_of(mine), text_of(new))
+        for other, near, within in ((new, r.near_edited, r.in_edited), (after, r.near_next, r.in_next)):
+            both = sum(n for d, n in mine.items() if d in other)
+            assert near == pytest.approx(both / max(sum(mine.values()), sum(other.values())) if mine and other else float(not mine and not other))
+            assert within == pytest.approx(both / sum(mine.values()) if mine else 1.0)
     assert fingerprints.successions(docs).count() == len(rows())
     assert fingerprints.successions(none).count() == 0
     assert fingerprints.successions(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).first().near_next == 1.0
     text = prose(random.Random(8), 3000)
     assert fingerprints.likeness(fingerprints.chunks(text.encode()), fingerprints.chunks(("new start " + text).encode())) > 0.95
+    assert fingerprints.containment(fingerprints.chunks(text[5000:9000].encode()), fingerprints.chunks(text.encode())) > 0.8
     stored = fingerprints.fingerprint(docs).where("doc_id = 0").first()
     assert sum(c.length for c in stored.fingerprint) == len(rows()[0][1].encode())
 
 
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    """Many null ids are cut into ranges of their own; each row still has one successor."""
+    data = [(None, prose(random.Random(i), 30)) for i in range(60)] + [(i, prose(random.Random(i), 20)) for i in range(20)] + [(7, "again"), (7, "again")]
+    got = fingerprints.successions(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in data)
+    # every text is the edited tail of exactly one row: a ring
+    tails = Counter()
+    for r in got:
+        tails[r.edited_sha256] += 1
+    order = sorted(data, key=lambda x: (x[0] is None, x[0] or 0))
+    ids = [i for i, _ in order]
+    assert ids[:20] and len(got) == len(data) and sum(tails.values()) == len(data)
+
+
 def test_words_and_shingles_follow_the_definition():
     import pyarrow as pa
 
