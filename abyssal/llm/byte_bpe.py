@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abyssal.llm import textkit
-from abyssal.llm.common import ship
+from abyssal.llm.common import ship, tidy
 
 # The White_Space code points of Unicode.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -54,12 +54,23 @@ _BY_SYMBOL = np.ascontiguousarray(_WITH_RESET.T).astype(np.int64)
 _CLASS_L, _CLASS_N, _CLASS_O, _CLASS_S = range(4)
 _classes: list[np.ndarray] = []
 
+# Letters and numbers that Unicode 16.0 added to 15.1, first and last code points. Python's own table is of 15.1.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+
 
 def classes() -> np.ndarray:
     """Class of each code point: letter, number, other, white space."""
     if not _classes:
         of = {"L": _CLASS_L, "N": _CLASS_N}
         table = np.fromiter((of.get(unicodedata.category(chr(c))[0], _CLASS_O) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+        for kind, ranges in ((_CLASS_L, NEW_LETTERS), (_CLASS_N, NEW_NUMBERS)):
+            for a, b in ranges:
+                table[a : b + 1] = kind
         table[WHITE_SPACE] = _CLASS_S
         _classes.append(table)
     return _classes[0]
@@ -78,14 +89,14 @@ def symbols(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     before_text[:-1] = ~white[1:]
     before_text &= ~last
     out[white] = np.where(before_text[white], np.where(points[white] == 0x20, SP, WS), W)
-    for q in np.flatnonzero(points == 0x27):
-        if last[q]:
-            continue
-        a = points[q + 1]
-        if a in (0x73, 0x74, 0x6D, 0x64):  # s t m d
-            out[q] = Q2
-        elif not last[q + 1] and (int(a), int(points[q + 2])) in ((0x72, 0x65), (0x76, 0x65), (0x6C, 0x6C)):  # re ve ll
-            out[q] = Q3
+    # contractions: an apostrophe and what follows it in the same text
+    q = np.flatnonzero((points == 0x27) & ~last)
+    one = points[q + 1]
+    out[q[np.isin(one, [ord(c) for c in "stmd"])]] = Q2
+    longer = ~last[q + 1]
+    q, one = q[longer], one[longer]
+    two = points[q + 2]
+    out[q[np.logical_or.reduce([(one == ord(x)) & (two == ord(y)) for x, y in ("re", "ve", "ll")])]] = Q3
     return out
 
 
@@ -185,7 +196,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Cache(dict):
     """Slice -> its ids as little-endian 32-bit words. Bounded: it starts anew when it is full."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 800_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 250_000):
         super().__init__()
         self.ranks, self.most = ranks, most
 
@@ -279,7 +290,7 @@ def encode(docs: DataFrame, ranks_file: str, id_col: str = "doc_id", text_col: s
                         columns.append(pa.array([codec.decode(x, o) for x, o in zip(ids, offs)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids"] + ["offsets"] * with_offsets + ["decoded"] * with_decoded)
 
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(fields))
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), ", ".join(fields))
 
 
 def decode(encoded: DataFrame, ranks_file: str, id_col: str = "doc_id") -> DataFrame:
@@ -295,7 +306,7 @@ def decode(encoded: DataFrame, ranks_file: str, id_col: str = "doc_id") -> DataF
             ids = [np.frombuffer(x or b"", "<u4") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x, codec.offsets(x)) for x in ids], pa.binary())], names=[id_col, "decoded"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {dict(encoded.dtypes)[id_col]}, decoded binary")
+    return encoded.select(id_col, "ids").mapInArrow(tidy(run), f"`{id_col}` {dict(encoded.dtypes)[id_col]}, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_file: str) -> DataFrame:

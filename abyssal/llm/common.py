@@ -64,8 +64,15 @@ def tidy(run):
     return inner
 
 
+#: What a batch of rows sent to a Python worker holds at most, where the user has not said otherwise: texts may be long.
+_BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers that do not see the repository on their path."""
+    """Make ready for Python workers: smaller batches where Spark's own setting holds, and this package importable where they do not see the repository."""
+    for key, (usual, ours) in _BATCH_SETTINGS.items():
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, ours)
     on_path = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if any(Path(p).resolve() == _ROOT for p in [*on_path, os.getcwd()]):
         return
