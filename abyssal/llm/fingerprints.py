@@ -3,7 +3,8 @@
 A gear hash rolls over the UTF-8 bytes (each value depends on the last 32), computed for all positions by doubling.
 Chunk boundaries are normalised: from the least to the usual length a strict mask must match, from there to the greatest
 length a loose one. The digests of the chunks, with their lengths, are the fingerprint; an edit changes the chunks near
-it only. The likeness of two fingerprints is the length they share over the length of the larger one.
+it only. Two fingerprints are compared by the length of the chunks they share: likeness is its share of the larger one,
+containment of one in another its share of the first.
 
 To compare a document with its successor by doc_id, rows are range-partitioned by bounds taken from doc_id quantiles, and
 the first row of each range is copied to the range before it: one shuffle of the texts, no window over all rows.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abyssal.llm import textkit
-from abyssal.llm.common import ship
+from abyssal.llm.common import ship, tidy
 
 _LEAST, _USUAL, _MOST = 32, 96, 384
 _GEAR = (textkit.mix(np.arange(257, 513, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -86,12 +87,22 @@ def as_text(fp: dict[bytes, int]) -> str:
     return ",".join(f"{d.hex()}:{n}" for d, n in sorted(fp.items()))
 
 
+def shared(a: dict[bytes, int], b: dict[bytes, int]) -> int:
+    """Length of the chunks that both have."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    return sum(n for d, n in small.items() if d in large)
+
+
 def likeness(a: dict[bytes, int], b: dict[bytes, int]) -> float:
     """Shared length over the larger length."""
     if not a or not b:
         return float(not a and not b)
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    return sum(n for d, n in small.items() if d in large) / max(sum(a.values()), sum(b.values()))
+    return shared(a, b) / max(sum(a.values()), sum(b.values()))
+
+
+def containment(a: dict[bytes, int], b: dict[bytes, int]) -> float:
+    """The share of a's length that b has too: 1 where a lies within b, however long b is. An empty a is contained in any b."""
+    return shared(a, b) / sum(a.values()) if a else 1.0
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,39 +118,45 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fingerprint array<struct<digest: binary, length: int>>")
 
 
-def ranged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def ranged(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = 32 << 20, most_ranges: int = 10_000) -> DataFrame:
     """(b, look, id, text) in partitions by range bucket b, sorted; look = 1 marks the first row of the next range.
 
-    The bounds, and which bucket follows which, are a few numbers per partition on the driver.
+    Ranges have about ``range_bytes`` of text each, ``most_ranges`` at most; rows with null ids are cut by their text's hash. The
+    bounds, and which bucket follows which, are a few numbers per range on the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, size, nulls = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text")), F.count_if(F.col("id").isNull())).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min((size or 0) // range_bytes + 1, most_ranges))
     ids = rows.select(F.col("id").cast("double").alias("d")).where("d is not null")
     bounds = sorted(set(ids.approxQuantile("d", [i / parts for i in range(1, parts)], 1 / (20 * parts)))) if parts > 1 else []
     held = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<double>")
-    bucket = F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(held, lambda x: x <= F.col("id").cast("double"))))
-    rows = rows.withColumn("b", bucket.cast("int"))
-    firsts = {r.b: r.first for r in rows.groupBy("b").agg(F.min("id").alias("first")).collect()}  # at most parts + 1 rows
+    cuts = max(1, round(parts * nulls / max(n, 1)))
+    by_hash = len(bounds) + 1 + F.least(F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * cuts), F.lit(cuts - 1))
+    bucket = F.when(F.col("id").isNull(), by_hash).otherwise(F.size(F.filter(held, lambda x: x <= F.col("id").cast("double"))))
+    rows = rows.withColumns({"b": bucket.cast("int"), "t": F.xxhash64("text")})
+    firsts = {r.b: r.first for r in rows.groupBy("b").agg(F.min(F.struct("id", "t")).alias("first")).collect()}  # a row per range
     order = sorted(firsts)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    first = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(firsts[b]).cast("long"))]) if order else F.create_map().cast("map<int,bigint>")
-    back = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(before[b]))]) if order else F.create_map().cast("map<int,int>")
-    heads = F.col("id").eqNullSafe(first[F.col("b")])
+    known = lambda values, kind: F.create_map(*[x for b in order for x in (F.lit(b), F.lit(values[b]).cast(kind))])[F.col("b")] if order else F.lit(None).cast(kind)
+    heads = F.col("id").eqNullSafe(known({b: x.id for b, x in firsts.items()}, "long")) & (F.col("t") == known({b: x.t for b, x in firsts.items()}, "long"))
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("look"))
-    copy = F.struct(back[F.col("b")].alias("b"), F.lit(1).alias("look"))
+    copy = F.struct(known(before, "int").alias("b"), F.lit(1).alias("look"))
     rows = rows.withColumn("to", F.explode(F.when(heads, F.array(own, copy)).otherwise(F.array(own))))
-    rows = rows.select("to.b", "to.look", "id", "text")
-    return rows.repartition(max(1, len(order)), "b").sortWithinPartitions("b", "look", F.col("id").asc_nulls_last(), F.xxhash64("text"))
+    rows = rows.select("to.b", "to.look", "id", "t", "text")
+    return rows.repartition(max(1, len(order)), "b").sortWithinPartitions("b", "look", F.col("id").asc_nulls_last(), "t").select("b", "look", "id", "text")
 
 
 def successions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The contract's columns: each document against its edited text and against the next document."""
+    """The contract's columns: each document against its edited text and against the next document.
+
+    After them in_edited and in_next, the share of the document that the edited text and the next document contain.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited", "in_next"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
         held: tuple | None = None  # bucket, id, text, fingerprint
         out: list[list] = [[] for _ in names]
 
@@ -148,7 +165,7 @@ def successions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             keep = len(own) - len(own) // 2
             edited = (own[:keep] + text[: len(own) // 2]).encode()
             new = chunks(edited)
-            for column, value in zip(out, (id_, len(own), hashlib.sha256(edited).hexdigest(), as_text(mine), as_text(new), likeness(mine, new), likeness(mine, fp))):
+            for column, value in zip(out, (id_, len(own), hashlib.sha256(edited).hexdigest(), as_text(mine), as_text(new), likeness(mine, new), likeness(mine, fp), containment(mine, new), containment(mine, fp))):
                 column.append(value)
 
         for batch in batches:
@@ -165,4 +182,4 @@ def successions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names)
 
-    return ranged(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ranged(docs, id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, in_next double")

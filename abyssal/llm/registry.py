@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op4_mixing": mixing.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_sharding": sharding.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

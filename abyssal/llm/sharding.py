@@ -61,3 +61,17 @@ def assignment(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     return with_slots(rows).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+#: The same in DuckDB: md5 gives the hash units, the largest -1 / ln(u) wins, ties to the lower shard. The checksum is
+#: reduced byte by byte over a table of 256 remainders, eight shifts each.
+_SHIFT = "case when {0} & 1 = 1 then xor({0} >> 1, 3988292384) else {0} >> 1 end"
+ORACLE = r"""
+with recursive steps as (select cast(i as bigint) as i, cast(i as bigint) as r, 0 as n from range(256) t(i) union all select i, {shift}, n + 1 from steps where n < 8),
+crcs as (select list(r order by i) as t from steps where n = 8),
+c as (select doc_id, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda p: cast(cast('0x' || p as int) as bigint))),
+  lambda a, b: xor(a >> 8, t[cast(xor(a, b) & 255 as int) + 1])), cast(4294967295 as bigint)) as crc from documents, crcs),
+d as (select doc_id, coalesce(cast(doc_id as varchar), 'null') as key, coalesce(text, '') as text from documents),
+s as (select doc_id, key, i, cast(-1 as double) / ln((cast(cast('0x' || substr(md5('shard:' || cast(i as varchar) || ':' || key), 1, 13) as bigint) as double) + cast(0.5 as double)) / cast(4503599627370496 as double)) as score from (select distinct doc_id, key from d), range(25) r(i)),
+b as (select key, min_by(i, struct_pack(a := -score, b := i)) filter (i < 24) as shard, min_by(i, struct_pack(a := -score, b := i)) as grown_shard from s group by key),
+p as (select d.*, cast(b.shard as int) as shard, cast(b.grown_shard as int) as grown_shard, cast('0x' || substr(md5(d.key), 1, 8) as bigint) as h from d join b using (key))
+select doc_id, cast(strlen(text) + 8 as bigint) as size, crc as text_crc32, 'key' as law, shard, row_number() over (partition by shard order by h, doc_id) - 1 as slot, grown_shard from p join c using (doc_id)
+""".replace("{shift}", _SHIFT.format("r"))
