@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from abyssal.functions.raster import inverse_mercator
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -78,3 +81,54 @@ def resample_nearest(raster: DataFrame, factor: int, nrows: int, ncols: int) ->
     centre = lambda c, n: F.least(F.floor(F.col(c) / factor) * factor + half, F.lit(n - 1))
     hit = raster.where((F.col("row") == centre("row", nrows)) & (F.col("col") == centre("col", ncols)))
     return hit.select(F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col"), "z")
+
+
+@dataclass(frozen=True)
+class Spec:
+    """A regular grid from its lower left corner, rows counted from the top."""
+
+    xmin: float
+    ymin: float
+    xmax: float
+    ymax: float
+    cell: float
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        """Rows and columns."""
+        return math.ceil(round((self.ymax - self.ymin) / self.cell, 9)), math.ceil(round((self.xmax - self.xmin) / self.cell, 9))
+
+
+def cells_of(spark, spec: Spec) -> DataFrame:
+    """(row, col, x, y) of all cell centres."""
+    nrows, ncols = spec.shape
+    cells = spark.range(nrows * ncols).select(F.floor(F.col("id") / ncols).cast("int").alias("row"), F.pmod("id", F.lit(ncols)).cast("int").alias("col"))
+    top = spec.ymin + nrows * spec.cell
+    return cells.select("row", "col", (F.lit(spec.xmin) + (F.col("col") + 0.5) * F.lit(spec.cell)).alias("x"), (F.lit(top) - (F.col("row") + 0.5) * F.lit(spec.cell)).alias("y"))
+
+
+def cell_index(x: Column, y: Column, spec: Spec) -> tuple[Column, Column]:
+    """(row, col) of the cell that holds a point, NULL outside."""
+    nrows, ncols = spec.shape
+    col = F.floor((x - F.lit(spec.xmin)) / F.lit(spec.cell)).cast("int")
+    row = (F.lit(nrows - 1) - F.floor((y - F.lit(spec.ymin)) / F.lit(spec.cell))).cast("int")
+    inside = col.between(0, ncols - 1) & row.between(0, nrows - 1)
+    return F.when(inside, row), F.when(inside, col)
+
+
+def reproject_mercator(raster: DataFrame, source: Spec, target: Spec) -> DataFrame:
+    """(row, col, z) of ``target``, in Mercator metres, from a raster in degrees: the value of the source cell that holds each centre.
+
+    Target centres are projected back and meet source cells in one equi-join; cells outside the source have no value.
+    """
+    lon, lat = inverse_mercator(F.col("x"), F.col("y"))
+    row, col = cell_index(lon, lat, source)
+    at = cells_of(raster.sparkSession, target).select("row", "col", row.alias("sr"), col.alias("sc"))
+    cells = raster.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "z")
+    return at.join(cells, ["sr", "sc"], "left").select("row", "col", "z")
+
+
+def cube_of_layers(layers: DataFrame, catalog: DataFrame, nrows: int) -> DataFrame:
+    """(i, j, k, v) from layers (name, row, col, z), rows counted from the top: columns become i, flipped rows j, layers in the order of depth k."""
+    depths = catalog.select("name", (F.dense_rank().over(W.orderBy("depth_m")) - 1).alias("k"))  # a row per layer
+    return layers.join(F.broadcast(depths), "name").select(F.col("col").alias("i"), (F.lit(nrows - 1) - F.col("row")).cast("int").alias("j"), "k", F.col("z").alias("v"))

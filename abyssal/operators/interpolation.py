@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +49,32 @@ def point_flags(points: DataFrame, grid: Grid, deepest: float = 5500.0) -> DataF
     return points.withColumn("flag", F.concat(F.when(place == "", "OK").otherwise(place), deep))
 
 
+def tile_flags(points: DataFrame, edges: DataFrame, grid: Grid, deepest: float = 5500.0, tile: str = "tile_id") -> DataFrame:
+    """points with ``flag``, as a run over tiles marks them.
+
+    In a tile within the grid: 'Flag 4' where a depth is moved onto the axis (too deep, or land), 'Flag 3' without a depth,
+    else 'Flag 2'. In an edge tile the place: Top, Bottom, Left, Right, or two as BotLeft and UpRight, OK inside and on
+    the border; Deep is added from ``deepest`` on (BotDeep for the bottom), 'Flagged 1' without a depth.
+    """
+    xmin, ymin, xmax, ymax = grid.extent
+    x, y, d = F.col("x"), F.col("y"), F.col("d")
+    side = F.when(x < xmin, "Left").when(x > xmax, "Right").otherwise("")
+    deep = d >= deepest
+    low, high = y < ymin, y > ymax
+    place = F.when(low & (side != ""), F.concat(F.lit("Bot"), side)).when(high & (side != ""), F.concat(F.lit("Up"), side)).when(high, "Top")
+    place = place.when(low, F.when(deep, "Bot").otherwise("Bottom")).when(side != "", side).otherwise("OK")
+    edge = F.when(d.isNull(), "Flagged 1").when(deep, F.concat(place, F.lit("Deep"))).otherwise(place)
+    inner = F.when(d.isNull(), "Flag 3").when(deep | (d < 0), "Flag 4").otherwise("Flag 2")
+    return points.join(edges.select(tile, "edge"), tile).withColumn("flag", F.when(F.col("edge"), edge).otherwise(inner)).drop("edge")
+
+
+def nearest_depth(points: DataFrame, grid: Grid, out: str = "z") -> DataFrame:
+    """points with the axis depth nearest to ``d``; the shallower of two as near."""
+    zs = F.array(*[F.lit(float(z)) for z in grid.zs])
+    best = F.array_min(F.transform(zs, lambda z: F.struct(F.abs(z - F.col("d")).alias("a"), z.alias("z")))).getField("z")
+    return points.withColumn(out, F.when(F.col("d").isNotNull(), best))
+
+
 def trilinear(points: DataFrame, cube: DataFrame, grid: Grid, bounds: str = "null") -> DataFrame:
     """points (x, y, d) with ``tri``. One equi-join per point, then a closed form; no UDF.
 
@@ -98,126 +127,208 @@ def row_pad(cells: DataFrame) -> DataFrame:
     return cells.join(rows.select("k", "i", fill.alias("fill")), ["k", "i"]).select("k", "i", "j", F.coalesce("v", "fill").alias("v"))
 
 
-def _candidates(targets: DataFrame, samples: DataFrame, bucket: float, ring: int) -> DataFrame:
-    """Each target with the samples of the buckets within ``ring`` of its own: an equi-join on bucket ids."""
-    own = lambda c: F.floor(F.col(c) / bucket).cast("long")
-    steps = F.array(*[F.lit(i) for i in range(-ring, ring + 1)])
-    spread = samples.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("sv"), F.col("sid"), own("x").alias("bx0"), own("y").alias("by0"))
-    spread = spread.select("*", F.explode(steps).alias("ex")).select("*", F.explode(steps).alias("ey"))
-    spread = spread.select("sx", "sy", "sv", "sid", (F.col("bx0") + F.col("ex")).alias("bx"), (F.col("by0") + F.col("ey")).alias("by"))
-    return targets.withColumns({"bx": own("x"), "by": own("y")}).join(spread, ["bx", "by"])
+def usual_bucket(samples: DataFrame, n: int) -> float:
+    """A bucket side so that the n nearest samples of a usual place lie within one bucket: from the samples' density."""
+    r = samples.agg(F.count(F.lit(1)).alias("c"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    if not r.c:
+        return 1.0
+    side = max(r.w, r.h) or 1.0
+    area = max(r.w, side * 1e-3) * max(r.h, side * 1e-3)
+    return 1.15 * math.sqrt(max(n, 1) * area / (math.pi * r.c))
 
 
-def neighbours(targets: DataFrame, samples: DataFrame, n: int, bucket: float, ring: int = 1) -> DataFrame:
-    """(id, x, y, sid, sx, sy, sv, d2, rank): the n nearest samples of each target, nearest first, ties by sid.
+#: Samples of one bucket up to which they travel as an array; where a bucket holds more, rows are joined and ranked instead.
+MOST_IN_BUCKET = 20_000
+_NEAR = "array<struct<d2: double, sid: bigint, sx: double, sy: double, sv: double>>"
+
+
+def _ring(targets: DataFrame, samples: DataFrame, n: int, bucket: float, ring: int) -> DataFrame:
+    """targets with ``near``: the n nearest samples of the buckets within ``ring`` of their own, nearest first, ties by sid."""
+    own = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    steps = F.array(*[F.lit(i) for i in range(-ring, ring + 1)])
+    spread = samples.select(F.struct(F.col("sid").cast("long").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("sv")).alias("s"), own("x").alias("bx0"), own("y").alias("by0"))
+    spread = spread.select("s", "bx0", "by0", F.explode(steps).alias("ex")).select("s", (F.col("bx0") + F.col("ex")).alias("bx"), "by0", F.explode(steps).alias("ey")).select("s", "bx", (F.col("by0") + F.col("ey")).alias("by"))
+    at = targets.withColumns({"bx": own("x"), "by": own("y")})
+    far = lambda s: (F.col("x") - s["sx"]) * (F.col("x") - s["sx"]) + (F.col("y") - s["sy"]) * (F.col("y") - s["sy"])
+    entry = lambda s: F.struct(far(s).alias("d2"), s["sid"].alias("sid"), s["sx"].alias("sx"), s["sy"].alias("sy"), s["sv"].alias("sv"))
+    fullest = spread.groupBy("bx", "by").count().agg(F.max("count")).first()[0] or 0
+    if fullest <= MOST_IN_BUCKET:
+        lists = spread.groupBy("bx", "by").agg(F.collect_list("s").alias("c"))
+        out = at.join(lists, ["bx", "by"], "left")
+        near = F.slice(F.array_sort(F.transform("c", entry)), 1, n)
+    else:
+        ranked = at.join(spread, ["bx", "by"]).withColumn("e", entry(F.col("s")))
+        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("e.d2", "e.sid"))).where(F.col("rank") <= n)
+        lists = ranked.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("c"))
+        out = at.join(lists, "id", "left")
+        near = F.col("c")
+    return out.select("id", "x", "y", F.coalesce(near, F.array()).cast(_NEAR).alias("near"))
+
+
+def nearest(targets: DataFrame, samples: DataFrame, n: int, bucket: float | None = None) -> DataFrame:
+    """(id, x, y, near): each target with its n nearest samples as an array, nearest first, ties by sid.
 
     A target is settled when its n-th neighbour is no farther than the ring reaches; the others try a ring twice as
-    wide, until all are settled or the ring has seen all samples.
+    wide, until all are settled or the ring has seen all samples. Each ring is kept, so that it is computed once.
     """
-    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
+    bucket = bucket or usual_bucket(samples, n)
+    targets = targets.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     span = samples.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
     reach = targets.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if span[4] == 0 or reach[0] is None:
-        return _candidates(targets, samples, bucket, 0).withColumn("d2", d2).withColumn("rank", F.lit(1))
+        return targets.select("id", "x", "y", F.array().cast(_NEAR).alias("near"))
     widest = max(max(span[1], reach[1]) - min(span[0], reach[0]), max(span[3], reach[3]) - min(span[2], reach[2]))
-    parts, open_ = [], targets
+    out, open_, ring = None, targets, 1
     while True:
-        ranked = _candidates(open_, samples, bucket, ring).withColumn("d2", d2).drop("bx", "by")
-        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d2", "sid"))).where(F.col("rank") <= n)
-        if ring * bucket > widest:
-            parts.append(ranked)
-            break
-        far = ranked.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("d2").alias("m"))
-        done = far.where((F.col("c") >= min(n, span[4])) & (F.col("m") <= (ring * bucket) ** 2)).select("id")
-        parts.append(ranked.join(done, "id", "left_semi"))
-        open_ = open_.join(done, "id", "left_anti")
-        if open_.isEmpty():
-            break
+        step = _ring(open_, samples, n, bucket, ring).persist()
+        last = ring * bucket > widest
+        done = F.lit(last) | ((F.size("near") >= min(n, span[4])) & (F.element_at("near", -1)["d2"] <= (ring * bucket) ** 2))
+        part = step.where(F.coalesce(done, F.lit(False)))
+        out = part if out is None else out.unionByName(part)
+        open_ = step.where(~F.coalesce(done, F.lit(False))).select("id", "x", "y")
+        if last or open_.isEmpty():
+            return out
         ring *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
 
-def idw(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float = 1.0) -> DataFrame:
+def neighbours(targets: DataFrame, samples: DataFrame, n: int, bucket: float | None = None) -> DataFrame:
+    """(id, x, y, sid, sx, sy, sv, d2, rank): ``nearest`` as rows, ranks from 1."""
+    rows = nearest(targets, samples, n, bucket).select("id", "x", "y", F.posexplode("near").alias("rank", "e"))
+    return rows.select("id", "x", "y", "e.sid", "e.sx", "e.sy", "e.sv", "e.d2", (F.col("rank") + 1).alias("rank"))
+
+
+def idw(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float | None = None) -> DataFrame:
     """(id, x, y, v): inverse squared distance over the n nearest samples; a sample at the very place decides alone."""
-    near = neighbours(targets, samples, n, bucket)
-    exact = F.min_by("sv", F.struct("d2", "sid"))
-    weighed = F.sum(F.when(F.col("d2") > 0, F.col("sv") / F.col("d2"))) / F.sum(F.when(F.col("d2") > 0, 1 / F.col("d2")))
-    return near.groupBy("id", "x", "y").agg(F.when(F.min("d2") == 0, exact).otherwise(weighed).alias("v"))
+    near = nearest(targets, samples, n, bucket)
+    total = lambda f: F.aggregate("near", F.lit(0.0), lambda t, s: t + f(s))
+    weighed = F.try_divide(total(lambda s: s["sv"] / s["d2"]), total(lambda s: F.lit(1.0) / s["d2"]))
+    value = F.when(F.size("near") == 0, None).when(F.col("near")[0]["d2"] == 0, F.col("near")[0]["sv"]).otherwise(weighed)
+    return near.select("id", "x", "y", value.alias("v"))
 
 
-def _solved(targets: DataFrame, samples: DataFrame, n: int, bucket: float, solve) -> DataFrame:
-    """Group each target's neighbours into arrays (n at most) and solve in Arrow batches."""
-    near = neighbours(targets, samples, n, bucket)
-    near = near.groupBy("id", "x", "y").agg(F.sort_array(F.collect_list(F.struct("rank", "sx", "sy", "sv"))).alias("p"))
+def _solved(targets: DataFrame, samples: DataFrame, n: int, bucket: float | None, solve) -> DataFrame:
+    """``solve(p, v, at)`` on stacked systems of the same size: p (b, m, 2), v (b, m), at (b, 2) -> b values."""
+    near = nearest(targets, samples, n, bucket)
 
     def run(frames):
-        import numpy as np
-
         for f in frames:
-            values = [solve(np.array([[q["sx"], q["sy"]] for q in p]), np.array([q["sv"] for q in p], float), np.array([x, y])) for p, x, y in zip(f["p"], f["x"], f["y"])]
-            yield f[["id", "x", "y"]].assign(v=values)
+            sizes = f["near"].map(len).to_numpy()
+            out = np.full(len(f), np.nan)
+            for m in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == m)
+                rows = [[(q["sx"], q["sy"], q["sv"]) for q in f["near"].iloc[i]] for i in at]
+                p = np.array(rows, float)
+                out[at] = solve(p[:, :, :2], p[:, :, 2], f[["x", "y"]].to_numpy(float)[at])
+            yield f[["id", "x", "y"]].assign(v=out)
 
-    return near.mapInPandas(run, f"id {dict(targets.dtypes)['id']}, x double, y double, v double")
+    kind = dict(targets.dtypes)["id"]
+    return near.mapInPandas(run, f"id {kind}, x double, y double, v double").withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
 
 
-def kriging(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float = 1.0, span: float = 2.0, sill: float = 1.0, nugget: float = 0.0) -> DataFrame:
-    """Ordinary kriging with a spherical variogram over the n nearest samples. Method-equivalent."""
+def _apart(p: np.ndarray) -> np.ndarray:
+    return np.hypot(*np.moveaxis(p[:, :, None] - p[:, None], -1, 0))
 
-    def gamma(h):
-        import numpy as np
 
-        r = np.minimum(h / span, 1.0)
-        return np.where(h > 0, nugget + sill * (1.5 * r - 0.5 * r**3), 0.0)
+def _linear(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of stacked systems; the least-norm ones where samples share a place."""
+    try:
+        x = np.linalg.solve(a, b[..., None])[..., 0]
+        if np.isfinite(x).all() and np.abs(x).max() < 1e12:
+            return x
+    except np.linalg.LinAlgError:
+        pass
+    return (np.linalg.pinv(a) @ b[..., None])[..., 0]
 
-    def solve(p, v, at):
-        import numpy as np
 
-        m = len(v)
-        a = np.ones((m + 1, m + 1))
-        a[:m, :m] = gamma(np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)))
-        a[m, m] = 0
-        b = np.append(gamma(np.hypot(*(p - at).T)), 1.0)
-        return float(np.linalg.lstsq(a, b, rcond=None)[0][:m] @ v)
+def spherical(h: np.ndarray, span: float, sill: float, nugget: float) -> np.ndarray:
+    r = np.minimum(h / span, 1.0)
+    return np.where(h > 0, nugget + sill * (1.5 * r - 0.5 * r**3), 0.0)
 
-    return _solved(targets, samples, n, bucket, solve)
 
+def variogram(samples: DataFrame, n: int = 24, lags: int = 12, bucket: float | None = None) -> tuple[float, float, float]:
+    """(span, sill, nugget) of a spherical variogram fitted to half the mean squared differences of near samples, by lag.
 
-def spline(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float = 1.0, weight: float = 0.1) -> DataFrame:
-    """Thin-plate spline with a linear trend and smoothing ``weight`` over the n nearest samples. Method-equivalent."""
+    Pairs are each sample's n nearest others; a row per lag comes to the driver, where spans are tried in turn and sill and
+    nugget follow by least squares.
+    """
+    near = neighbours(samples.select(F.col("sid").alias("id"), "x", "y", "v"), samples, n + 1, bucket).where("d2 > 0")
+    pairs = near.join(samples.select(F.col("sid").alias("id"), F.col("v").alias("v0")), "id").select(F.sqrt("d2").alias("h"), (F.lit(0.5) * F.pow(F.col("sv") - F.col("v0"), 2)).alias("g"))
+    most = pairs.agg(F.max("h")).first()[0]
+    if not most:
+        return 1.0, 1.0, 0.0
+    by = pairs.groupBy(F.least(F.floor(F.col("h") / most * lags), F.lit(lags - 1)).alias("lag")).agg(F.avg("h").alias("h"), F.avg("g").alias("g"), F.count(F.lit(1)).alias("c")).collect()
+    h, g, w = (np.array([r[c] for r in by], float) for c in ("h", "g", "c"))
+    best = (np.inf, float(most), float(g.mean()) or 1.0, 0.0)
+    for span in np.linspace(0.1, 3.0, 59) * most:
+        base = spherical(h, span, 1.0, 0.0)
+        for columns in (np.stack([base, np.ones(len(h))], 1), base[:, None]):  # with and without a nugget
+            x = np.linalg.lstsq(columns * np.sqrt(w)[:, None], g * np.sqrt(w), rcond=None)[0]
+            if (x >= 0).all() and x[0] > 0:
+                miss = float((w * (columns @ x - g) ** 2).sum())
+                if miss < best[0]:
+                    best = (miss, float(span), float(x[0]), float(x[1]) if len(x) > 1 else 0.0)
+    return best[1:]
+
+
+def kriging(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float | None = None, model: tuple[float, float, float] | None = None) -> DataFrame:
+    """Ordinary kriging over the n nearest samples, with the spherical variogram (span, sill, nugget) given or fitted."""
+    span, sill, nugget = model or variogram(samples, bucket=bucket)
 
     def solve(p, v, at):
-        import numpy as np
-
-        m = len(v)
-        base = lambda h: np.where(h > 0, h**2 * np.log(np.maximum(h, 1e-300)), 0.0)
-        t = np.column_stack([np.ones(m), p])
-        a = np.zeros((m + 3, m + 3))
-        a[:m, :m] = base(np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))) + weight * np.eye(m) * 1e-3
-        a[:m, m:], a[m:, :m] = t, t.T
-        c = np.linalg.lstsq(a, np.append(v, np.zeros(3)), rcond=None)[0]
-        return float(base(np.hypot(*(p - at).T)) @ c[:m] + c[m] + c[m + 1 :] @ at)
+        b, m = v.shape
+        a = np.ones((b, m + 1, m + 1))
+        a[:, :m, :m] = spherical(_apart(p), span, sill, nugget)
+        a[:, m, m] = 0
+        right = np.ones((b, m + 1))
+        right[:, :m] = spherical(np.hypot(*np.moveaxis(p - at[:, None], -1, 0)), span, sill, nugget)
+        return (_linear(a, right)[:, :m] * v).sum(1)
 
     return _solved(targets, samples, n, bucket, solve)
 
 
-def natural_neighbour(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float = 1.0, side: int = 24) -> DataFrame:
-    """Discrete Sibson: the share of a target's own region that each of its n nearest samples would lose. Method-equivalent."""
+def tension(h: np.ndarray, weight: float) -> np.ndarray:
+    """The basis function of a spline with tension; 0 at 0. The Bessel function K0 is its integral, by the trapezoid rule."""
+    x = np.maximum(h, 1e-12) * math.sqrt(weight)
+    t = np.linspace(0.0, 12.0, 241)
+    k0 = np.zeros_like(x)
+    for i, u in enumerate(t.tolist()):
+        k0 += (0.025 if i in (0, 240) else 0.05) * np.exp(-np.minimum(x * math.cosh(u), 700.0))
+    return np.where(h > 1e-12, -(np.log(x / 2) + 0.5772156649015329 + k0) / (2 * math.pi * weight), 0.0)
+
+
+def spline(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float | None = None, weight: float = 0.1) -> DataFrame:
+    """Spline with tension ``weight`` and a constant trend over the n nearest samples; exact at samples."""
 
     def solve(p, v, at):
-        import numpy as np
+        b, m = v.shape
+        a = np.ones((b, m + 1, m + 1))
+        a[:, :m, :m] = tension(_apart(p), weight)
+        a[:, m, m] = 0
+        c = _linear(a, np.concatenate([v, np.zeros((b, 1))], 1))
+        return (tension(np.hypot(*np.moveaxis(p - at[:, None], -1, 0)), weight) * c[:, :m]).sum(1) + c[:, m]
+
+    return _solved(targets, samples, n, bucket, solve)
 
-        d = np.hypot(*(p - at).T)
-        if d.min() == 0:
-            return float(v[d.argmin()])
+
+def natural_neighbour(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float | None = None, side: int = 24) -> DataFrame:
+    """Discrete Sibson: the share of a target's own region that each of its n nearest samples would lose. NULL outside their hull's box."""
+
+    def solve(p, v, at):
+        d = np.hypot(*np.moveaxis(p - at[:, None], -1, 0))
         g = (np.arange(side) + 0.5) / side * 2 - 1
-        q = at + np.stack(np.meshgrid(g, g), -1).reshape(-1, 2) * d.max()
-        away = np.hypot(*(q[:, None] - p[None]).transpose(2, 0, 1))
-        lost = np.hypot(*(q - at).T) < away.min(1)
-        w = np.bincount(away.argmin(1)[lost], minlength=len(v)).astype(float)
-        return float(w @ v / w.sum()) if w.sum() else float(v[d.argmin()])
+        net = np.stack(np.meshgrid(g, g), -1).reshape(-1, 2)
+        out = np.empty(len(v))
+        for a in range(0, len(v), 256):
+            q = at[a : a + 256, None] + net * d[a : a + 256].max(1)[:, None, None]
+            away = np.hypot(*np.moveaxis(q[:, :, None] - p[a : a + 256, None], -1, 0))
+            lost = np.hypot(*np.moveaxis(q - at[a : a + 256, None], -1, 0)) < away.min(2)
+            w = ((away.argmin(2)[:, :, None] == np.arange(v.shape[1])) & lost[:, :, None]).sum(1)
+            some = w.sum(1)
+            first = v[a : a + 256][np.arange(len(w)), d[a : a + 256].argmin(1)]
+            out[a : a + 256] = np.where((some > 0) & (d[a : a + 256].min(1) > 0), (w * v[a : a + 256]).sum(1) / np.maximum(some, 1), first)
+        outside = (at < p.min(1)).any(1) | (at > p.max(1)).any(1)
+        out[outside] = np.nan
+        return out
 
     return _solved(targets, samples, n, bucket, solve)
 

@@ -73,3 +73,15 @@ def shift(raster: DataFrame, rows: int, cols: int) -> DataFrame:
 def shift_pad(raster: DataFrame, by: int = 3) -> DataFrame:
     """Edges widened by diagonal copies: the raster itself first, then left up, left down, right down, right up."""
     return mosaic([raster, *(shift(raster, dr, dc) for dr, dc in ((-by, -by), (by, -by), (by, by), (-by, by)))], "first")
+
+
+def edge_tiles(points: DataFrame, extent: tuple[float, float, float, float], tile: str = "tile_id") -> DataFrame:
+    """(tile, edge): whether any of a tile's points lies outside (xmin, ymin, xmax, ymax)."""
+    xmin, ymin, xmax, ymax = extent
+    out = (F.min("x") < xmin) | (F.max("x") > xmax) | (F.min("y") < ymin) | (F.max("y") > ymax)
+    return points.groupBy(tile).agg(out.alias("edge"))
+
+
+def template_tile(classified: DataFrame) -> DataFrame:
+    """The first tile that passes, as the pattern of the others: one row."""
+    return classified.where(F.col("status") == "pass").agg(F.min_by(F.struct(*classified.columns), "tile_id").alias("t")).select("t.*")

@@ -14,6 +14,8 @@ from abyssal.operators import interpolation as I
 from abyssal.operators import preflight as P
 from abyssal.operators import tiling as T
 from abyssal.operators import validation as V
+from abyssal.sources import aaigrid as S
+from abyssal.sources import ctd
 from abyssal.plans.fixtures import GRID, NCOLS, NROWS, load, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,38 +88,68 @@ def row_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = load(spark, sf_dir, "cube_gaps").where("k = 0 and v is not null")
-    return cube.select((F.col("i") * 100 + F.col("j")).alias("sid"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), "v")
+    """The casts' observations, as many as the scale factor gives."""
+    return load(spark, sf_dir, "points").where("obs is not null").select(F.col("id").alias("sid"), "x", "y", F.col("obs").alias("v"))
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "bathy").select("id", "x", "y")
 
 
-_NEAR = """, s as (select i * 100 + j as sid, cast(i as double) as sx, cast(j as double) as sy, v from cube_gaps where k = 0 and v is not null),
-d as (select id, x, y, sid, v, (x - sx) * (x - sx) + (y - sy) * (y - sy) as d2 from bathy, s where abs(x - sx) <= 8 and abs(y - sy) <= 8),
-n as (select *, row_number() over (partition by id order by d2, sid) as rn from d qualify rn <= 10)
-"""
-
-
-@query(_NEAR + "select id, x, y, round(case when min(d2) = 0 then min_by(v, rn) else sum(case when d2 > 0 then v / d2 end) / sum(case when d2 > 0 then 1 / d2 end) end, 6) as v from n group by id, x, y", "cube_gaps bathy")
+@query(""", s as (select id as sid, x as sx, y as sy, obs as v from points where obs is not null),
+d as (select b.id, any_value(b.x) as x, any_value(b.y) as y, min({'d2': (b.x - sx) * (b.x - sx) + (b.y - sy) * (b.y - sy), 'sid': sid, 'v': v}, 10) as near from bathy b, s group by b.id),
+n as (select id, x, y, unnest(near).d2 as d2, unnest(near).sid as sid, unnest(near).v as v from d)
+select id, x, y, round(case when min(d2) = 0 then min_by(v, {'d2': d2, 'sid': sid}) else sum(case when d2 > 0 then v / d2 end) / sum(case when d2 > 0 then 1 / d2 end) end, 6) as v from n group by id, x, y""", "points bathy")
 def idw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.idw(_targets(spark, sf_dir), _samples(spark, sf_dir), 10, 4.0).withColumn("v", F.round("v", 6))
+    return I.idw(_targets(spark, sf_dir), _samples(spark, sf_dir), 10).withColumn("v", F.round("v", 6))
 
 
 @query()
 def kriging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.kriging(_targets(spark, sf_dir), _samples(spark, sf_dir), 10, 4.0, span=6.0)
+    return I.kriging(_targets(spark, sf_dir), _samples(spark, sf_dir), 10)
 
 
 @query()
 def spline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.spline(_targets(spark, sf_dir), _samples(spark, sf_dir), 10, 4.0)
+    return I.spline(_targets(spark, sf_dir), _samples(spark, sf_dir), 10)
 
 
 @query()
 def natural_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.natural_neighbour(_targets(spark, sf_dir), _samples(spark, sf_dir), 10, 4.0)
+    return I.natural_neighbour(_targets(spark, sf_dir), _samples(spark, sf_dir), 10)
+
+
+@query()
+def natural_then_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets, samples = _targets(spark, sf_dir), _samples(spark, sf_dir)
+    return I.first_of(I.natural_neighbour(targets, samples, 10), I.idw(targets, samples, 10))
+
+
+@query(f"select id, d, list_extract(list_sort(list_transform({_ZS}, lambda z: {{'a': abs(z - d), 'z': z}})), 1).z as z from bathy_wide", "bathy_wide")
+def nearest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.nearest_depth(load(spark, sf_dir, "bathy_wide"), GRID).select("id", "d", "z")
+
+
+_EDGES = ", t as (select *, case when id % 17 = 0 then null else d end as depth, cast(floor(x / cast(3 as double)) * 100 + floor(y / cast(3 as double)) as int) as tile_id from bathy_wide), e as (select tile_id, min(x) < 0 or max(x) > 15 or min(y) < 0 or max(y) > 15 as edge from t group by tile_id)\n"
+
+
+def _tiled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = load(spark, sf_dir, "bathy_wide").withColumn("tile_id", (F.floor(F.col("x") / 3) * 100 + F.floor(F.col("y") / 3)).cast("int"))
+    return points.withColumn("d", F.when(F.col("id") % 17 != 0, F.col("d")))
+
+
+@query(_EDGES + "select tile_id, edge from e", "bathy_wide")
+def edge_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.edge_tiles(_tiled_points(spark, sf_dir), GRID.extent)
+
+
+@query(_EDGES + """select id, x, y, tile_id, case when not edge then case when depth is null then 'Flag 3' when depth >= 5500 or depth < 0 then 'Flag 4' else 'Flag 2' end
+when depth is null then 'Flagged 1' when depth >= 5500 then case when y < 0 then 'Bot' when y > 15 and side <> '' then 'Up' when y > 15 then 'Top' when side = '' then 'OK' else '' end || side || 'Deep'
+else case when y < 0 and side <> '' then 'Bot' when y < 0 then 'Bottom' when y > 15 and side <> '' then 'Up' when y > 15 then 'Top' when side = '' then 'OK' else '' end || side end as flag
+from (select *, case when x < 0 then 'Left' when x > 15 then 'Right' else '' end as side from t join e using (tile_id))""", "bathy_wide")
+def tile_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _tiled_points(spark, sf_dir)
+    return I.tile_flags(points, T.edge_tiles(points, GRID.extent), GRID).select("id", "x", "y", "tile_id", "flag")
 
 
 # ---------------------------------------------------------------- catalog, axes, algebra
@@ -166,19 +198,19 @@ def round4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "casts").select("cast_id", "level", R.round4(F.col("lon")).alias("lon"), R.round4(F.col("lat")).alias("lat"))
 
 
-_MERC = "select cast_id, level, round(6378137 * radians(lon), 4) as x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2) * pow((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat))), e / 2)), 4) as y from casts, (select sqrt((1 / 298.257223563::double) * (2 - 1 / 298.257223563::double)) as e) where abs(lat) < 89"
+_MERC = "select cast_id, level, round(6378137 * radians(lon), 4) as x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2) * pow((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat))), e / 2)), 4) as y from casts, (select sqrt((1 / 298.257223563::double) * (2 - 1 / 298.257223563::double)) as e) where abs(lat) < 90"
 
 
 @query(_MERC, "casts")
 def mercator_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = R.mercator(F.col("lon"), F.col("lat"))
-    return load(spark, sf_dir, "casts").where(F.abs("lat") < 89).select("cast_id", "level", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+    return load(spark, sf_dir, "casts").where(F.abs("lat") < 90).select("cast_id", "level", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
-@query("select cast_id, level, round(lon, 6) as lon, round(lat, 6) as lat from casts where abs(lat) < 89", "casts")
+@query("select cast_id, level, round(lon, 6) as lon, round(lat, 6) as lat from casts where abs(lat) < 90", "casts")
 def mercator_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = R.mercator(F.col("lon"), F.col("lat"))
-    at = load(spark, sf_dir, "casts").where(F.abs("lat") < 89).select("cast_id", "level", x.alias("x"), y.alias("y"))
+    at = load(spark, sf_dir, "casts").where(F.abs("lat") < 90).select("cast_id", "level", x.alias("x"), y.alias("y"))
     lon, lat = R.inverse_mercator(F.col("x"), F.col("y"))
     return at.select("cast_id", "level", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
@@ -304,6 +336,48 @@ def wide_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "cube").groupBy("i", "j").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"d{int(z)}") for k, z in enumerate(GRID.zs)])
 
 
+_LAYER_NAMES = "case k when 0 then 0 when 1 then 10 when 2 then 50 when 3 then 100 when 4 then 500 when 5 then 1500 else 5500 end"
+
+
+@query("select i, j, k, v from cube", "cube")
+def cube_of_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = load(spark, sf_dir, "cube")
+    layers = cube.select(F.concat(F.lit("temp"), F.expr(_LAYER_NAMES).cast("string")).alias("name"), (F.lit(15) - F.col("j")).alias("row"), F.col("i").alias("col"), F.col("v").alias("z"))
+    return G.cube_of_layers(layers, G.layer_catalog(layers.select("name").distinct(), "temp"), 16)
+
+
+@query("select cast_id, level, case when col between 0 and 1899 and row between 0 and 999 then row end as row, case when col between 0 and 1899 and row between 0 and 999 then col end as col from (select cast_id, level, cast(floor((lon - cast(-190 as double)) / cast(0.2 as double)) as int) as col, cast(999 - floor((lat - cast(-100 as double)) / cast(0.2 as double)) as int) as row from casts)", "casts")
+def grid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row, col = G.cell_index(F.col("lon"), F.col("lat"), G.Spec(-190.0, -100.0, 190.0, 100.0, 0.2))
+    return load(spark, sf_dir, "casts").select("cast_id", "level", row.alias("row"), col.alias("col"))
+
+
+_DEGREES, _METRES = G.Spec(-125.0, -60.0, 125.0, 60.0, 1.0), G.Spec(-13_000_000.0, -8_000_000.0, 13_000_000.0, 8_000_000.0, 100_000.0)
+_E = "(select sqrt((1 / 298.257223563::double) * (2 - 1 / 298.257223563::double)) as e)"
+_STEPS = "".join(f", p{n + 1} as (select row, y, e, t, pi() / 2 - 2 * atan(t * pow((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2)) as phi from p{n})" for n in range(6))
+
+
+@query(f""", c as (select cast(floor(o_orderkey % 30000 / cast(250 as double)) as int) as row, cast(o_orderkey % 250 as int) as col, max(o_totalprice) as z from orders group by 1, 2),
+p0 as (select row, y, e, exp(-y / cast(6378137 as double)) as t, pi() / 2 - 2 * atan(exp(-y / cast(6378137 as double))) as phi from (select cast(r as int) as row, cast(8000000 as double) - (r + cast(0.5 as double)) * cast(100000 as double) as y from range(160) g(r)), {_E}){_STEPS},
+rows as (select row, cast(119 - floor((degrees(phi) + cast(60 as double)) / cast(1 as double)) as int) as sr from p6),
+cols as (select cast(k as int) as col, cast(floor((degrees((cast(-13000000 as double) + (k + cast(0.5 as double)) * cast(100000 as double)) / cast(6378137 as double)) + cast(125 as double)) / cast(1 as double)) as int) as sc from range(260) g(k))
+select rows.row, cols.col, c.z from rows cross join cols left join c on c.row = sr and c.col = sc and sc between 0 and 249 and sr between 0 and 119""", "cube")
+def reproject_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    raster = orders.groupBy(F.floor(F.col("o_orderkey") % 30000 / 250).cast("int").alias("row"), (F.col("o_orderkey") % 250).cast("int").alias("col")).agg(F.max("o_totalprice").alias("z"))
+    return G.reproject_mercator(raster, _DEGREES, _METRES)
+
+
+@query(_CLASSES + "select * from classified where tile_id = (select min(tile_id) from classified where status = 'pass')", "bathy_raster")
+def template_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.template_tile(T.tile_classify(_tiles(spark, sf_dir)))
+
+
+@query(_TILES.rstrip() + ", b as (select tile_id, row, string_agg(cast(cast(coalesce(round(z), cast(-9999 as double)) as int) as varchar) || '.0', ' ' order by col) as line from tiles group by tile_id, row) select tile_id, row, line from b", "bathy_raster")
+def ascii_grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.grid_lines(_tiles(spark, sf_dir).withColumn("z", F.round("z")))
+
+
 @query("select n_name as bathymetry, r_name as variable from nation, region")
 def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").select(F.col("n_name").alias("bathymetry")).crossJoin(F.broadcast(load(spark, sf_dir, "region").select(F.col("r_name").alias("variable"))))  # job lists
@@ -312,6 +386,35 @@ def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- casts and validation
 
 
+def _cast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): the casts as the files that instruments' archives hold, 50 casts a file."""
+    casts = load(spark, sf_dir, "casts")
+    line = F.concat_ws(",", F.col("level").cast("string"), F.col("depth").cast("string"), F.lit("0"), F.lit("0"), "obs", F.lit("0"), F.lit("0"))
+    one = casts.groupBy("cast_id", "lat", "lon").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", line.alias("l")))), lambda x: x["l"]).alias("levels"))
+    head = F.concat_ws("\n", F.lit("#--------"), F.concat(F.lit("CAST,,"), F.col("cast_id").cast("string"), F.lit(",")), F.concat(F.lit("Latitude,,"), F.col("lat").cast("string"), F.lit(",")), F.concat(F.lit("Longitude,,"), F.col("lon").cast("string"), F.lit(",")), F.lit("VARIABLES,Depth,F,O,Temperatur,F,O"), F.lit("Prof-Flag,,0"))
+    text = F.concat_ws("\n", head, F.concat_ws("\n", "levels"), F.lit("END OF VARIABLES SECTION"))
+    each = one.select(F.concat(F.lit("f"), F.floor(F.col("cast_id") / 50).cast("string")).alias("path"), "cast_id", text.alias("t"))
+    return each.groupBy("path").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("cast_id", "t"))), lambda x: x["t"])).alias("text"))
+
+
+_LEVELS = "select cast(cast_id as varchar) as \"cast\", lat, lon, cast(level as int) as level, depth as \"Depth\", cast(case when obs = '---0---' then null else obs end as double) as \"Temperatur\" from casts"
+
+
+@query(_LEVELS, "casts")
+def cast_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.coerce(C.variables(C.parse(_cast_files(spark, sf_dir)), ["Depth", "Temperatur"]), ["Depth", "Temperatur"])
+
+
+@query(f"select \"cast\", lat, lon, level, -\"Depth\" as \"Depth\", \"Temperatur\" from ({_LEVELS}) qualify row_number() over (partition by \"cast\" order by level desc) = 1", "casts")
+def cast_files_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctd.cleaned(_cast_files(spark, sf_dir), ["Depth", "Temperatur"])[0]
+
+
+@query("select count(distinct cast_id) as n_casts, cast(0 as bigint) as n_failed from casts", "casts")
+def failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctd.cleaned(_cast_files(spark, sf_dir), ["Depth", "Temperatur"])[1]
+
+
 @query("select cast_id, level, depth, obs, lat, lon from deepest", "deepest")
 def deepest_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.deepest(load(spark, sf_dir, "casts"), "cast_id")
@@ -355,6 +458,12 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _T = "points cube bathy_raster"
 _BOTH = "where obs is not null and tri is not null"
+_WITHIN = _BOTH + " and bathy_dep <> 0 and depth / nullif(bathy_dep, 0) between cast(0.5 as double) and cast(1.5 as double)"
+_CUT_OFF = 0.5
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.depth_filter(_points(spark, sf_dir), _CUT_OFF)
 
 
 @query(_VP + "select id, depth, bathy_dep, depth / bathy_dep as ratio from vp where bathy_dep <> 0 and depth / bathy_dep between cast(0.5 as double) and cast(1.5 as double)", _T)
@@ -362,7 +471,7 @@ def depth_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.depth_filter(_points(spark, sf_dir), 0.5).select("id", "depth", "bathy_dep", "ratio")
 
 
-@query(_VP + "select count(*) as n_all, count(*) filter (h) as n_kept, count(*) - count(*) filter (h) as n_dropped from (select coalesce(bathy_dep <> 0 and depth / nullif(bathy_dep, 0) between cast(0.5 as double) and cast(1.5 as double), false) as h from vp)", _T)
+@query(_VP + "select count(*) as n_all, count(*) filter (h) as n_kept, count(*) - count(*) filter (h) as n_dropped from (select coalesce(bathy_dep <> 0 and depth / nullif(bathy_dep, 0) between cast(0.5 as double) and cast(1.5 as double), false) as h from vp where obs is not null)", _T)
 def retained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.retained(_points(spark, sf_dir), 0.5)
 
@@ -371,12 +480,12 @@ def _stat(sql: str) -> str:
     return _VP + f"select count(*) as n, round({sql}, 6) as value from vp {_BOTH}"
 
 
-@query(_stat("sqrt(avg((tri - obs) * (tri - obs)))"), _T)
+@query(_stat("sqrt(avg((obs - tri) * (obs - tri)))"), _T)
 def rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.statistics(_points(spark, sf_dir)).select("n", F.round("rmse", 6).alias("value"))
 
 
-@query(_stat("avg(tri - obs)"), _T)
+@query(_stat("avg(obs - tri)"), _T)
 def mean_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.statistics(_points(spark, sf_dir)).select("n", F.round("mean_diff", 6).alias("value"))
 
@@ -388,21 +497,27 @@ def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pearson_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = V.statistics(_points(spark, sf_dir)).first()
-    return spark.createDataFrame([(r.n, r.pearson, V.pearson_p(r.pearson, r.n))], "n long, pearson double, p double")
+    return V.summary(_points(spark, sf_dir), _CUT_OFF).select("variant", "n", "pearson", "p")
+
+
+@query(_VP.rstrip() + f", u as (select 'original' as variant, * from vp where obs is not null union all select 'filtered', * from vp where obs is not null and bathy_dep <> 0 and depth / nullif(bathy_dep, 0) between cast(0.5 as double) and cast(1.5 as double))\n"
+    "select variant, count(*) filter (tri is not null) as n, round(sqrt(avg((obs - tri) * (obs - tri))), 6) as rmse, round(avg(obs - tri), 6) as mean_diff, round(corr(tri, obs), 6) as pearson, round(sqrt(avg((bathy_dep - depth) * (bathy_dep - depth))), 6) as depth_rmse from u group by variant", _T)
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = V.summary(_points(spark, sf_dir), _CUT_OFF).drop("p")
+    return out.withColumns({c: F.round(c, 6) for c in ("rmse", "mean_diff", "pearson", "depth_rmse")})
 
 
 _BINS = "(values " + ", ".join(f"({a}, {b})" for a, b in zip(R.DEPTH_EDGES, R.DEPTH_EDGES[1:])) + ") as e(lo, bin)"
 
 
-@query(_VP + f"select bin, count(id) as n, round(avg(tri - obs), 6) as mean_diff from {_BINS} left join (select * from vp {_BOTH}) on depth > lo and depth <= bin group by bin", _T)
+@query(_VP + f"select bin, count(id) as n, round(avg(obs - tri), 6) as mean_diff from {_BINS} left join (select * from vp {_WITHIN}) on depth > lo and depth <= bin group by bin", _T)
 def depth_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.depth_bins(_points(spark, sf_dir)).withColumn("mean_diff", F.round("mean_diff", 6))
+    return V.depth_bins(_filtered(spark, sf_dir)).withColumn("mean_diff", F.round("mean_diff", 6))
 
 
-@query(_VP.rstrip() + f", b as (select bin, tri - obs as diff from {_BINS} join (select * from vp {_BOTH}) on depth > lo and depth <= bin), q as (select bin, count(*) as n, quantile_cont(diff, 0.25) as q1, quantile_cont(diff, 0.5) as median, quantile_cont(diff, 0.75) as q3 from b group by bin)\n" + "select q.bin, n, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, round(min(diff) filter (i), 6) as low, round(max(diff) filter (i), 6) as high, count(*) filter (not i) as n_fliers from q join (select b.bin, diff, diff between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as i from b join q on b.bin = q.bin) d on q.bin = d.bin group by q.bin, n, q1, median, q3", _T)
+@query(_VP.rstrip() + f", b as (select bin, obs - tri as diff from {_BINS} join (select * from vp {_WITHIN}) on depth > lo and depth <= bin), q as (select bin, count(*) as n, quantile_cont(diff, 0.25) as q1, quantile_cont(diff, 0.5) as median, quantile_cont(diff, 0.75) as q3 from b group by bin)\n" + "select q.bin, n, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, round(min(diff) filter (i), 6) as low, round(max(diff) filter (i), 6) as high, count(*) filter (not i) as n_fliers from q join (select b.bin, diff, diff between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as i from b join q on b.bin = q.bin) d on q.bin = d.bin group by q.bin, n, q1, median, q3", _T)
 def boxplot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.boxplot(_points(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3", "low", "high")})
+    return V.boxplot(_filtered(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3", "low", "high")})
 
 
 @query(_VP + "select id, x, y, cell from vp", _T)
@@ -410,15 +525,15 @@ def fishnet_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).select("id", "x", "y", "cell")
 
 
-@query(_VP + f"select cell, count(*) as n, round(avg(tri - obs), 6) as mean_diff from vp {_BOTH} group by cell", _T)
+@query(_VP + f"select cell, count(*) as n, round(avg(obs - tri), 6) as mean_diff from vp {_WITHIN} group by cell", _T)
 def spatial_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.spatial_error(_points(spark, sf_dir)).withColumn("mean_diff", F.round("mean_diff", 6))
+    return V.spatial_error(_filtered(spark, sf_dir)).withColumn("mean_diff", F.round("mean_diff", 6))
 
 
-@query(_VP + f"select cast(g.cell as int) as cell, count(id) as n, round(avg(tri - obs), 6) as mean_diff from range(62500) g(cell) left join (select * from vp {_BOTH}) v on v.cell = g.cell group by g.cell", _T)
+@query(_VP + f"select cast(g.cell as int) as cell, count(id) as n, round(avg(obs - tri), 6) as mean_diff from range(62500) g(cell) left join (select * from vp {_WITHIN}) v on v.cell = g.cell group by g.cell", _T)
 def error_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = G.fishnet(spark, GRID.extent).select(F.col("id").alias("cell"))
-    return V.error_grid(net, V.spatial_error(_points(spark, sf_dir))).withColumn("mean_diff", F.round("mean_diff", 6))
+    return V.error_grid(net, V.spatial_error(_filtered(spark, sf_dir))).withColumn("mean_diff", F.round("mean_diff", 6))
 
 
 @query(_VP + f"select least(min(tri), min(obs)) as low, greatest(max(tri), max(obs)) as high from vp {_BOTH}", _T)

@@ -70,18 +70,74 @@ def test_row_pad_case(spark):
     assert [got[i, j] for i in range(4) for j in range(4)] == [1, 2, 4, 4, 4.5, 4.5, 4.5, 4.5, 5, 7, 7, 7, 7, 7, 7, 7]
 
 
-def test_interpolators_are_exact_at_samples(spark):
+def test_interpolators_against_numpy(spark):
     rng = random.Random(3)
-    samples = [(n, x, y, 3.0 * x - y) for n, (x, y) in enumerate((rng.uniform(0, 6), rng.uniform(0, 6)) for _ in range(60))]
+    samples = [(n, x, y, 3.0 * x - y * y) for n, (x, y) in enumerate((rng.uniform(0, 6), rng.uniform(0, 6)) for _ in range(60))]
     s = spark.createDataFrame(samples, "sid int, x double, y double, v double")
     t = s.select(F.col("sid").alias("id"), "x", "y")
-    for f, tol in ((interpolation.idw, 1e-9), (interpolation.kriging, 1e-6), (interpolation.natural_neighbour, 1e-9), (interpolation.spline, 0.05)):
-        got = {r.id: r.v for r in f(t, s, 10, 0.5).collect()}
-        assert all(abs(got[n] - v) <= tol for n, _, _, v in samples), f.__name__
+    for f, tol in ((interpolation.idw, 1e-9), (interpolation.kriging, 1e-6), (interpolation.natural_neighbour, 1e-9), (interpolation.spline, 1e-6)):
+        for bucket in (None, 0.5):
+            got = {r.id: r.v for r in f(t, s, 10, bucket).collect()}
+            assert all(abs(got[n] - v) <= tol for n, _, _, v in samples), f.__name__
+    places = [(n, rng.uniform(0, 6), rng.uniform(0, 6)) for n in range(40)]
+    at = spark.createDataFrame(places, "id int, x double, y double")
+    model = (4.0, 2.0, 0.1)
+    got = [{r.id: r.v for r in f.collect()} for f in (interpolation.idw(at, s, 8), interpolation.kriging(at, s, 8, model=model), interpolation.spline(at, s, 8, weight=0.3))]
+    p = np.array([r[1:3] for r in samples])
+    v = np.array([r[3] for r in samples])
+    for n, x, y in places:
+        d = np.hypot(*(p - (x, y)).T)
+        near = np.argsort(d, kind="stable")[:8]
+        h = np.hypot(*(p[near][:, None] - p[near][None]).transpose(2, 0, 1))
+        g = lambda h: np.where(h > 0, 0.1 + 2.0 * (1.5 * np.minimum(h / 4, 1) - 0.5 * np.minimum(h / 4, 1) ** 3), 0)
+        a = np.ones((9, 9))
+        a[:8, :8], a[8, 8] = g(h), 0
+        krig = np.linalg.solve(a, np.append(g(d[near]), 1))[:8] @ v[near]
+        a[:8, :8] = interpolation.tension(h, 0.3)
+        c = np.linalg.solve(a, np.append(v[near], 0))
+        want = (v[near] / d[near] ** 2).sum() / (1 / d[near] ** 2).sum(), krig, interpolation.tension(d[near], 0.3) @ c[:8] + c[8]
+        assert all(math.isclose(f[n], w, rel_tol=1e-6, abs_tol=1e-6) for f, w in zip(got, want))
+    natural = [r.v for r in interpolation.natural_neighbour(at, s, 10).collect() if r.v is not None]
+    assert natural and all(min(v) <= x <= max(v) for x in natural)
+
+
+def test_tension_basis():
+    # K0(1) = 0.42102, K0(0.1) = 2.42707
+    for x, k0 in ((1.0, 0.4210244382), (0.1, 2.4270690247)):
+        assert interpolation.tension(np.array([x]), 1.0)[0] == pytest.approx(-(math.log(x / 2) + 0.5772156649 + k0) / (2 * math.pi), abs=1e-8)
+
+
+def test_variogram_is_fitted(spark):
+    rng = np.random.default_rng(1)
+    p = rng.uniform(0, 20, (1500, 2))
+    waves = rng.normal(0, 1, (200, 2)) * 0.6
+    v = np.sign(np.cos(p @ waves.T + rng.uniform(0, 6.3, 200))).sum(1) / 14  # steps, so that it rises from the origin in a line
+    s = spark.createDataFrame([(i, float(x), float(y), float(z)) for i, ((x, y), z) in enumerate(zip(p, v))], "sid long, x double, y double, v double")
+    span, sill, nugget = interpolation.variogram(s)
+    # half the mean squared differences of all pairs at that distance
+    d, g = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)), (v[:, None] - v[None]) ** 2 / 2
+    for h in (0.5, 0.9, 1.2):
+        assert interpolation.spherical(np.array([h]), span, sill, nugget)[0] == pytest.approx(g[abs(d - h) < 0.05].mean(), abs=0.06)
+    flat = interpolation.variogram(s.withColumn("v", F.lit(1.0)))
+    assert all(math.isfinite(x) for x in flat)
+
+
+def test_nearest_with_dense_buckets_and_no_samples(spark, monkeypatch):
+    rng = random.Random(4)
+    s = spark.createDataFrame([(i, rng.uniform(0, 5), rng.uniform(0, 5), float(i)) for i in range(80)], "sid int, x double, y double, v double")
+    t = spark.createDataFrame([(i, rng.uniform(-1, 6), rng.uniform(-1, 6)) for i in range(30)], "id int, x double, y double")
+    rows = lambda: sorted(map(tuple, interpolation.neighbours(t, s, 5).select("id", "rank", "sid").collect()))
+    usual = rows()
+    monkeypatch.setattr(interpolation, "MOST_IN_BUCKET", 1)
+    assert rows() == usual and len(usual) == 150
+    none = interpolation.neighbours(t, s.where("sid < 0"), 5)
+    assert none.columns == ["id", "x", "y", "sid", "sx", "sy", "sv", "d2", "rank"] and none.count() == 0
+    assert {r.v for r in interpolation.idw(t, s.where("sid < 0"), 5).collect()} == {None}
 
 
 def test_tile_counts():
-    assert [tiling.tile_count(n) for n in (998, 999, 1998, 4000, 21600, 43200, 86400)] == [2, 6, 10, 14, 22, 26, 30] or [tiling.tile_count(n) for n in (998, 999, 4000)] == [2, 6, 14]
+    assert [tiling.tile_count(n) for n in (998, 999, 1998, 4000, 21600, 43200)] == [2, 6, 10, 14, 22, 26]
+    assert 86400 / tiling.tile_count(86400) <= 2000 and tiling.tile_count(86400) == 60  # 30 tiles would have 2,880 cells a side
     assert tiling.is_small(998, 998) and tiling.is_small(50, 100) and not tiling.is_small(5000, 100)
 
 
@@ -128,6 +184,44 @@ def test_depth_filter_without_bathymetry(spark):
     assert validation.depth_filter(points, 0.2).count() == 1
 
 
+def test_validation_sign_and_sets(spark):
+    rows = [(i, -100.0, -100.0 if i < 6 else -400.0, 12.0 + i % 2, 10.0, 1) for i in range(8)] + [(8, -100.0, -100.0, None, 10.0, 1), (9, -100.0, 0.0, 11.0, None, 1)]
+    points = spark.createDataFrame(rows, "id int, depth double, bathy_dep double, obs double, tri double, cell int")
+    assert validation.statistics(points).first().mean_diff == 2.5  # observed above the estimate
+    assert tuple(validation.retained(points, 0.5).first()) == (9, 6, 3)
+    got = {r.variant: r for r in validation.summary(points, 0.5).collect()}
+    assert (got["original"].n, got["filtered"].n, got["original"].mean_diff, got["filtered"].depth_rmse) == (8, 6, 2.5, 0.0)
+    kept = validation.depth_filter(points, 0.5)
+    assert [(r.bin, r.n, r.mean_diff) for r in validation.depth_bins(kept).where("n > 0").collect()] == [(-100, 6, 2.5)]
+    box = validation.boxplot(kept).first()
+    assert (box.q1, box.median, box.q3, box.low, box.high, box.n_fliers) == (2.0, 2.5, 3.0, 2.0, 3.0, 0)
+    assert "filtered" in validation.report(validation.summary(points, 0.5), "x")
+    assert validation.observed_variable("sal") == ("Salinity", "unitless")
+    with pytest.raises(ValueError):
+        validation.observed_variable("ph")
+
+
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    data = [(int(g), float(x)) for g, n in ((1, 1), (2, 2), (3, 500), (4, 37)) for x in (np.round(rng.normal(0, 5, n), 1) if g < 4 else np.full(n, 7.0))]
+    got = {r.g: r.q for r in validation.quantiles(spark.createDataFrame(data, "g int, x double"), "g", "x", [0.0, 0.25, 0.5, 0.9], 16).collect()}
+    for g in (1, 2, 3, 4):
+        assert got[g] == pytest.approx(np.quantile([x for k, x in data if k == g], [0.0, 0.25, 0.5, 0.9]).tolist())
+
+
+def test_cast_directory_round_trip(spark, tmp_path):
+    from abyssal.sources import ctd
+
+    head = "#--,\nCAST,,{},\nLatitude,,1.5,\nLongitude,,-2,\nVARIABLES,Depth,F,O,Temperatur,F,O\nProf-Flag,,0\n"
+    (tmp_path / "a.csv").write_text(head.format(7) + "1,10,0,0,3.5,0,0\n2,20,0,0,---0---,0,0\nEND\n" + head.format(8) + "END\n")
+    (tmp_path / "b.csv").write_text(head.format(9) + "1,5,0,0,1.5,0,0\nEND\n")
+    done, counts = ctd.cleaned(ctd.read_files(spark, str(tmp_path)), ["Depth", "Temperatur"])
+    assert tuple(counts.first()) == (3, 1)
+    ctd.write_casts(done, str(tmp_path / "out"))
+    back = ctd.read_casts(spark, str(tmp_path / "out"), done.schema.simpleString()[7:-1].replace(":", " "))
+    assert {(r.cast, r.level, r.Depth, r.Temperatur) for r in back.collect()} == {("7", 2, -20.0, None), ("9", 1, -5.0, 1.5)}
+
+
 def test_pearson_p():
     assert validation.pearson_p(0.0, 10) == pytest.approx(1.0)
     assert validation.pearson_p(0.5, 20) == pytest.approx(0.0247, abs=2e-4)
