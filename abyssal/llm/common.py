@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,12 +27,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, the warehouse, or a folder of our own if Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="abyssal-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return _own_dir[0]
 
 
@@ -39,7 +44,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/abyssal-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Remove what ``materialise`` wrote, once nothing reads it any more."""
+    sc = written.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(written._written_to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def carried(df: DataFrame, but: tuple[str, ...] = ()) -> Column:

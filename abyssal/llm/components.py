@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abyssal.llm.common import materialise
+from abyssal.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     needs two rounds. Nodes without an edge are not listed: they are their own component.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    written = labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
         far = labels.select(F.col("node").alias("b"), F.col("comp").alias("c"))
         near = both.join(far, "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
@@ -23,6 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("c"), F.col("comp").alias("cc"))
         new = materialise(hop.join(up, "c").select("node", F.least("c", "cc").alias("comp"), (F.least("c", "cc") < F.col("comp")).alias("moved")), "labels")
         moved = not new.where("moved").isEmpty()
-        labels = new.select("node", "comp")
+        discard(written)
+        written, labels = new, new.select("node", "comp")
         if not moved:
+            discard(both)
             return labels

@@ -5,7 +5,7 @@ target takes complete epochs first (target div source size), then the documents
 budget is used: a document counts as taken when at least half of it fits, so a source misses its target by at most half
 of one document.
 
-The order within a source is cut into buckets by quantiles of the key, so no task sorts a whole source: bucket sizes are
+The order within a source is cut into buckets by the key's logarithm, so no task sorts a whole source: bucket sizes are
 summed first, and only the one bucket of each source in which the budget ends is sorted and prefix-summed. What is left
 is one row per source, against which documents are compared by (bucket, key, doc_id, text hash).
 
@@ -69,7 +69,8 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight:
 
 
 def _bucket() -> Column:
-    return F.floor((1 - F.exp(-F.col("_key"))) * F.ceil(F.col("n_docs") / _BUCKET_ROWS)).cast("long")
+    """Rises with the key, in equal steps of its logarithm, finer for larger sources: whatever the weights, a bucket holds few documents."""
+    return F.floor(F.log2("_key") * F.ceil(F.col("n_docs") / _BUCKET_ROWS)).cast("long")
 
 
 def _order() -> Column:

@@ -69,11 +69,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             same[r] = np.count_nonzero(g[1:] == g[:-1]) / gper[r]
     sep = textkit._SEP[b]
     gaps = np.flatnonzero(sep)
-    # lengths of runs between separators, as shares of short and long words
-    begins = np.concatenate([[0], gaps + 1]) if len(b) else np.zeros(0, np.int64)
-    stops = np.concatenate([gaps, [len(b)]]) if len(b) else np.zeros(0, np.int64)
-    length = stops - begins
-    begins, length = begins[length > 0], length[length > 0]
+    # lengths of runs between separators or texts' ends, as shares of short and long words
+    cuts = np.unique(np.concatenate([at, gaps, gaps + 1]))
+    begins, length = cuts[:-1], np.diff(cuts)
+    ink_run = ~sep[begins] if len(b) else np.zeros(0, bool)
+    begins, length = begins[ink_run], length[ink_run]
     of = np.searchsorted(at, begins, "right") - 1
     short = np.bincount(of[length <= 3], minlength=rows)[:rows] if len(of) else np.zeros(rows)
     long_ = np.bincount(of[length >= 12], minlength=rows)[:rows] if len(of) else np.zeros(rows)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abyssal.llm import byte_bpe, jaccard_join, line_dedup, mixing, quality
-from abyssal.llm.common import carried, materialise, read
+from abyssal.llm.common import carried, discard, materialise, read
 from abyssal.llm.registry import RANKS
 
 THRESHOLD = 0.3
@@ -48,10 +48,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, and the ids packed as little-endian unsigned 32-bit integers."""
+    """doc_id, lang, source, n_tokens, and the ids and their byte offsets (and the end) packed as little-endian unsigned 32-bit integers.
+
+    A null or empty text has no ids. Rows that the mix repeats are encoded as often.
+    """
     keyed = docs.select(F.struct("doc_id", "lang", "source").alias("k"), "text")
-    ids = byte_bpe.encode(keyed, public_tokenizers.path(RANKS), id_col="k")
-    return ids.select("k.*", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids")
+    ids = byte_bpe.encode(keyed, public_tokenizers.path(RANKS), id_col="k", with_offsets=True)
+    return ids.select("k.*", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", "offsets")
 
 
 STAGES = [
@@ -69,8 +72,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``, each written and read again as the next one's input."""
     docs = read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage_{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 
