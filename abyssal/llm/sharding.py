@@ -18,9 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from abyssal.llm.common import carried
+
 _BUCKET_ROWS = 20_000
 
 
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+
+
 def unit(key: Column, shard: Column, seed: str) -> Column:
     digits = F.substring(F.md5(F.concat(F.lit(seed), F.lit(":"), shard.cast("string"), F.lit(":"), key)), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -36,23 +42,29 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     """docs with size, text_crc32, shard, slot, and grown_shard for the longer list of weights ``grown``."""
     if grown is not None and list(grown[: len(weights)]) != list(weights):
         raise ValueError("grown must begin with weights")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    key = _key(id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    new = ("size", "text_crc32", "shard", "grown_shard")
     full = list(grown or weights)
-    out = docs.withColumns({"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text).cast("long"), "_s": scores(key, full, seed), "_h": F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")})
-    out = out.withColumns({"shard": (-F.array_max(F.slice("_s", 1, len(weights))).getField("i")).cast("int"), "grown_shard": (-F.array_max("_s").getField("i")).cast("int") if grown else F.lit(None).cast("int")}).drop("_s")
-    return out
+    rows = docs.select(carried(docs).alias("row"), F.octet_length(text).cast("long").alias("size"), F.crc32(text).cast("long").alias("crc"), scores(key, full, seed).alias("s"))
+    first = lambda x: (-F.array_max(x).getField("i")).cast("int")
+    return rows.select(
+        *[F.col(f"row.`{c}`") for c in docs.columns if c not in new], (F.col("size") + 8).alias("size"), F.col("crc").alias("text_crc32"),
+        first(F.slice("s", 1, len(weights))).alias("shard"), (first(F.col("s")) if grown else F.lit(None).cast("int")).alias("grown_shard"),
+    )
 
 
 def with_slots(sharded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A gapless slot from 0 within each shard, in the order of (hash of the key, key, checksum)."""
-    total = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).withColumn("_nb", F.ceil(F.col("_n") / _BUCKET_ROWS)).select(F.col("shard").alias("_sh"), "_nb")
-    rows = sharded.join(total, F.col("shard") == F.col("_sh")).withColumn("_b", F.floor(F.col("_h") * F.col("_nb") / float(1 << 32)).cast("long")).drop("_sh", "_nb")
-    sums = rows.groupBy(F.col("shard").alias("_sh"), F.col("_b").alias("_sb")).agg(F.count(F.lit(1)).alias("_n"))
-    sums = sums.select("_sh", "_sb", (F.sum("_n").over(W.partitionBy("_sh").orderBy("_sb")) - F.col("_n")).alias("_from"))
-    rows = rows.withColumn("_r", F.row_number().over(W.partitionBy("shard", "_b").orderBy("_h", id_col, "text_crc32")) - 1)
-    rows = rows.join(sums, (F.col("shard") == F.col("_sh")) & (F.col("_b") == F.col("_sb")))
-    return rows.withColumn("slot", (F.col("_from") + F.col("_r")).cast("long")).drop("_h", "_b", "_r", "_sh", "_sb", "_from")
+    total = sharded.groupBy(F.col("shard").alias("sh")).agg(F.ceil(F.count(F.lit(1)) / _BUCKET_ROWS).alias("nb"))
+    hashed = F.conv(F.substring(F.md5(_key(id_col)), 1, 8), 16, 10).cast("long")
+    rows = sharded.select(carried(sharded, ("slot",)).alias("row"), F.col("shard").alias("s"), hashed.alias("h"), F.col(id_col).alias("id"), F.col("text_crc32").alias("crc"))
+    rows = rows.join(total, F.col("s") == F.col("sh")).withColumn("b", F.floor(F.col("h") * F.col("nb") / float(1 << 32)).cast("long")).drop("sh", "nb")
+    sums = rows.groupBy(F.col("s").alias("sh"), F.col("b").alias("sb")).agg(F.count(F.lit(1)).alias("n"))
+    sums = sums.select("sh", "sb", (F.sum("n").over(W.partitionBy("sh").orderBy("sb")) - F.col("n")).alias("from"))
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("s", "b").orderBy("h", "id", "crc")) - 1)
+    rows = rows.join(sums, (F.col("s") == F.col("sh")) & (F.col("b") == F.col("sb")))
+    return rows.select(*[F.col(f"row.`{c}`") for c in sharded.columns if c != "slot"], (F.col("from") + F.col("r")).cast("long").alias("slot"))
 
 
 def assignment(docs: DataFrame, n_shards: int = 24) -> DataFrame:

@@ -1,6 +1,6 @@
 """Operator 6: URL filters by hashed host-suffix and path-prefix expressions. DataFrame functions only.
 
-Each distinct URL becomes its host suffixes times its path prefixes. Expressions meet rules in an equi-join on a short
+Each distinct URL becomes its host suffixes times its path prefixes, as long as rules are at most. Expressions meet rules in an equi-join on a short
 prefix of their SHA-256; the full digest then confirms, and of a URL's rules the longest wins.
 
 Distinct URLs pre-aggregate, so a URL or host with a third of all rows is judged once; the join back to pages has one row
@@ -30,12 +30,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(parts(1), _CAPITALS, _SMALL), parts(2)
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """Array of (host suffix, path prefix). A path's prefixes end at its slashes."""
+def expressions(host: Column, path: Column, most_labels: int = 1 << 30, most_parts: int = 1 << 30) -> Column:
+    """Array of (host suffix, path prefix) of up to so many labels and slashes. A path's prefixes end at its slashes."""
     labels = F.split(host, r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - F.lit(most_labels) + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.split(path, "/", -1)
-    paths = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    paths = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(most_parts))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
     paths = F.when(F.size(parts) > 1, paths).otherwise(F.array().cast("array<string>"))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("h"), p.alias("p")))))
 
@@ -57,9 +57,11 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     urls = pages.select(F.col(url_col).alias("_u")).distinct()
     host, path = host_and_path(F.col("_u"))
     urls = urls.select("_u", host.alias("_h"), path.alias("_p"))
-    parts = urls.where("_h <> ''").select("_u", F.explode(expressions(F.col("_h"), F.col("_p"))).alias("e")).select("_u", digest(F.col("e.h"), F.col("e.p")).alias("_d"))
+    # no rule has more labels or slashes, so longer expressions fit none
+    most = rules.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("host", r"\.", -1))).alias("labels"), F.max(F.size(F.split("path", "/", -1)) - 1).alias("parts")).first()
+    parts = urls.where("_h <> ''").select("_u", F.explode(expressions(F.col("_h"), F.col("_p"), most.labels or 1, most.parts or 1)).alias("e")).select("_u", digest(F.col("e.h"), F.col("e.p")).alias("_d"))
     # the short prefix is the join's key; the full digest is confirmed on what meets
-    hits = parts.withColumn("_s", F.substring("_d", 1, _PREFIX)).join(small_or_plain(held, rules.count(), most_broadcast), F.col("_s") == F.col("_rs"))
+    hits = parts.withColumn("_s", F.substring("_d", 1, _PREFIX)).join(small_or_plain(held, most.n, most_broadcast), F.col("_s") == F.col("_rs"))
     hits = hits.where(F.struct("_d") == F.struct(F.col("_rd").alias("_d")))
     best = hits.groupBy("_u").agg(F.max(F.struct(F.length("_rule").alias("a"), F.length("_rh").alias("b"), F.col("_rule").alias("rule"), F.col("_v").alias("v"))).alias("_b"))
     best = best.select(F.col("_u").alias("_bu"), F.col("_b.rule").alias("_rule"), F.col("_b.v").alias("_v"))

@@ -366,6 +366,27 @@ def test_url_filter(spark):
         url_filter.rule_table(spark, [("block", "a.b", "/x")])
 
 
+def test_url_filter_on_odd_rows(spark):
+    rules = url_filter.rule_table(spark, url_filter.RULES)
+    schema = "page_id long, url string, _h string, _p string, row string, rule string, _url string, _u string, _s string"
+    long = "http://" + ".".join(["a"] * 2000) + ".net/fr/" + "/".join(["b"] * 5000)
+    data = [(None, "http://net/es/", *"abcdefg"), (1, long, *"abcdefg"), (1, long, *"abcdefg"), (2, None, *"abcdefg")]
+    got = url_filter.judge(spark.createDataFrame(data, schema), rules).collect()
+    assert sorted(((r.page_id, r.rule, r.verdict, r._h, r._p, r.row, r._url, r._u, r._s) for r in got), key=str) == sorted(
+        [(None, "net/es/", "block", *"abcefg"), (1, "net/fr/", "block", *"abcefg"), (1, "net/fr/", "block", *"abcefg"), (2, None, "allow", *"abcefg")], key=str)
+    assert url_filter.judge(spark.createDataFrame([], schema), rules).count() == 0
+    assert {r.verdict for r in url_filter.judge(spark.createDataFrame(data, schema), rules.where("1 = 0"), default="block").collect()} == {"block"}
+
+
+@pytest.mark.parametrize("act", [lambda d: line_dedup.dedup(d), lambda d: mixing.repeat(d), lambda d: sharding.with_slots(sharding.shard(d, [1.0, 1.0], [1.0, 1.0, 1.0])), lambda d: quality.score(d, quality.fit(np.zeros((0, 18)), np.zeros(0)))], ids=["line_dedup", "mixing", "sharding", "quality"])
+def test_clashing_columns_pass_through(spark, act):
+    names = ["row", "_size", "_source", "_key", "_id", "_th", "_o", "_t", "_p", "_a", "_b", "_co", "_ct", "_cov", "_l", "_kept", "_n", "_text", "_s", "_h", "_nb", "_sh", "_sb", "_from", "_r", "_bucket", "_copies", "n_docs", "target", "source_size"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names)
+    data = [(i, t, "s", *range(100, 100 + len(names))) for i, t in enumerate(["a\nb\nc\nd", "a\nb\nc", None, "", "w " * 40])]
+    got = act(spark.createDataFrame(data, schema)).collect()
+    assert got and all([r[c] for c in names] == list(range(100, 100 + len(names))) for r in got)
+
+
 def test_sharding(docs, none):
     got = sharding.assignment(docs, 5).collect()
     assert len(got) == len(rows())
