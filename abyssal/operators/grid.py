@@ -69,6 +69,17 @@ def fishnet(spark, extent: tuple[float, float, float, float], n: int = 250) -> D
     return cells.withColumns({"wkt": F.concat(F.lit("POLYGON (("), ring, F.lit("))")), "area": F.lit(w * h), "length": F.lit(2 * (w + h))})
 
 
+def window(raster: DataFrame, row: int, col: int, nrows: int, ncols: int) -> DataFrame:
+    """A part of a raster, its own rows and columns counted from 0; the bounds reach the scan."""
+    part = raster.where(F.col("row").between(row, row + nrows - 1) & F.col("col").between(col, col + ncols - 1))
+    return part.withColumns({"row": (F.col("row") - row).cast("int"), "col": (F.col("col") - col).cast("int")})
+
+
+def depth_slice(cube: DataFrame, grid: Grid, depth: float) -> DataFrame:
+    """(i, j, v) of the layer at a depth of the axis."""
+    return cube.where(F.col("k") == grid.zs.index(depth)).select("i", "j", "v")
+
+
 def sample(points: DataFrame, raster: DataFrame, value: str, out: str) -> DataFrame:
     """points (with row and col) with the raster's value at their cell, NULL where it has none."""
     cells = raster.select("row", "col", F.col(value).alias(out))

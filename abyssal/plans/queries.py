@@ -176,6 +176,33 @@ def fill_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "bathy_raster").withColumn("z", R.fill_null(F.col("z"), R.NULL_TILE))
 
 
+@query("select row, col, case when z <> cast(3000000 as double) then z end as z from (select row, col, coalesce(z, cast(3000000 as double)) as z from bathy_raster)", "bathy_raster")
+def null_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = load(spark, sf_dir, "bathy_raster").withColumn("z", R.fill_null(F.col("z"), R.NULL_TILE))
+    return filled.withColumn("z", R.null_if(F.col("z"), R.NULL_TILE))
+
+
+@query("select cast(row - 30 as int) as row, cast(col - 25 as int) as col, z from bathy_raster where row between 30 and 69 and col between 25 and 74", "bathy_raster")
+def raster_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.window(load(spark, sf_dir, "bathy_raster"), 30, 25, 40, 50)
+
+
+@query("select i, j, v from cube where k = 4", "cube")
+def depth_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.depth_slice(load(spark, sf_dir, "cube"), GRID, 500.0)
+
+
+@query("select cast_id, level, coalesce(cast(case when obs = '---0---' then null else obs end as double), cast(-999999 as double)) as obs from casts", "casts")
+def fill_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.coerce(load(spark, sf_dir, "casts").select("cast_id", "level", "obs"), ["obs"]).na.fill(R.NULL_CAST, ["obs"])
+
+
+@query("select cast_id, level, round(6378137 * k0 * radians(lon), 4) as x, round(6378137 * ((1 - e * e) * (s / (1 - e * e * s * s) - 1 / (2 * e) * ln((1 - e * s) / (1 + e * s)))) / (2 * k0), 4) as y from (select *, sin(radians(lat)) as s, cos(radians(30)) / sqrt(1 - e * e * cast(0.25 as double)) as k0 from casts, (select sqrt((1 / 298.257223563::double) * (2 - 1 / 298.257223563::double)) as e))", "casts")
+def behrmann_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = R.behrmann(F.col("lon"), F.col("lat"))
+    return load(spark, sf_dir, "casts").select("cast_id", "level", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+
+
 @query("select row, col, case when (select min(z) from bathy_raster) < 0 then -z else z end as z from bathy_raster", "bathy_raster")
 def sign_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     raster = load(spark, sf_dir, "bathy_raster")
