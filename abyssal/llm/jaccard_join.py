@@ -16,12 +16,13 @@ before the shuffle. A class with fewer heavy cells than p - d shares a light one
 matter only between the classes that have more (saturated ones), and of those only the rarest h - (p - d - 1) of h, for
 all similar pairs share a cell among the first d+1 in the order of light cells, then heavy ones by count.
 
-Stars first: each light group's members are compared with its least class, and classes of equal minimum under one of three
-hash functions with theirs, which makes a large group of copies one component. Then light groups with more than one
-component are compared across components; and saturated classes are dealt, packed, by deciding cell, where a cell of one
-component is passed over and in others what is outside the main component is compared with all, by size and sketch, in
-numpy. Thus every pair that shares a deciding cell is compared or already connected. A cell of very many saturated classes
-is cut into packs, each pair of which is a group of its own.
+Stars first: classes of equal minimum under one of a few hash functions are compared with the least of them, which makes a
+large group of copies one component. Then the members of cells, packed, are dealt by class, where they learn component, size
+and a short sketch and leave the cells that cannot matter, and back by cell. A cell of one component is passed over. In
+others, members of different components are compared by size and sketch, in numpy: all of a light cell, and what is outside
+the main component of a heavy one with all. This is done twice, first for each class with those of nearest sketch, and, when
+these have joined what is alike, with all. Thus every pair that shares a deciding cell is compared or already connected. A
+cell of very many saturated classes is cut into packs, each pair of which is a group of its own.
 
 Verification. Sizes, then parity sketches (1,024 bits, and 16,384 for large sets), whose Hamming distance also bounds the
 symmetric difference from below, rule out most candidates; the rest are compared exactly, from the shingles of the texts.
@@ -60,7 +61,7 @@ _SHORT_BITS = 256
 _NO_ID = -(1 << 63)
 _CELL = U64(0x9E6C63D0876A9A47)
 _CLASS = U64(0x3C79AC492BA7B653)
-_MULT = [U64(0x9FB21C651E98DF25), U64(0xD1B54A32D192ED03), U64(0xAEF17502108EF2D9)]
+_MULT = [U64(x) for x in (0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0xF1357AEA2E62A9C5)]
 
 
 class Bands:
@@ -168,7 +169,7 @@ def _profile(k: int, bands: Bands):
     return run
 
 
-_FOUND = ["members", "heavy_cell", "heavy_cls", "heavy_slack"]
+_FOUND = ["", "heavy_cell", "heavy_cls", "heavy_slack"]
 _LONGS = pa.list_(pa.int64())
 
 
@@ -236,22 +237,28 @@ def _cells(k: int, bands: Bands, buckets: int, light: int, chunk: int = 1_000_00
     return run
 
 
-def _groups(light: int):
-    """Reduce side: light groups as sorted members, heavy cells as rows. A task holds its own buckets' cells."""
-    types = [_LONGS, pa.int64(), _LONGS, _LONGS]
+_ENTRY = ["cls", "cell", "cnt", "slack"]
 
-    def emit(members: list[np.ndarray], cells: np.ndarray, cls: np.ndarray, slack: np.ndarray) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, members)]).astype(np.int32), np.concatenate(members) if members else np.zeros(0, np.int64))
-        columns = _heavy(cells, cls, slack)
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([lists, pa.nulls(len(columns[0]), types[0])]), *[pa.concat_arrays([pa.nulls(len(members), t), c]) for t, c in zip(types[1:], columns)]], names=_FOUND)
+
+def _by_class(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Entries (class, cell, count of a heavy cell or 0, slack) dealt by class."""
+    return dealt(bucket_of(mix(columns[0].view(U64)), buckets), columns, _ENTRY)
+
+
+def _groups(light: int, buckets: int):
+    """Reduce side: members of light cells packed by class, heavy cells as rows. A task holds its own buckets' cells."""
+
+    def loose_rows(columns: list[pa.Array]) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary()) for _ in _ENTRY], *columns], names=["bucket", *_ENTRY, *_FOUND[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, cls, slack = [], [], []
         for batch in batches:
             loose = batch.column(0).is_null()
-            if n := loose.true_count:  # heavy rows of the map side, as they are
+            if loose.true_count:  # heavy rows of the map side, as they are
                 rest = batch.filter(loose)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, types[0]), *[rest.column(i) for i in (5, 6, 7)]], names=_FOUND)
+                yield loose_rows([rest.column(i) for i in (5, 6, 7)])
                 batch = batch.filter(pc.invert(loose))
             for c, t, n, x in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
                 n = np.frombuffer(n, "<u2")
@@ -273,17 +280,20 @@ def _groups(light: int):
         fresh = np.concatenate([[True], (cells[1:] != cells[:-1]) | (cls[1:] != cls[:-1])])
         cells, cls, slack = cells[fresh], cls[fresh], slack[fresh]
         starts, sizes = runs(cells)
-        two = starts[sizes == 2]
-        pairs = np.unique(np.stack([cls[two], cls[two + 1]], 1), axis=0) if len(two) else np.zeros((0, 2), np.int64)
-        members = list(pairs)
-        seen: set[bytes] = set()
-        for a, m in zip(starts[(sizes > 2) & (sizes <= light)].tolist(), sizes[(sizes > 2) & (sizes <= light)].tolist()):
-            x = cls[a : a + m]
-            if (b := x.tobytes()) not in seen:
-                seen.add(b)
-                members.append(x)
         heavy = np.repeat(sizes > light, sizes)
-        yield emit(members, cells[heavy], cls[heavy], slack[heavy])
+        if heavy.any():
+            yield loose_rows(_heavy(cells[heavy], cls[heavy], slack[heavy]))
+        # of light cells with the same members, one
+        few = (sizes > 1) & (sizes <= light)
+        digest = mix(np.add.reduceat(mix(cls.view(U64) ^ _CLASS), starts) + sizes.astype(U64)) if len(starts) else np.zeros(0, U64)
+        keep = np.zeros(len(starts), bool)
+        some = np.flatnonzero(few)
+        keep[some[np.unique(digest[some], return_index=True)[1]]] = True
+        keep = np.repeat(keep, sizes)
+        if keep.any():
+            none = np.zeros(int(keep.sum()), np.int64)
+            found = _by_class([cls[keep], cells[keep].view(np.int64), none, none], buckets)
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.int64()), *[pa.nulls(found.num_rows, _LONGS)] * 2], names=["bucket", *_ENTRY, *_FOUND[1:]])
 
     return run
 
@@ -298,108 +308,128 @@ def _turn(buckets: int):
             per = pc.list_value_length(batch.column(1)).to_numpy()
             cls, slack = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
             cell, cnt = (np.repeat(batch.column(i).to_numpy(), per) for i in (0, 3))
-            yield dealt(bucket_of(mix(cls.view(U64)), buckets), [cls, cell, cnt, slack], ["cls", "cell", "cnt", "slack"])
+            yield _by_class([cls, cell, cnt, slack], buckets)
 
     return run
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (class, deciding cells, their counts) for each saturated class: its heavy cells, rarest first, without those it can do without."""
-    cls, cell, cnt, slack = gathered(batches, [np.int64] * 4)
-    order = np.lexsort((cell, cnt, cls))
-    cls, cell, cnt, slack = cls[order], cell[order], cnt[order], slack[order]
-    if not len(cls):
-        return
-    fresh = np.concatenate([[True], (cls[1:] != cls[:-1]) | (cell[1:] != cell[:-1])])
-    cls, cell, cnt, slack = cls[fresh], cell[fresh], cnt[fresh], slack[fresh]
-    starts, sizes = runs(cls)
-    spare = slack[starts]
-    full = np.flatnonzero(sizes > spare)
-    keep = (sizes - np.maximum(spare, 0))[full]
-    at = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep) + np.repeat(starts[full], keep)
-    ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(cls[starts[full]]), pa.ListArray.from_arrays(ends, cell[at]), pa.ListArray.from_arrays(ends, cnt[at])], names=["cls", "cells", "counts"])
-
-
-def _by_cell(buckets: int, most: int):
-    """Saturated classes (class, component, size, sketch, cells, counts) dealt by deciding cell.
-
-    A cell of more than ``most`` classes is cut into packs, and each pair of packs is a group of its own.
+def _known(buckets: int):
+    """Classes (class, component, size, short sketch) dealt by class, under the names of entries, with no bytes for slacks of entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cls, comp, size = (batch.column(i).to_numpy() for i in range(3))
+                sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(batch.num_rows, -1)
+                yield dealt(bucket_of(mix(cls.view(U64)), buckets), [cls, comp, size, sketch], _ENTRY)
+
+    return run
+
+
+def _decide(buckets: int, most: int):
+    """Entries and classes of the same buckets -> entries (key, class, component, size, sketch) dealt by cell.
+
+    A class keeps its light cells; of its heavy ones, rarest first, it leaves those that it can do without, and all when
+    it is not saturated. A cell of more than ``most`` classes is cut into packs; each pair of packs is a key of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries: list[pa.RecordBatch] = []
+        classes_: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            per = pc.list_value_length(batch.column(4)).to_numpy()
-            of = np.repeat(np.arange(batch.num_rows), per)
-            cell, cnt = batch.column(4).flatten().to_numpy().view(U64), batch.column(5).flatten().to_numpy()
-            cls = batch.column(0).to_numpy()
-            packs = -(-cnt // most)
-            own = (mix(cls.view(U64) ^ _CLASS)[of] >> U64(33)).astype(np.int64) % packs
-            again = np.repeat(np.arange(len(of)), packs)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(packs) - packs, packs)
-            low, high = np.minimum(own[again], other), np.maximum(own[again], other)
-            key = mix(cell[again] ^ mix((low * packs[again] + high).astype(U64)))
-            of = of[again]
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(batch.num_rows, -1)
-            yield dealt(bucket_of(key, buckets), [key, cls[of], batch.column(1).to_numpy()[of], batch.column(2).to_numpy()[of], sketch[of]], ["key", "cls", "comp", "size", "sketch"])
+            of = batch.column(1)
+            for flag, part in ((0, entries), (1, classes_)):
+                mine = batch.filter(pc.equal(of, flag))
+                if mine.num_rows:
+                    part.append(mine.drop_columns(["kind"]))
+        cls, cell, cnt, slack = gathered(iter(entries), [np.int64] * 4)
+        known, comp, size, sketch = gathered(iter(classes_), [np.int64, np.int64, np.int64, (U64, _SHORT_BITS // 64)])
+        if not len(cls):
+            return
+        order = np.argsort(known)
+        known, comp, size, sketch = known[order], comp[order], size[order], sketch[order]
+        order = np.lexsort((cell, cnt, cls))
+        cls, cell, cnt, slack = cls[order], cell[order], cnt[order], slack[order]
+        fresh = np.concatenate([[True], (cls[1:] != cls[:-1]) | (cell[1:] != cell[:-1])])
+        cls, cell, cnt, slack = cls[fresh], cell[fresh], cnt[fresh], slack[fresh]
+        starts, sizes = runs(cls)
+        heavy = np.add.reduceat((cnt > 0).astype(np.int64), starts)
+        spare = slack[starts + sizes - 1]  # the slack of a heavy entry, where there is one
+        keep = sizes - heavy + np.where(heavy > spare, heavy - np.maximum(spare, 0), 0)
+        at = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep) + np.repeat(starts, keep)
+        cls, cell, cnt = cls[at], cell[at].view(U64), cnt[at]
+        packs = np.maximum(-(-cnt // most), 1)
+        own = (mix(cls.view(U64) ^ _CLASS) >> U64(33)).astype(np.int64) % packs
+        again = np.repeat(np.arange(len(cls)), packs)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(packs) - packs, packs)
+        low, high = np.minimum(own[again], other), np.maximum(own[again], other)
+        key = mix(cell[again] ^ mix((low * packs[again] + high).astype(U64)))
+        cls = cls[again]
+        of = np.searchsorted(known, cls)
+        yield dealt(bucket_of(key, buckets), [key, cls, comp[of], size[of], sketch[of]], ["key", "cls", "comp", "size", "sketch"])
 
     return run
 
 
-def _odd(num: int):
-    """Pairs of a deciding cell's classes in different components that sizes and sketches allow: those outside the main component with all."""
+def _odd(num: int, light: int, nearest: int | None = None):
+    """Pairs of a cell's classes in different components that sizes and sketches allow.
+
+    In small groups all across components, in others those outside the main component with all. ``nearest``: for each class
+    only the so many of nearest sketch.
+    """
+
+    def allowed(i: np.ndarray, j: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
+        i, j = i[keep], j[keep]
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+        keep = apart <= (100 - num) * (size[i] + size[j]) // (100 + num)
+        i, j, apart = i[keep], j[keep], apart[keep]
+        if nearest is not None and len(i):
+            order = np.lexsort((apart, i))
+            i, j = i[order], j[order]
+            starts, sizes = runs(i)
+            few = np.arange(len(i)) - np.repeat(starts, sizes) < nearest
+            i, j = i[few], j[few]
+        return i, j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cls, comp, size, sketch = gathered(batches, [U64, np.int64, np.int64, np.int64, (U64, _SHORT_BITS // 64)])
         order = np.lexsort((size, key))
         key, cls, comp, size, sketch = key[order], cls[order], comp[order], size[order], sketch[order]
-        out = []
-        for a, m in zip(*(x.tolist() for x in runs(key))):
-            c, n = comp[a : a + m], size[a : a + m]
-            kinds, counts = np.unique(c, return_counts=True)
-            if len(kinds) == 1:
-                continue
-            for i in np.flatnonzero(c != kinds[counts.argmax()]).tolist():
-                lo, hi = np.searchsorted(100 * n, num * n[i], "left"), np.searchsorted(num * n, 100 * n[i], "right")
-                j = lo + np.flatnonzero(c[lo:hi] != c[i])
-                apart = np.bitwise_count(sketch[a + j] ^ sketch[a + i]).sum(1, dtype=np.int64)
-                j = j[apart <= (100 - num) * (n[i] + n[j]) // (100 + num)]
-                if len(j):
-                    x, y = cls[a + j], cls[a + i]
-                    out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        if not len(key):
+            return
+        starts, sizes = runs(key)
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        out: list[np.ndarray] = []
+
+        def add(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(i):
+                out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1))
             if sum(map(len, out)) > 200_000:
                 yield _pairs(out)
-                out = []
+                out.clear()
+
+        small = np.repeat(mixed & (sizes <= light), sizes)
+        left = np.where(small, np.repeat(starts + sizes, sizes) - np.arange(len(key)) - 1, 0)  # members that follow in the same group
+        ends = np.cumsum(left)
+        for a in range(0, int(ends[-1]), 2_000_000):  # so many pairs at a time
+            lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(ends, min(a + 2_000_000, int(ends[-1])), "left") + 1
+            per = left[lo:hi].copy()
+            i = np.repeat(np.arange(lo, hi), per)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(per) - per, per)
+            yield from add(*allowed(i, j, comp, size, sketch))
+        for a, m in zip(starts[mixed & (sizes > light)].tolist(), sizes[mixed & (sizes > light)].tolist()):
+            kinds, counts = np.unique(comp[a : a + m], return_counts=True)
+            n = size[a : a + m]
+            for i in np.flatnonzero(comp[a : a + m] != kinds[counts.argmax()]).tolist():
+                lo, hi = np.searchsorted(100 * n, num * n[i], "left"), np.searchsorted(num * n, 100 * n[i], "right")
+                yield from add(*allowed(np.full(hi - lo, a + i), np.arange(a + lo, a + hi), comp, size, sketch))
         if out:
             yield _pairs(out)
 
     return run
 
 
-def _across(num: int):
-    """Pairs of a light group's members in different components that sizes and sketches allow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            per = pc.list_value_length(batch.column(0)).to_numpy()
-            flat = batch.column(0).flatten()
-            m, c, n = (flat.field(x).to_numpy() for x in ("m", "c", "size"))
-            sketch = np.frombuffer(b"".join(flat.field("short").to_pylist()), U64).reshape(len(m), -1)
-            left = np.repeat(np.cumsum(per), per) - np.arange(len(m)) - 1  # members that follow in the same group
-            i = np.repeat(np.arange(len(m)), left)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
-            keep = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
-            i, j = i[keep], j[keep]
-            keep = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= (100 - num) * (n[i] + n[j]) // (100 + num)
-            i, j = i[keep], j[keep]
-            if len(i):
-                yield _pairs([np.stack([np.minimum(m[i], m[j]), np.maximum(m[i], m[j])], 1)])
-
-    return run
-
-
 def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
     found = np.unique(np.concatenate(parts), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
@@ -485,33 +515,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     buckets = max(shuffle, total // 4_000_000 + 1)
     packed = rows.select("text").mapInArrow(tidy(_cells(k, bands, buckets, light)), "bucket int, cls binary, slack binary, counts binary, cells binary, heavy_cell long, heavy_cls array<long>, heavy_slack array<long>")
     spread = packed.repartition(buckets, F.coalesce("bucket", F.xxhash64("heavy_cell", "heavy_cls")))
-    found = materialise(spread.mapInArrow(tidy(_groups(light)), "members array<long>, heavy_cell long, heavy_cls array<long>, heavy_slack array<long>"), "groups")
-    groups = found.where("members is not null").select("members").distinct()
+    entry = ", ".join(f"{c} binary" for c in _ENTRY)
+    found = materialise(spread.mapInArrow(tidy(_groups(light, buckets)), f"bucket int, {entry}, heavy_cell long, heavy_cls array<long>, heavy_slack array<long>"), "cells")
+    heavy = found.where("heavy_cell is not null").select("heavy_cell", "heavy_cls", "heavy_slack")
+    counts = heavy.groupBy("heavy_cell").agg(F.sum(F.size("heavy_cls")).alias("cnt"))
+    turned = heavy.join(counts, "heavy_cell").select("heavy_cell", "heavy_cls", "heavy_slack", "cnt").mapInArrow(tidy(_turn(buckets)), f"bucket int, {entry}")
+    entries = materialise(found.where("bucket is not null").select("bucket", *_ENTRY).union(turned), "entries").select("bucket", F.lit(0).alias("kind"), *_ENTRY)
     texts = rows.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
-    # stars: the members of a light group around its least class, and classes of equal minima around theirs
-    stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, light)).alias("b"))
+    # stars: classes of equal minima around their least one
     least = reps.select("cls", F.posexplode("minima").alias("f", "u"))
     centres = least.groupBy("f", "u").agg(F.min("cls").alias("o"), F.max("cls").alias("last")).where("o <> last").select("f", "u", "o")
-    alike = least.join(centres, ["f", "u"]).where("o <> cls").select(F.col("o").alias("a"), F.col("cls").alias("b"))
-    first = _linked(stars.union(alike).distinct(), reps, texts, percent, k)
-    comp = components(first)
-    of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
-    # what the stars left open
-    each = groups.where(F.size("members") > 2).withColumn("g", F.xxhash64("members")).select("g", F.explode("members").alias("m"))
-    each = each.join(of("m"), "m", "left").join(reps.select(F.col("cls").alias("m"), F.col("n").alias("size"), "short"), "m").select("g", "m", F.coalesce("cm", "m").alias("c"), "size", "short")
-    opened = each.groupBy("g").agg(F.collect_list(F.struct("m", "c", "size", "short")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")  # ``light`` members at most
-    pairs = opened.select("x").mapInArrow(tidy(_across(percent)), "a long, b long")
-    # saturated classes, by deciding cell: what is outside a cell's main component against all
-    heavy = found.where("heavy_cell is not null")
-    counts = heavy.groupBy("heavy_cell").agg(F.sum(F.size("heavy_cls")).alias("cnt"))
-    turned = heavy.join(counts, "heavy_cell").select("heavy_cell", "heavy_cls", "heavy_slack", "cnt").mapInArrow(tidy(_turn(buckets)), "bucket int, cls binary, cell binary, cnt binary, slack binary")
-    full = turned.repartition(buckets, "bucket").mapInArrow(tidy(_decide), "cls long, cells array<long>, counts array<long>")
-    full = full.join(of("cls"), "cls", "left").join(reps.select("cls", "n", "short"), "cls")
-    full = full.select("cls", F.coalesce("ccls", "cls").alias("c"), "n", "short", "cells", "counts")
-    spread = full.mapInArrow(tidy(_by_cell(buckets, pack)), "bucket int, key binary, cls binary, comp binary, size binary, sketch binary").repartition(buckets, "bucket")
-    pairs = pairs.union(spread.mapInArrow(tidy(_odd(percent)), "a long, b long")).distinct()
-    second = _linked(pairs, reps, texts, percent, k)
-    return members, first.union(second)
+    alike = least.join(centres, ["f", "u"]).where("o <> cls").select(F.least("o", "cls").alias("a"), F.greatest("o", "cls").alias("b")).distinct()
+    links = _linked(alike, reps, texts, percent, k)
+    # what the stars left open: first each class with its nearest, then all
+    for nearest in (2, None):
+        comp = components(links)
+        known = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "short")
+        known = known.mapInArrow(tidy(_known(buckets)), f"bucket int, {entry}").select("bucket", F.lit(1).alias("kind"), *_ENTRY)
+        met = entries.union(known).repartition(buckets, "bucket").mapInArrow(tidy(_decide(buckets, pack)), "bucket int, key binary, cls binary, comp binary, size binary, sketch binary")
+        pairs = met.repartition(buckets, "bucket").mapInArrow(tidy(_odd(percent, light, nearest)), "a long, b long").distinct()
+        links = links.union(_linked(pairs, reps, texts, percent, k))
+    return members, links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, light: int = 48, pack: int = 50_000) -> DataFrame:
