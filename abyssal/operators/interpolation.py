@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abyssal.operators.grid import Grid
+from abyssal.session import ship_code
 
 #: Doubles of the corner table up to which it is broadcast; a larger one is shuffled by (i, j).
 MOST_BROADCAST = 20_000_000
@@ -209,6 +210,7 @@ def idw(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float | Non
 def _solved(targets: DataFrame, samples: DataFrame, n: int, bucket: float | None, solve) -> DataFrame:
     """``solve(p, v, at)`` on stacked systems of the same size: p (b, m, 2), v (b, m), at (b, 2) -> b values."""
     near = nearest(targets, samples, n, bucket)
+    ship_code(targets.sparkSession)
 
     def run(frames):
         for f in frames:

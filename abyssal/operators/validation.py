@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abyssal.functions.raster import DEPTH_EDGES, depth_bin
+from abyssal.session import ship_code
 
 
 # Variable -> column of the observations and unit.
@@ -72,6 +73,8 @@ def summary(points: DataFrame, cut_off: float) -> DataFrame:
         _correlation(of(F.col("tri")), F.when(good, F.col("obs"))).alias("pearson"), F.sqrt(F.avg(deep * deep)).alias("depth_rmse"),
     )
 
+    ship_code(points.sparkSession)
+
     def with_p(frames):
         for f in frames:
             yield f.assign(p=[pearson_p(r, n) if r == r and r is not None else None for r, n in zip(f["pearson"], f["n"])])

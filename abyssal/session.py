@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_ROOT = Path(__file__).resolve().parents[1]
+
 
 def session(name: str = "abyssal", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ANSI mode stays on."""
@@ -11,3 +18,19 @@ def session(name: str = "abyssal", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable by Python workers that do not see the repository on their path."""
+    on_path = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if any(Path(p).resolve() == _ROOT for p in on_path):
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_abyssal_shipped", False):
+        return
+    out = Path(tempfile.mkdtemp(prefix="abyssal-")) / "abyssal_code.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in (_ROOT / "abyssal").rglob("*.py"):
+            z.write(f, f.relative_to(_ROOT))
+    sc.addPyFile(str(out))
+    sc._abyssal_shipped = True
