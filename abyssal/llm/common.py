@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abyssal.session import ship_code
+
 #: White space that separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ROOT = Path(__file__).resolve().parents[2]
 _own_dir: list[str] = []
 
 
@@ -87,18 +85,7 @@ def ship(spark: SparkSession) -> None:
     for key, (usual, ours) in _BATCH_SETTINGS.items():
         if spark.conf.get(key, None) == usual:
             spark.conf.set(key, ours)
-    on_path = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if any(Path(p).resolve() == _ROOT for p in [*on_path, os.getcwd()]):
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_abyssal_shipped", False):
-        return
-    out = Path(tempfile.mkdtemp(prefix="abyssal-")) / "abyssal_code.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for f in (_ROOT / "abyssal").rglob("*.py"):
-            z.write(f, f.relative_to(_ROOT))
-    sc.addPyFile(str(out))
-    sc._abyssal_shipped = True
+    ship_code(spark)
 
 
 def small_or_plain(df: DataFrame, rows: int, most: int) -> DataFrame:
