@@ -20,8 +20,8 @@ Stars first: classes of equal minimum under one of a few hash functions are comp
 large group of copies one component. Then the members of cells, packed, are dealt by class, where they learn component, size
 and a short sketch and leave the cells that cannot matter, and back by cell. A cell of one component is passed over. In
 others, members of different components are compared by size and sketch, in numpy: all of a light cell, and what is outside
-the main component of a heavy one with all. This is done twice, first for each class with those of nearest sketch, and, when
-these have joined what is alike, with all. Thus every pair that shares a deciding cell is compared or already connected. A
+the main component of a heavy one with all. This is done twice, first for each class in a few of its cells with those of
+nearest sketch, and, when these have joined what is alike, in all its cells with all. Thus every pair that shares a deciding cell is compared or already connected. A
 cell of very many saturated classes is cut into packs, each pair of which is a group of its own.
 
 Verification. Sizes, then parity sketches (1,024 bits, and 16,384 for large sets), whose Hamming distance also bounds the
@@ -326,11 +326,12 @@ def _known(buckets: int):
     return run
 
 
-def _decide(buckets: int, most: int):
+def _decide(buckets: int, most: int, only: int | None = None):
     """Entries and classes of the same buckets -> entries (key, class, component, size, sketch) dealt by cell.
 
     A class keeps its light cells; of its heavy ones, rarest first, it leaves those that it can do without, and all when
-    it is not saturated. A cell of more than ``most`` classes is cut into packs; each pair of packs is a key of its own.
+    it is not saturated. With ``only``, it takes part in so many of these cells. A cell of more than ``most`` classes is cut
+    into packs; each pair of packs is a key of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +357,11 @@ def _decide(buckets: int, most: int):
         heavy = np.add.reduceat((cnt > 0).astype(np.int64), starts)
         spare = slack[starts + sizes - 1]  # the slack of a heavy entry, where there is one
         keep = sizes - heavy + np.where(heavy > spare, heavy - np.maximum(spare, 0), 0)
-        at = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep) + np.repeat(starts, keep)
+        if only is None:
+            at = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep) + np.repeat(starts, keep)
+        else:  # so many of them, at even distances
+            some = np.flatnonzero(keep)
+            at = np.unique(np.concatenate([starts[some] + np.maximum(keep[some] * (j + 1) // only - 1, 0) for j in range(only)]))
         cls, cell, cnt = cls[at], cell[at].view(U64), cnt[at]
         packs = np.maximum(-(-cnt // most), 1)
         own = (mix(cls.view(U64) ^ _CLASS) >> U64(33)).astype(np.int64) % packs
@@ -528,11 +533,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     alike = least.join(centres, ["f", "u"]).where("o <> cls").select(F.least("o", "cls").alias("a"), F.greatest("o", "cls").alias("b")).distinct()
     links = _linked(alike, reps, texts, percent, k)
     # what the stars left open: first each class with its nearest, then all
-    for nearest in (2, None):
+    for only, nearest in ((4, 2), (None, None)):
         comp = components(links)
         known = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "short")
         known = known.mapInArrow(tidy(_known(buckets)), f"bucket int, {entry}").select("bucket", F.lit(1).alias("kind"), *_ENTRY)
-        met = entries.union(known).repartition(buckets, "bucket").mapInArrow(tidy(_decide(buckets, pack)), "bucket int, key binary, cls binary, comp binary, size binary, sketch binary")
+        met = entries.union(known).repartition(buckets, "bucket").mapInArrow(tidy(_decide(buckets, pack, only)), "bucket int, key binary, cls binary, comp binary, size binary, sketch binary")
         pairs = met.repartition(buckets, "bucket").mapInArrow(tidy(_odd(percent, light, nearest)), "a long, b long").distinct()
         links = links.union(_linked(pairs, reps, texts, percent, k))
     return members, links
