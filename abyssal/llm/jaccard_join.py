@@ -20,8 +20,8 @@ Stars first: classes of equal minimum under one of a few hash functions are comp
 large group of copies one component. Then the members of cells, packed, are dealt by class, where they learn component, size
 and a short sketch and leave the cells that cannot matter, and back by cell. A cell of one component is passed over. In
 others, members of different components are compared by size and sketch, in numpy: all of a light cell, and what is outside
-the main component of a heavy one with all. This is done twice, first for each class in a few of its cells with those of
-nearest sketch, and, when these have joined what is alike, in all its cells with all. Thus every pair that shares a deciding cell is compared or already connected. A
+the main component of a heavy one with all. This is done three times, for each class in a few of its cells with those of
+nearest sketch, so in all its cells, and, when these have joined what is alike, in all its cells with all. Thus every pair that shares a deciding cell is compared or already connected. A
 cell of very many saturated classes is cut into packs, each pair of which is a group of its own.
 
 Verification. Sizes, then parity sketches (1,024 bits, and 16,384 for large sets), whose Hamming distance also bounds the
@@ -532,8 +532,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     centres = least.groupBy("f", "u").agg(F.min("cls").alias("o"), F.max("cls").alias("last")).where("o <> last").select("f", "u", "o")
     alike = least.join(centres, ["f", "u"]).where("o <> cls").select(F.least("o", "cls").alias("a"), F.greatest("o", "cls").alias("b")).distinct()
     links = _linked(alike, reps, texts, percent, k)
-    # what the stars left open: first each class with its nearest, then all
-    for only, nearest in ((4, 2), (None, None)):
+    # what the stars left open: first each class with its nearest, in a few cells and in all, then all
+    for only, nearest in ((4, 2), (None, 2), (None, None)):
         comp = components(links)
         known = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "short")
         known = known.mapInArrow(tidy(_known(buckets)), f"bucket int, {entry}").select("bucket", F.lit(1).alias("kind"), *_ENTRY)
