@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abyssal.llm import bm25, byte_bpe, fingerprints, jaccard_join, line_dedup, mixing, passages, quality, sharding, url_filter
+from abyssal.llm import bm25, byte_bpe, centroids, divergence, fingerprints, jaccard_join, line_dedup, mixing, passages, quality, sharding, toxicity, url_filter
 from abyssal.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,10 +56,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.successions(read(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_bm25, op3_ngram_jaccard, op4_mixing, op5_substring_dedup, op6_url_filter, op7_sharding, op8_line_dedup, op9_quality, op10_fingerprints]
+    own = [op1_byte_bpe, op2_bm25, op3_ngram_jaccard, op4_mixing, op5_substring_dedup, op6_url_filter, op7_sharding, op8_line_dedup, op9_quality, op10_fingerprints, op11_toxicity, op12_divergence, op13_centroids]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_sharding": sharding.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op4_mixing": mixing.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_sharding": sharding.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op12_divergence": divergence.ORACLE, "op13_centroids": centroids.ORACLE}
