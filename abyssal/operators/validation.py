@@ -23,9 +23,14 @@ def observed_variable(name: str) -> tuple[str, str]:
     return OBSERVED[name]
 
 
+def with_bathymetry(points: DataFrame) -> DataFrame:
+    """Points at which the bathymetry has a value; the others are deleted before anything is counted."""
+    return points.where(F.col("bathy_dep").isNotNull())
+
+
 def observed(points: DataFrame) -> DataFrame:
-    """Points that have an observation; all statistics start from these."""
-    return points.where(F.col("obs").isNotNull())
+    """Points that have a bathymetry and an observation; all statistics start from these."""
+    return with_bathymetry(points).where(F.col("obs").isNotNull())
 
 
 def depth_filter(points: DataFrame, cut_off: float) -> DataFrame:
@@ -35,7 +40,7 @@ def depth_filter(points: DataFrame, cut_off: float) -> DataFrame:
 
 
 def retained(points: DataFrame, cut_off: float) -> DataFrame:
-    """(n_all, n_kept, n_dropped) of the points with an observation."""
+    """(n_all, n_kept, n_dropped) of the points with a bathymetry and an observation."""
     hit = F.try_divide("depth", "bathy_dep").between(1 - cut_off, 1 + cut_off)
     return observed(points).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(hit).alias("n_kept"), (F.count(F.lit(1)) - F.count_if(hit)).alias("n_dropped"))
 
@@ -60,7 +65,7 @@ def statistics(points: DataFrame) -> DataFrame:
 
 
 def summary(points: DataFrame, cut_off: float) -> DataFrame:
-    """(variant, n, rmse, mean_diff, pearson, p, depth_rmse): all points with an observation, and those that the depth filter leaves.
+    """(variant, n, rmse, mean_diff, pearson, p, depth_rmse): all points with a bathymetry and an observation, and those that the depth filter leaves.
 
     One pass; p is the two-sided value of the correlation; depth_rmse sets cast depths against the bathymetry.
     """

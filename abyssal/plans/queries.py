@@ -17,6 +17,7 @@ from abyssal.operators import validation as V
 from abyssal.sources import aaigrid as S
 from abyssal.sources import ctd
 from abyssal.plans.fixtures import GRID, NCOLS, NROWS, load, with_tables
+from abyssal.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -405,6 +406,14 @@ def ascii_grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.grid_lines(_tiles(spark, sf_dir).withColumn("z", F.round("z")))
 
 
+@query("select cast(r as int) as row, cast(c as int) as col, cast(-1000 as double) + cast(12.5 as double) + cast(25 as double) * c as x, cast(500 as double) + cast(12.5 as double) + cast(25 as double) * (119 - r) as y, z from range(120) a(r) cross join range(125) b(c) left join bathy_raster on row = r and col = c", "bathy_raster")
+def ascii_grid_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster written as one ASCII grid in parts, and read again in blocks."""
+    path = scratch(spark, "grid")
+    S.write_grid(load(spark, sf_dir, "bathy_raster"), path, NROWS, NCOLS, -1000.0, 500.0, 25.0)
+    return S.read_grids(spark, path, parts=True).drop("path")
+
+
 @query("select n_name as bathymetry, r_name as variable from nation, region")
 def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").select(F.col("n_name").alias("bathymetry")).crossJoin(F.broadcast(load(spark, sf_dir, "region").select(F.col("r_name").alias("variable"))))  # job lists
@@ -413,17 +422,30 @@ def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- casts and validation
 
 
-def _cast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, text): the casts as the files that instruments' archives hold, 50 casts a file."""
+def _cast_files(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
+    """(path, text): the casts as the files that instruments' archives hold, 50 casts a file.
+
+    With ``coarse`` the casts are dealt to seven files, lie on a net of ten degrees, and each eleventh has no levels.
+    """
     casts = load(spark, sf_dir, "casts")
     line = F.concat_ws(",", F.col("level").cast("string"), F.col("depth").cast("string"), F.lit("0"), F.lit("0"), "obs", F.lit("0"), F.lit("0"))
+    file = F.floor(F.col("cast_id") / 50)
+    if coarse:
+        casts = casts.withColumns({c: F.floor(F.col(c) / 10) * 10.0 for c in ("lat", "lon")})
+        line, file = F.when(F.col("cast_id") % 11 != 0, line), F.col("cast_id") % 7
     one = casts.groupBy("cast_id", "lat", "lon").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", line.alias("l")))), lambda x: x["l"]).alias("levels"))
     head = F.concat_ws("\n", F.lit("#--------"), F.concat(F.lit("CAST,,"), F.col("cast_id").cast("string"), F.lit(",")), F.concat(F.lit("Latitude,,"), F.col("lat").cast("string"), F.lit(",")), F.concat(F.lit("Longitude,,"), F.col("lon").cast("string"), F.lit(",")), F.lit("VARIABLES,Depth,F,O,Temperatur,F,O"), F.lit("Prof-Flag,,0"))
     text = F.concat_ws("\n", head, F.concat_ws("\n", "levels"), F.lit("END OF VARIABLES SECTION"))
-    each = one.select(F.concat(F.lit("f"), F.floor(F.col("cast_id") / 50).cast("string")).alias("path"), "cast_id", text.alias("t"))
+    each = one.select(F.concat(F.lit("f"), file.cast("string")).alias("path"), "cast_id", text.alias("t"))
     return each.groupBy("path").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("cast_id", "t"))), lambda x: x["t"])).alias("text"))
 
 
+def _cast_folder(spark: SparkSession, sf_dir: str, coarse: bool = False) -> str:
+    path = scratch(spark, "casts")
+    _cast_files(spark, sf_dir, coarse).write.partitionBy("path").text(path)
+    return path
+
+
 _LEVELS = "select cast(cast_id as varchar) as \"cast\", lat, lon, cast(level as int) as level, depth as \"Depth\", cast(case when obs = '---0---' then null else obs end as double) as \"Temperatur\" from casts"
 
 
@@ -432,14 +454,23 @@ def cast_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.coerce(C.variables(C.parse(_cast_files(spark, sf_dir)), ["Depth", "Temperatur"]), ["Depth", "Temperatur"])
 
 
-@query(f"select \"cast\", lat, lon, level, -\"Depth\" as \"Depth\", \"Temperatur\" from ({_LEVELS}) qualify row_number() over (partition by \"cast\" order by level desc) = 1", "casts")
+@query(_LEVELS, "casts")
+def cast_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels, _ = ctd.scan(spark, _cast_folder(spark, sf_dir))
+    return C.coerce(C.variables(levels, ["Depth", "Temperatur"]), ["Depth", "Temperatur"])
+
+
+@query(""", n as (select cast_id, cast_id % 7 as file, row_number() over (partition by cast_id % 7 order by cast_id) as cast_no from (select distinct cast_id from casts)),
+d as (select cast_id, level, depth, obs, floor(lat / 10) * 10 as lat, floor(lon / 10) * 10 as lon from casts where cast_id % 11 <> 0 and depth is not null qualify row_number() over (partition by cast_id order by level desc) = 1)
+select cast_no, cast(cast_id as varchar) as "cast", lat, lon, cast(level as int) as level, -depth as "Depth", cast(case when obs = '---0---' then null else obs end as double) as "Temperatur" from d join n using (cast_id)
+qualify row_number() over (partition by file, lat, lon order by depth desc, cast_no) = 1""", "casts")
 def cast_files_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctd.cleaned(_cast_files(spark, sf_dir), ["Depth", "Temperatur"])[0]
+    return ctd.cleaned(*ctd.scan(spark, _cast_folder(spark, sf_dir, True)), ["Depth", "Temperatur"])[0].drop("path")
 
 
-@query("select count(distinct cast_id) as n_casts, cast(0 as bigint) as n_failed from casts", "casts")
+@query("select count(distinct cast_id) as n_casts, count(distinct cast_id) filter (cast_id % 11 = 0) as n_failed from casts", "casts")
 def failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctd.cleaned(_cast_files(spark, sf_dir), ["Depth", "Temperatur"])[1]
+    return ctd.cleaned(*ctd.scan(spark, _cast_folder(spark, sf_dir, True)), ["Depth", "Temperatur"])[1]
 
 
 @query("select cast_id, level, depth, obs, lat, lon from deepest", "deepest")
@@ -484,7 +515,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _T = "points cube bathy_raster"
-_BOTH = "where obs is not null and tri is not null"
+_BOTH = "where bathy_dep is not null and obs is not null and tri is not null"
 _WITHIN = _BOTH + " and bathy_dep <> 0 and depth / nullif(bathy_dep, 0) between cast(0.5 as double) and cast(1.5 as double)"
 _CUT_OFF = 0.5
 
@@ -498,7 +529,12 @@ def depth_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.depth_filter(_points(spark, sf_dir), 0.5).select("id", "depth", "bathy_dep", "ratio")
 
 
-@query(_VP + "select count(*) as n_all, count(*) filter (h) as n_kept, count(*) - count(*) filter (h) as n_dropped from (select coalesce(bathy_dep <> 0 and depth / nullif(bathy_dep, 0) between cast(0.5 as double) and cast(1.5 as double), false) as h from vp where obs is not null)", _T)
+@query(_VP + "select id, depth, bathy_dep, obs from vp where bathy_dep is not null", _T)
+def with_bathymetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.with_bathymetry(_points(spark, sf_dir)).select("id", "depth", "bathy_dep", "obs")
+
+
+@query(_VP + "select count(*) as n_all, count(*) filter (h) as n_kept, count(*) - count(*) filter (h) as n_dropped from (select coalesce(bathy_dep <> 0 and depth / nullif(bathy_dep, 0) between cast(0.5 as double) and cast(1.5 as double), false) as h from vp where bathy_dep is not null and obs is not null)", _T)
 def retained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.retained(_points(spark, sf_dir), 0.5)
 
@@ -522,12 +558,17 @@ def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.statistics(_points(spark, sf_dir)).select("n", F.round("pearson", 6).alias("value"))
 
 
-@query()
+_VARIANTS = "u as (select 'original' as variant, * from vp where bathy_dep is not null and obs is not null union all select 'filtered', * from vp where obs is not null and bathy_dep <> 0 and depth / nullif(bathy_dep, 0) between cast(0.5 as double) and cast(1.5 as double))\n"
+
+
+# the density of a correlation of n pairs, by its angle, is a power of the cosine; both integrals by the midpoint rule
+@query(_VP.rstrip() + ", " + _VARIANTS.rstrip() + """, r as (select variant, count(*) as n, corr(tri, obs) as r from u where tri is not null group by variant), g as (select unnest(range(0, 200000)) + cast(0.5 as double) as i)
+select variant, n, round(any_value(r), 6) as pearson, round(any_value(pi() / 2 - asin(abs(r))) * sum(pow(cos(asin(abs(r)) + i * (pi() / 2 - asin(abs(r))) / 200000), n - 3)) / (pi() / 2 * sum(pow(cos(i * pi() / 2 / 200000), n - 3))), 6) as p from r, g group by variant, n""", _T)
 def pearson_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.summary(_points(spark, sf_dir), _CUT_OFF).select("variant", "n", "pearson", "p")
+    return V.summary(_points(spark, sf_dir), _CUT_OFF).select("variant", "n", F.round("pearson", 6).alias("pearson"), F.round("p", 6).alias("p"))
 
 
-@query(_VP.rstrip() + f", u as (select 'original' as variant, * from vp where obs is not null union all select 'filtered', * from vp where obs is not null and bathy_dep <> 0 and depth / nullif(bathy_dep, 0) between cast(0.5 as double) and cast(1.5 as double))\n"
+@query(_VP.rstrip() + ", " + _VARIANTS +
     "select variant, count(*) filter (tri is not null) as n, round(sqrt(avg((obs - tri) * (obs - tri))), 6) as rmse, round(avg(obs - tri), 6) as mean_diff, round(corr(tri, obs), 6) as pearson, round(sqrt(avg((bathy_dep - depth) * (bathy_dep - depth))), 6) as depth_rmse from u group by variant", _T)
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = V.summary(_points(spark, sf_dir), _CUT_OFF).drop("p")

@@ -186,11 +186,13 @@ def test_depth_filter_without_bathymetry(spark):
 
 def test_validation_sign_and_sets(spark):
     rows = [(i, -100.0, -100.0 if i < 6 else -400.0, 12.0 + i % 2, 10.0, 1) for i in range(8)] + [(8, -100.0, -100.0, None, 10.0, 1), (9, -100.0, 0.0, 11.0, None, 1)]
+    rows.append((10, -100.0, None, 99.0, 1.0, 1))  # no bathymetry: in no statistic
     points = spark.createDataFrame(rows, "id int, depth double, bathy_dep double, obs double, tri double, cell int")
     assert validation.statistics(points).first().mean_diff == 2.5  # observed above the estimate
     assert tuple(validation.retained(points, 0.5).first()) == (9, 6, 3)
     got = {r.variant: r for r in validation.summary(points, 0.5).collect()}
     assert (got["original"].n, got["filtered"].n, got["original"].mean_diff, got["filtered"].depth_rmse) == (8, 6, 2.5, 0.0)
+    assert validation.with_bathymetry(points).count() == 10 and tuple(validation.scatter_limits(points).first()) == (10.0, 13.0)
     kept = validation.depth_filter(points, 0.5)
     assert [(r.bin, r.n, r.mean_diff) for r in validation.depth_bins(kept).where("n > 0").collect()] == [(-100, 6, 2.5)]
     box = validation.boxplot(kept).first()
@@ -212,14 +214,86 @@ def test_quantiles_against_numpy(spark):
 def test_cast_directory_round_trip(spark, tmp_path):
     from abyssal.sources import ctd
 
-    head = "#--,\nCAST,,{},\nLatitude,,1.5,\nLongitude,,-2,\nVARIABLES,Depth,F,O,Temperatur,F,O\nProf-Flag,,0\n"
-    (tmp_path / "a.csv").write_text(head.format(7) + "1,10,0,0,3.5,0,0\n2,20,0,0,---0---,0,0\nEND\n" + head.format(8) + "END\n")
-    (tmp_path / "b.csv").write_text(head.format(9) + "1,5,0,0,1.5,0,0\nEND\n")
-    done, counts = ctd.cleaned(ctd.read_files(spark, str(tmp_path)), ["Depth", "Temperatur"])
-    assert tuple(counts.first()) == (3, 1)
+    head = "#--,\nCAST,,{},\nLatitude,,{},\nLongitude,,-2,\nVARIABLES,Depth,F,O,Temperatur,F,O\nProf-Flag,,0\n"
+    (tmp_path / "a.csv").write_text(head.format(7, 1.5) + "1,10,0,0,3.5,0,0\n2,20,0,0,---0---,0,0\nEND\n" + head.format(8, 2.5) + "END\n")
+    (tmp_path / "b.csv").write_text(head.format(7, 1.5) + "1,5,0,0,1.5,0,0\nEND\n" + head.format(9, 1.5) + "1,50,0,0,2.5,0,0\nEND\n" + head.format(10, 1.5) + "1,50,0,0,7,0,0\nEND\n")
+    done, counts = ctd.cleaned(*ctd.scan(spark, str(tmp_path)), ["Depth", "Temperatur"])
+    # equal numbers in two files are two casts; of a file's casts at one place the deepest stays, the first of equals
+    assert tuple(counts.first()) == (5, 1)
     ctd.write_casts(done, str(tmp_path / "out"))
     back = ctd.read_casts(spark, str(tmp_path / "out"), done.schema.simpleString()[7:-1].replace(":", " "))
-    assert {(r.cast, r.level, r.Depth, r.Temperatur) for r in back.collect()} == {("7", 2, -20.0, None), ("9", 1, -5.0, 1.5)}
+    assert {(r.path[-5:], r.cast_no, r.cast, r.level, r.Depth, r.Temperatur) for r in back.collect()} == {("a.csv", 1, "7", 2, -20.0, None), ("b.csv", 2, "9", 1, -50.0, 2.5)}
+
+
+@pytest.fixture
+def cut_at(spark):
+    """Cuts files into blocks of so many bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": None, "spark.sql.files.openCostInBytes": None}
+    for k in keys:
+        keys[k] = spark.conf.get(k)
+
+    def at(n):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+    yield at
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+
+
+def test_casts_are_the_same_wherever_files_are_cut(spark, tmp_path, cut_at):
+    from abyssal.sources import ctd
+
+    rng = random.Random(4)
+    for f in range(3):
+        lines = ["stray,1,2", "END before any"]
+        for c in range(6):
+            lines += ["#--------", *rng.sample([f"CAST,,{c % 5},", f"Latitude,, {c}.5 ,", "Longitude,,3", "VARIABLES,Depth,F,O,Oxygen,F,O"], rng.randint(2, 4)), *["Prof-Flag,,0"] * (c % 6 > 0)]
+            lines += [f"{k + 1}, {k * 10} ,0,0,{rng.choice(['---0---', '2.5', ''])},0,0" for k in range(rng.randint(0, 6))] + [""] * (c % 4 == 1) + ["CAST,,99,"] * (c % 5 == 2)
+            lines += ["END OF VARIABLES", "CAST,,77,", "9,9,9"] * (c % 3 > 0)
+        (tmp_path / f"cruise {f}.csv").write_text(("\r\n" if f == 2 else "\n").join(lines) + ("\n" if f else ""))
+    seen = []
+    for n in (1 << 20, 300, 53):
+        cut_at(n)
+        levels, counts = ctd.scan(spark, str(tmp_path))
+        seen.append((plain(map(tuple, levels.withColumns({"names": F.col("names").cast("string"), "fields": F.col("fields").cast("string")}).collect())), plain(map(tuple, counts.collect()))))
+    assert len(seen[0][0]) > 20 and [c for _, c in seen[0][1]] == [6] * 3
+    assert seen[1] == seen[0] and seen[2] == seen[0]
+
+
+def test_grids_are_the_same_wherever_files_are_cut(spark, tmp_path, cut_at):
+    rng = np.random.default_rng(3)
+    z = np.round(rng.normal(0, 100, (4, 6)), 3)
+    z[rng.random(z.shape) < 0.2] = -9999
+    head = "ncols 6\nnrows 4\nxllcorner -10\nyllcorner 5.5\ncellsize 0.5\nNODATA_value -9999\n"
+    bodies = {"rows": "\n".join(" ".join(map(str, r)) for r in z), "one line": " ".join(map(str, z.reshape(-1))) + " ", "returns": "\r\n".join(" ".join(map(str, r)) for r in z) + "\r\n"}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.asc").write_text(head + body)
+    (tmp_path / "centre.asc").write_text("NCOLS 2\nNROWS 1\nXLLCENTER 1\nYLLCENTER 2\nCELLSIZE 4\n-9999 x 8 9")
+    (tmp_path / "empty.asc").write_text("")
+    (tmp_path / "other.asc").write_text("no grid at all")
+    for n in (1 << 20, 90, 31):
+        cut_at(n)
+        got = aaigrid.read_grids(spark, str(tmp_path)).collect()
+        for name in bodies:
+            mine = {(r.row, r.col): (r.x, r.y, r.z) for r in got if r.path.endswith(f"{name}.asc")}
+            assert mine == {(i, j): (-9.75 + 0.5 * j, 5.75 + 0.5 * (3 - i), None if z[i, j] == -9999 else z[i, j]) for i in range(4) for j in range(6)}, (n, name)
+        assert {(r.col, r.x, r.y, r.z) for r in got if "centre" in r.path} == {(0, 1.0, 2.0, None), (1, 5.0, 2.0, None)}
+        assert len(got) == 3 * 24 + 2
+
+
+def test_a_grid_in_parts_is_one_grid(spark, tmp_path, cut_at):
+    data = [(r, c, float(r * 10 + c) if (r + c) % 4 else None) for r in range(11) for c in range(6) if r != 5 and c != 3] + [(20, 1, 1.0), (0, 9, 1.0)]
+    raster = spark.createDataFrame(data, "row int, col int, z double")
+    want = {(r, c): None for r in range(11) for c in range(6)} | {(r, c): z for r, c, z in data if r < 11 and c < 6}
+    for parts in (1, 4):
+        path = str(tmp_path / f"grid {parts}")
+        aaigrid.write_grid(raster, path, 11, 6, 2.0, 3.0, 0.5, parts=parts)
+        files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+        lines = "".join(open(f"{path}/{f}").read() for f in files).splitlines()
+        assert lines[:3] == ["ncols 6", "nrows 11", "xllcorner 2.0"] and len(lines) == 17 and {len(x.split()) for x in lines[6:]} == {6}
+        cut_at(120)
+        assert {(r.row, r.col): r.z for r in aaigrid.read_grids(spark, path, parts=True).collect()} == want
 
 
 def test_pearson_p():
