@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abyssal.operators.grid import Grid
-from abyssal.session import ship_code
+from abyssal.operators.natural import by_distance, natural_of
+from abyssal.operators.nearest import Leaves, flat, nearest_of, unpack
 
 #: Doubles of the corner table up to which it is broadcast; a larger one is shuffled by (i, j).
 MOST_BROADCAST = 20_000_000
@@ -128,103 +130,46 @@ def row_pad(cells: DataFrame) -> DataFrame:
     return cells.join(rows.select("k", "i", fill.alias("fill")), ["k", "i"]).select("k", "i", "j", F.coalesce("v", "fill").alias("v"))
 
 
-def usual_bucket(samples: DataFrame, n: int) -> float:
-    """A bucket side so that the n nearest samples of a usual place lie within one bucket: from the samples' density."""
-    r = samples.agg(F.count(F.lit(1)).alias("c"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
-    if not r.c:
-        return 1.0
-    side = max(r.w, r.h) or 1.0
-    area = max(r.w, side * 1e-3) * max(r.h, side * 1e-3)
-    return 1.15 * math.sqrt(max(n, 1) * area / (math.pi * r.c))
-
-
-#: Samples of one bucket up to which they travel as an array; where a bucket holds more, rows are joined and ranked instead.
-MOST_IN_BUCKET = 20_000
-_NEAR = "array<struct<d2: double, sid: bigint, sx: double, sy: double, sv: double>>"
-
-
-def _ring(targets: DataFrame, samples: DataFrame, n: int, bucket: float, ring: int) -> DataFrame:
-    """targets with ``near``: the n nearest samples of the buckets within ``ring`` of their own, nearest first, ties by sid."""
-    own = lambda c: F.floor(F.col(c) / bucket).cast("long")
-    steps = F.array(*[F.lit(i) for i in range(-ring, ring + 1)])
-    spread = samples.select(F.struct(F.col("sid").cast("long").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("sv")).alias("s"), own("x").alias("bx0"), own("y").alias("by0"))
-    spread = spread.select("s", "bx0", "by0", F.explode(steps).alias("ex")).select("s", (F.col("bx0") + F.col("ex")).alias("bx"), "by0", F.explode(steps).alias("ey")).select("s", "bx", (F.col("by0") + F.col("ey")).alias("by"))
-    at = targets.withColumns({"bx": own("x"), "by": own("y")})
-    far = lambda s: (F.col("x") - s["sx"]) * (F.col("x") - s["sx"]) + (F.col("y") - s["sy"]) * (F.col("y") - s["sy"])
-    entry = lambda s: F.struct(far(s).alias("d2"), s["sid"].alias("sid"), s["sx"].alias("sx"), s["sy"].alias("sy"), s["sv"].alias("sv"))
-    fullest = spread.groupBy("bx", "by").count().agg(F.max("count")).first()[0] or 0
-    if fullest <= MOST_IN_BUCKET:
-        lists = spread.groupBy("bx", "by").agg(F.collect_list("s").alias("c"))
-        out = at.join(lists, ["bx", "by"], "left")
-        near = F.slice(F.array_sort(F.transform("c", entry)), 1, n)
-    else:
-        ranked = at.join(spread, ["bx", "by"]).withColumn("e", entry(F.col("s")))
-        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("e.d2", "e.sid"))).where(F.col("rank") <= n)
-        lists = ranked.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("c"))
-        out = at.join(lists, "id", "left")
-        near = F.col("c")
-    return out.select("id", "x", "y", F.coalesce(near, F.array()).cast(_NEAR).alias("near"))
-
-
-def nearest(targets: DataFrame, samples: DataFrame, n: int, bucket: float | None = None) -> DataFrame:
-    """(id, x, y, near): each target with its n nearest samples as an array, nearest first, ties by sid.
-
-    A target is settled when its n-th neighbour is no farther than the ring reaches; the others try a ring twice as
-    wide, until all are settled or the ring has seen all samples. Each ring is kept, so that it is computed once.
+def _leaf(n: int, leaf: int | None) -> int:
+    return leaf or max(64, 8 * n)
+
+
+def nearest(targets: DataFrame, samples: DataFrame, n: int, leaf: int | None = None) -> DataFrame:
+    """(id, x, y, near), a row per target row: its n nearest samples as an array, nearest first, ties by sid.
+
+    Samples are (sid, x, y, v); those without a finite place are left out, and a target without one has none. ``leaf`` is the
+    usual number of samples of a leaf of the index.
     """
-    bucket = bucket or usual_bucket(samples, n)
-    targets = targets.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    span = samples.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    reach = targets.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if span[4] == 0 or reach[0] is None:
-        return targets.select("id", "x", "y", F.array().cast(_NEAR).alias("near"))
-    widest = max(max(span[1], reach[1]) - min(span[0], reach[0]), max(span[3], reach[3]) - min(span[2], reach[2]))
-    out, open_, ring = None, targets, 1
-    while True:
-        step = _ring(open_, samples, n, bucket, ring).persist()
-        last = ring * bucket > widest
-        done = F.lit(last) | ((F.size("near") >= min(n, span[4])) & (F.element_at("near", -1)["d2"] <= (ring * bucket) ** 2))
-        part = step.where(F.coalesce(done, F.lit(False)))
-        out = part if out is None else out.unionByName(part)
-        open_ = step.where(~F.coalesce(done, F.lit(False))).select("id", "x", "y")
-        if last or open_.isEmpty():
-            return out
-        ring *= 2
-
-
-def neighbours(targets: DataFrame, samples: DataFrame, n: int, bucket: float | None = None) -> DataFrame:
+    return nearest_of(targets, Leaves(samples, _leaf(n, leaf), n), n).select("id", "x", "y", "near")
+
+
+def neighbours(targets: DataFrame, samples: DataFrame, n: int, leaf: int | None = None) -> DataFrame:
     """(id, x, y, sid, sx, sy, sv, d2, rank): ``nearest`` as rows, ranks from 1."""
-    rows = nearest(targets, samples, n, bucket).select("id", "x", "y", F.posexplode("near").alias("rank", "e"))
+    rows = nearest(targets, samples, n, leaf).select("id", "x", "y", F.posexplode("near").alias("rank", "e"))
     return rows.select("id", "x", "y", "e.sid", "e.sx", "e.sy", "e.sv", "e.d2", (F.col("rank") + 1).alias("rank"))
 
 
-def idw(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float | None = None) -> DataFrame:
-    """(id, x, y, v): inverse squared distance over the n nearest samples; a sample at the very place decides alone."""
-    near = nearest(targets, samples, n, bucket)
-    total = lambda f: F.aggregate("near", F.lit(0.0), lambda t, s: t + f(s))
-    weighed = F.try_divide(total(lambda s: s["sv"] / s["d2"]), total(lambda s: F.lit(1.0) / s["d2"]))
-    value = F.when(F.size("near") == 0, None).when(F.col("near")[0]["d2"] == 0, F.col("near")[0]["sv"]).otherwise(weighed)
-    return near.select("id", "x", "y", value.alias("v"))
-
-
-def _solved(targets: DataFrame, samples: DataFrame, n: int, bucket: float | None, solve) -> DataFrame:
-    """``solve(p, v, at)`` on stacked systems of the same size: p (b, m, 2), v (b, m), at (b, 2) -> b values."""
-    near = nearest(targets, samples, n, bucket)
-    ship_code(targets.sparkSession)
-
-    def run(frames):
-        for f in frames:
-            sizes = f["near"].map(len).to_numpy()
-            out = np.full(len(f), np.nan)
+def _solved(targets: DataFrame, samples: DataFrame, n: int, leaf: int | None, solve) -> DataFrame:
+    """``solve(p, v, at, d2)`` on stacked systems of the same size: p (b, m, 2), v (b, m), at (b, 2), d2 (b, m) -> b values; NULL without samples."""
+    near = nearest(targets, samples, n, leaf)
+
+    def run(batches):
+        for batch in batches:
+            sizes, d2, p, v = flat(batch.column(3))
+            at = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)], 1)
+            out, starts = np.full(batch.num_rows, np.nan), np.cumsum(sizes) - sizes
             for m in np.unique(sizes[sizes > 0]).tolist():
-                at = np.flatnonzero(sizes == m)
-                rows = [[(q["sx"], q["sy"], q["sv"]) for q in f["near"].iloc[i]] for i in at]
-                p = np.array(rows, float)
-                out[at] = solve(p[:, :, :2], p[:, :, 2], f[["x", "y"]].to_numpy(float)[at])
-            yield f[["id", "x", "y"]].assign(v=out)
+                rows = np.flatnonzero(sizes == m)
+                e = starts[rows][:, None] + np.arange(m)
+                out[rows] = solve(p[e], v[e], at[rows], d2[e])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(out, from_pandas=True)], names=["id", "x", "y", "v"])
 
-    kind = dict(targets.dtypes)["id"]
-    return near.mapInPandas(run, f"id {kind}, x double, y double, v double").withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    return near.mapInArrow(run, f"id {dict(targets.dtypes)['id']}, x double, y double, v double")
+
+
+def idw(targets: DataFrame, samples: DataFrame, n: int = 10, leaf: int | None = None) -> DataFrame:
+    """(id, x, y, v): inverse squared distance over the n nearest samples; a sample at the very place decides alone."""
+    return _solved(targets, samples, n, leaf, lambda p, v, at, d2: by_distance(d2, v))
 
 
 def _apart(p: np.ndarray) -> np.ndarray:
@@ -247,21 +192,57 @@ def spherical(h: np.ndarray, span: float, sill: float, nugget: float) -> np.ndar
     return np.where(h > 0, nugget + sill * (1.5 * r - 0.5 * r**3), 0.0)
 
 
-def variogram(samples: DataFrame, n: int = 24, lags: int = 12, bucket: float | None = None) -> tuple[float, float, float]:
-    """(span, sill, nugget) of a spherical variogram fitted to half the mean squared differences of near samples, by lag.
+def lag_sums(samples: DataFrame, reach: float, lags: int = 12, leaf: int = 1_000) -> list[tuple[float, float, int]]:
+    """(sum of distances, sum of half the squared differences, pairs) by lag, over all pairs of samples at most ``reach`` apart.
 
-    Pairs are each sample's n nearest others; a row per lag comes to the driver, where spans are tried in turn and sill and
-    nugget follow by least squares.
+    Packed parts of leaves meet those of all leaves within reach, each pair of parts once; a row per lag comes to the driver.
+    Pairs at one place are left out, and so are values that are null or not finite.
+    """
+    good = samples.where("v is not null and not isnan(v) and abs(v) < double('inf')")
+    leaves = Leaves(good, leaf, None, 2 * leaf)
+    spark = samples.sparkSession
+    pairs = [(int(leaves.ids[i]), int(leaves.ids[j])) for i in range(len(leaves.ids)) for j in (np.flatnonzero(leaves.apart(leaves.box[i : i + 1])[0, i:] <= reach) + i).tolist()]
+    side = lambda c: leaves.packed.select(F.col("leaf").alias(c), F.col("part").alias(f"p{c}"), F.col("data").alias(f"d{c}"))
+    meets = spark.createDataFrame(pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())}))
+    met = meets.join(side("a"), "a").join(side("b"), "b").where("a <> b or pa <= pb").select(F.expr("a = b and pa = pb").alias("same"), "da", "db")
+
+    def run(batches):
+        h, g, n = np.zeros(lags), np.zeros(lags), np.zeros(lags, np.int64)
+        for batch in batches:
+            for same, one, two in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                (_, p, v), (_, q, w) = unpack([one]), unpack([two])
+                for a in range(0, len(p), 500):
+                    d = np.hypot(p[a : a + 500, None, 0] - q[None, :, 0], p[a : a + 500, None, 1] - q[None, :, 1])
+                    far = (v[a : a + 500, None] - w[None]) ** 2 / 2
+                    keep = (d > 0) & (d <= reach)
+                    if same:
+                        keep &= np.arange(len(q)) > np.arange(a, min(a + 500, len(p)))[:, None]
+                    d, far = d[keep], far[keep]
+                    lag = np.minimum((d / reach * lags).astype(np.int64), lags - 1)
+                    h += np.bincount(lag, d, lags)
+                    g += np.bincount(lag, far, lags)
+                    n += np.bincount(lag, minlength=lags)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(lags)), pa.array(h), pa.array(g), pa.array(n)], names=["lag", "h", "g", "n"])
+
+    found = {r["lag"]: r for r in met.mapInArrow(run, "lag long, h double, g double, n long").groupBy("lag").agg(*[F.sum(c).alias(c) for c in ("h", "g", "n")]).collect()}
+    return [(found[i]["h"], found[i]["g"], found[i]["n"]) if i in found else (0.0, 0.0, 0) for i in range(lags)]
+
+
+def variogram(samples: DataFrame, reach: float | None = None, lags: int = 12) -> tuple[float, float, float]:
+    """(span, sill, nugget) of a spherical variogram fitted to half the mean squared differences of all pairs up to ``reach``, by lag.
+
+    Without ``reach`` it is a sixth of the extent's diagonal. Spans are tried in turn; sill and nugget follow by least squares.
     """
-    near = neighbours(samples.select(F.col("sid").alias("id"), "x", "y", "v"), samples, n + 1, bucket).where("d2 > 0")
-    pairs = near.join(samples.select(F.col("sid").alias("id"), F.col("v").alias("v0")), "id").select(F.sqrt("d2").alias("h"), (F.lit(0.5) * F.pow(F.col("sv") - F.col("v0"), 2)).alias("g"))
-    most = pairs.agg(F.max("h")).first()[0]
-    if not most:
+    if reach is None:
+        r = samples.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        reach = math.hypot(r[1] - r[0], r[3] - r[2]) / 6 if r[0] is not None else 0.0
+    sums = [s for s in lag_sums(samples, reach, lags) if s[2]] if reach else []
+    if not sums:
         return 1.0, 1.0, 0.0
-    by = pairs.groupBy(F.least(F.floor(F.col("h") / most * lags), F.lit(lags - 1)).alias("lag")).agg(F.avg("h").alias("h"), F.avg("g").alias("g"), F.count(F.lit(1)).alias("c")).collect()
-    h, g, w = (np.array([r[c] for r in by], float) for c in ("h", "g", "c"))
-    best = (np.inf, float(most), float(g.mean()) or 1.0, 0.0)
-    for span in np.linspace(0.1, 3.0, 59) * most:
+    w = np.array([s[2] for s in sums], float)
+    h, g = np.array([s[0] for s in sums]) / w, np.array([s[1] for s in sums]) / w
+    best = (np.inf, float(reach), float(g.mean()) or 1.0, 0.0)
+    for span in np.linspace(0.1, 3.0, 59) * reach:
         base = spherical(h, span, 1.0, 0.0)
         for columns in (np.stack([base, np.ones(len(h))], 1), base[:, None]):  # with and without a nugget
             x = np.linalg.lstsq(columns * np.sqrt(w)[:, None], g * np.sqrt(w), rcond=None)[0]
@@ -272,11 +253,11 @@ def variogram(samples: DataFrame, n: int = 24, lags: int = 12, bucket: float | N
     return best[1:]
 
 
-def kriging(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float | None = None, model: tuple[float, float, float] | None = None) -> DataFrame:
+def kriging(targets: DataFrame, samples: DataFrame, n: int = 10, leaf: int | None = None, model: tuple[float, float, float] | None = None) -> DataFrame:
     """Ordinary kriging over the n nearest samples, with the spherical variogram (span, sill, nugget) given or fitted."""
-    span, sill, nugget = model or variogram(samples, bucket=bucket)
+    span, sill, nugget = model or variogram(samples)
 
-    def solve(p, v, at):
+    def solve(p, v, at, d2):
         b, m = v.shape
         a = np.ones((b, m + 1, m + 1))
         a[:, :m, :m] = spherical(_apart(p), span, sill, nugget)
@@ -285,7 +266,7 @@ def kriging(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float |
         right[:, :m] = spherical(np.hypot(*np.moveaxis(p - at[:, None], -1, 0)), span, sill, nugget)
         return (_linear(a, right)[:, :m] * v).sum(1)
 
-    return _solved(targets, samples, n, bucket, solve)
+    return _solved(targets, samples, n, leaf, solve)
 
 
 def tension(h: np.ndarray, weight: float) -> np.ndarray:
@@ -298,10 +279,10 @@ def tension(h: np.ndarray, weight: float) -> np.ndarray:
     return np.where(h > 1e-12, -(np.log(x / 2) + 0.5772156649015329 + k0) / (2 * math.pi * weight), 0.0)
 
 
-def spline(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float | None = None, weight: float = 0.1) -> DataFrame:
+def spline(targets: DataFrame, samples: DataFrame, n: int = 10, leaf: int | None = None, weight: float = 0.1) -> DataFrame:
     """Spline with tension ``weight`` and a constant trend over the n nearest samples; exact at samples."""
 
-    def solve(p, v, at):
+    def solve(p, v, at, d2):
         b, m = v.shape
         a = np.ones((b, m + 1, m + 1))
         a[:, :m, :m] = tension(_apart(p), weight)
@@ -309,30 +290,25 @@ def spline(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float |
         c = _linear(a, np.concatenate([v, np.zeros((b, 1))], 1))
         return (tension(np.hypot(*np.moveaxis(p - at[:, None], -1, 0)), weight) * c[:, :m]).sum(1) + c[:, m]
 
-    return _solved(targets, samples, n, bucket, solve)
-
-
-def natural_neighbour(targets: DataFrame, samples: DataFrame, n: int = 10, bucket: float | None = None, side: int = 24) -> DataFrame:
-    """Discrete Sibson: the share of a target's own region that each of its n nearest samples would lose. NULL outside their hull's box."""
-
-    def solve(p, v, at):
-        d = np.hypot(*np.moveaxis(p - at[:, None], -1, 0))
-        g = (np.arange(side) + 0.5) / side * 2 - 1
-        net = np.stack(np.meshgrid(g, g), -1).reshape(-1, 2)
-        out = np.empty(len(v))
-        for a in range(0, len(v), 256):
-            q = at[a : a + 256, None] + net * d[a : a + 256].max(1)[:, None, None]
-            away = np.hypot(*np.moveaxis(q[:, :, None] - p[a : a + 256, None], -1, 0))
-            lost = np.hypot(*np.moveaxis(q - at[a : a + 256, None], -1, 0)) < away.min(2)
-            w = ((away.argmin(2)[:, :, None] == np.arange(v.shape[1])) & lost[:, :, None]).sum(1)
-            some = w.sum(1)
-            first = v[a : a + 256][np.arange(len(w)), d[a : a + 256].argmin(1)]
-            out[a : a + 256] = np.where((some > 0) & (d[a : a + 256].min(1) > 0), (w * v[a : a + 256]).sum(1) / np.maximum(some, 1), first)
-        outside = (at < p.min(1)).any(1) | (at > p.max(1)).any(1)
-        out[outside] = np.nan
-        return out
-
-    return _solved(targets, samples, n, bucket, solve)
+    return _solved(targets, samples, n, leaf, solve)
+
+
+def _natural(targets: DataFrame, samples: DataFrame, n: int, leaf: int | None, first: int = 24) -> DataFrame:
+    leaves = Leaves(samples, _leaf(n, leaf), n)
+    near = nearest_of(targets, leaves, max(first, n))
+    if not leaves.n:
+        return near.select("id", "x", "y", *[F.lit(None).cast("double").alias(c) for c in ("v", "w")])
+    return natural_of(near, leaves, dict(targets.dtypes)["id"], n)
+
+
+def natural_neighbour(targets: DataFrame, samples: DataFrame, n: int = 10, leaf: int | None = None) -> DataFrame:
+    """(id, x, y, v): natural neighbours, whatever their number; NULL outside the samples' convex hull. Of samples at one place the one of least sid counts."""
+    return _natural(targets, samples, n, leaf).select("id", "x", "y", "v")
+
+
+def natural_then_idw(targets: DataFrame, samples: DataFrame, n: int = 10, leaf: int | None = None) -> DataFrame:
+    """(id, x, y, v): natural neighbours, and outside their hull the n nearest by distance, from one search."""
+    return _natural(targets, samples, n, leaf).select("id", "x", "y", F.coalesce("v", "w").alias("v"))
 
 
 def first_of(natural: DataFrame, weighed: DataFrame) -> DataFrame:

@@ -122,8 +122,7 @@ def natural_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def natural_then_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets, samples = _targets(spark, sf_dir), _samples(spark, sf_dir)
-    return I.first_of(I.natural_neighbour(targets, samples, 10), I.idw(targets, samples, 10))
+    return I.natural_then_idw(_targets(spark, sf_dir), _samples(spark, sf_dir), 10).select("id", "v")
 
 
 @query(f"select id, d, list_extract(list_sort(list_transform({_ZS}, lambda z: {{'a': abs(z - d), 'z': z}})), 1).z as z from bathy_wide", "bathy_wide")

@@ -76,8 +76,8 @@ def test_interpolators_against_numpy(spark):
     s = spark.createDataFrame(samples, "sid int, x double, y double, v double")
     t = s.select(F.col("sid").alias("id"), "x", "y")
     for f, tol in ((interpolation.idw, 1e-9), (interpolation.kriging, 1e-6), (interpolation.natural_neighbour, 1e-9), (interpolation.spline, 1e-6)):
-        for bucket in (None, 0.5):
-            got = {r.id: r.v for r in f(t, s, 10, bucket).collect()}
+        for leaf in (None, 5):
+            got = {r.id: r.v for r in f(t, s, 10, leaf).collect()}
             assert all(abs(got[n] - v) <= tol for n, _, _, v in samples), f.__name__
     places = [(n, rng.uniform(0, 6), rng.uniform(0, 6)) for n in range(40)]
     at = spark.createDataFrame(places, "id int, x double, y double")
@@ -97,8 +97,69 @@ def test_interpolators_against_numpy(spark):
         c = np.linalg.solve(a, np.append(v[near], 0))
         want = (v[near] / d[near] ** 2).sum() / (1 / d[near] ** 2).sum(), krig, interpolation.tension(d[near], 0.3) @ c[:8] + c[8]
         assert all(math.isclose(f[n], w, rel_tol=1e-6, abs_tol=1e-6) for f, w in zip(got, want))
-    natural = [r.v for r in interpolation.natural_neighbour(at, s, 10).collect() if r.v is not None]
-    assert natural and all(min(v) <= x <= max(v) for x in natural)
+
+
+def plain_natural(p, v, at):
+    """Sibson's mean at a place by plain polygon cuts against all samples; None outside the hull."""
+    first = {}
+    for (x, y), z in zip(p, v):
+        first.setdefault((x - at[0], y - at[1]), z)
+    if (0.0, 0.0) in first:
+        return first[0.0, 0.0]
+    s, v = list(first), list(first.values())
+
+    def cut(poly, a, b, c):
+        out = []
+        for (x, y), (x2, y2) in zip(poly, poly[1:] + poly[:1]):
+            d, d2 = a * x + b * y - c, a * x2 + b * y2 - c
+            if d <= 0:
+                out.append((x, y))
+            if (d <= 0) != (d2 <= 0):
+                out.append((x + d / (d - d2) * (x2 - x), y + d / (d - d2) * (y2 - y)))
+        return out
+
+    for wide in (10.0**i for i in range(8)):
+        cell = [(-wide, -wide), (wide, -wide), (wide, wide), (-wide, wide)]
+        for x, y in s:
+            cell = cut(cell, x, y, (x * x + y * y) / 2)
+        if max(abs(c) for q in cell for c in q) < 0.99 * wide:
+            break
+    else:
+        return None
+    total = weight = 0.0
+    for i, (x, y) in enumerate(s):
+        part = cell
+        for j, (x2, y2) in enumerate(s):
+            if i != j and part:
+                part = cut(part, x2 - x, y2 - y, (x2 * x2 + y2 * y2 - x * x - y * y) / 2)
+        area = sum(a * d - b * c for (a, b), (c, d) in zip(part, part[1:] + part[:1])) / 2
+        total, weight = total + area * v[i], weight + area
+    return total / weight
+
+
+def test_natural_neighbours_against_plain_cuts(spark):
+    rng = random.Random(6)
+    p = [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(70)] + [(float(x), float(y)) for x in range(10, 14) for y in range(4)] + [(rng.gauss(3, 0.01), rng.gauss(3, 0.01)) for _ in range(30)]
+    p += p[:5] + [(50.0, 40.0)]
+    v = [rng.uniform(-5, 5) for _ in p]
+    places = [(rng.uniform(-1, 14), rng.uniform(-1, 10)) for _ in range(60)] + [(11.5, 1.5), (11.0, 2.0), (40.0, 31.0), (12.25, 1.5), (9.5, 20.0)] + [(rng.gauss(3, 0.01), rng.gauss(3, 0.01)) for _ in range(10)]
+    s = spark.createDataFrame([(i, *q, z) for i, (q, z) in enumerate(zip(p, v))], "sid long, x double, y double, v double").repartition(3)
+    t = spark.createDataFrame([(i // 2, *q) for i, q in enumerate(places)] + [(1, None, 2.0)], "id long, x double, y double").repartition(2)  # ids repeat
+    want = {q: plain_natural(p, v, q) for q in places}
+    assert sum(x is None for x in want.values()) > 5
+    for leaf in (8, 1000):
+        got = interpolation.natural_neighbour(t, s, 10, leaf).collect()
+        assert len(got) == len(places) + 1
+        for r in got:
+            w = want.get((r.x, r.y))
+            assert (r.v is None) == (w is None) and (w is None or r.v == pytest.approx(w, abs=1e-9)), (r, w)
+    plane = {(r.x, r.y): r.v for r in interpolation.natural_neighbour(t, s.withColumn("v", 2 * F.col("x") - 3 * F.col("y") + 1), 10, 8).collect() if r.v is not None}
+    assert all(z == pytest.approx(2 * x - 3 * y + 1, abs=1e-7) for (x, y), z in plane.items()) and len(plane) > 40
+    both = {(r.x, r.y): r.v for r in interpolation.natural_then_idw(t, s, 10, 8).collect()}
+    weighed = {(r.x, r.y): r.v for r in interpolation.idw(t, s, 10, 8).collect()}
+    assert all(both[q] == pytest.approx(weighed[q] if want[q] is None else want[q], abs=1e-9) for q in places)
+    none = interpolation.natural_then_idw(t, s.where("sid < 0"), 10).collect()
+    assert len(none) == len(places) + 1 and {r.v for r in none} == {None}
 
 
 def test_tension_basis():
@@ -113,7 +174,7 @@ def test_variogram_is_fitted(spark):
     waves = rng.normal(0, 1, (200, 2)) * 0.6
     v = np.sign(np.cos(p @ waves.T + rng.uniform(0, 6.3, 200))).sum(1) / 14  # steps, so that it rises from the origin in a line
     s = spark.createDataFrame([(i, float(x), float(y), float(z)) for i, ((x, y), z) in enumerate(zip(p, v))], "sid long, x double, y double, v double")
-    span, sill, nugget = interpolation.variogram(s)
+    span, sill, nugget = interpolation.variogram(s, 3.0)
     # half the mean squared differences of all pairs at that distance
     d, g = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)), (v[:, None] - v[None]) ** 2 / 2
     for h in (0.5, 0.9, 1.2):
@@ -122,17 +183,43 @@ def test_variogram_is_fitted(spark):
     assert all(math.isfinite(x) for x in flat)
 
 
-def test_nearest_with_dense_buckets_and_no_samples(spark, monkeypatch):
+def test_lag_sums_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.uniform(0, 10, (150, 2)), rng.normal(4, 0.01, (100, 2)), np.full((20, 2), 2.5)])
+    v = rng.normal(0, 1, len(p))
+    s = spark.createDataFrame([(i % 9, float(x), float(y), float(z)) for i, ((x, y), z) in enumerate(zip(p, v))] + [(1, 3.0, 3.0, None), (2, None, 1.0, 1.0)], "sid long, x double, y double, v double").repartition(3)
+    d, g = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)), (v[:, None] - v[None]) ** 2 / 2
+    i, j = np.triu_indices(len(p), 1)
+    d, g = d[i, j], g[i, j]
+    some = (d > 0) & (d <= 2.5)
+    lag = np.minimum((d[some] / 2.5 * 5).astype(int), 4)
+    want = [(d[some][lag == k].sum(), g[some][lag == k].sum(), int((lag == k).sum())) for k in range(5)]
+    for leaf in (6, 1000):
+        got = interpolation.lag_sums(s, 2.5, 5, leaf)
+        assert [x[2] for x in got] == [x[2] for x in want]
+        assert np.allclose([x[:2] for x in got], [x[:2] for x in want])
+
+
+def test_nearest_where_samples_are_dense_equal_or_absent(spark):
     rng = random.Random(4)
-    s = spark.createDataFrame([(i, rng.uniform(0, 5), rng.uniform(0, 5), float(i)) for i in range(80)], "sid int, x double, y double, v double")
-    t = spark.createDataFrame([(i, rng.uniform(-1, 6), rng.uniform(-1, 6)) for i in range(30)], "id int, x double, y double")
-    rows = lambda: sorted(map(tuple, interpolation.neighbours(t, s, 5).select("id", "rank", "sid").collect()))
-    usual = rows()
-    monkeypatch.setattr(interpolation, "MOST_IN_BUCKET", 1)
-    assert rows() == usual and len(usual) == 150
+    places = [(rng.uniform(0, 5), rng.uniform(0, 5)) for _ in range(80)] + [(2.0, 2.0)] * 60 + [(rng.gauss(1, 0.001), 1.0) for _ in range(60)] + [(float(x), float(y)) for x in range(4) for y in range(4)]
+    data = [(i * 7 % 1000, x, y, float(i)) for i, (x, y) in enumerate(places)] + [(5, None, 1.0, 1.0), (6, math.nan, 1.0, 1.0)]
+    s = spark.createDataFrame(data, "sid int, x double, y double, v double").repartition(3)
+    at = [(rng.uniform(-1, 6), rng.uniform(-1, 6)) for _ in range(40)] + [(2.0, 2.0), (1.5, 1.5), (200.0, -300.0), (1.0, 1.0)]
+    t = spark.createDataFrame([(i % 3, *q) for i, q in enumerate(at)] + [(0, None, None)], "id int, x double, y double").repartition(2)  # ids repeat
+    for n in (1, 5, 300):
+        want = {q: [(x[0]) for x in sorted((r for r in data if r[1] is not None and r[1] == r[1]), key=lambda r: ((q[0] - r[1]) * (q[0] - r[1]) + (q[1] - r[2]) * (q[1] - r[2]), r[0]))[:n]] for q in at}
+        for leaf in (3, None):
+            got = interpolation.nearest(t, s, n, leaf).collect()
+            assert len(got) == len(at) + 1
+            for r in got:
+                assert [e.sid for e in r.near] == want.get((r.x, r.y), []), (n, leaf, r.x, r.y)
     none = interpolation.neighbours(t, s.where("sid < 0"), 5)
     assert none.columns == ["id", "x", "y", "sid", "sx", "sy", "sv", "d2", "rank"] and none.count() == 0
     assert {r.v for r in interpolation.idw(t, s.where("sid < 0"), 5).collect()} == {None}
+    twice = spark.createDataFrame([(1, 2.0, 2.1), (1, 4.0, 4.1)], "id int, x double, y double")  # rows of one id have values of their own
+    alone = [r.v for i in (0, 1) for r in interpolation.idw(twice.where(f"x = {2 + 2 * i}"), s, 5).collect()]
+    assert sorted(r.v for r in interpolation.idw(twice, s, 5).collect()) == sorted(alone) and alone[0] != alone[1]
 
 
 def test_tile_counts():
@@ -336,4 +423,4 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_nearest_outside_the_first_ring(spark):
     s = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, 100.0, 0.0, 2.0)], "sid int, x double, y double, v double")
     t = spark.createDataFrame([(5, 40.0, 0.0)], "id int, x double, y double")
-    assert [r.sid for r in interpolation.neighbours(t, s, 1, 1.0).collect()] == [0]
+    assert [r.sid for r in interpolation.neighbours(t, s, 1, 1).collect()] == [0]
