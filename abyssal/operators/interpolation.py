@@ -131,7 +131,7 @@ def row_pad(cells: DataFrame) -> DataFrame:
 
 
 def _leaf(n: int, leaf: int | None) -> int:
-    return leaf or max(64, 8 * n)
+    return leaf or max(256, 16 * n)
 
 
 def nearest(targets: DataFrame, samples: DataFrame, n: int, leaf: int | None = None) -> DataFrame:
@@ -211,18 +211,23 @@ def lag_sums(samples: DataFrame, reach: float, lags: int = 12, leaf: int = 1_000
         for batch in batches:
             for same, one, two in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 (_, p, v), (_, q, w) = unpack([one]), unpack([two])
-                for a in range(0, len(p), 500):
-                    d = np.hypot(p[a : a + 500, None, 0] - q[None, :, 0], p[a : a + 500, None, 1] - q[None, :, 1])
-                    far = (v[a : a + 500, None] - w[None]) ** 2 / 2
-                    keep = (d > 0) & (d <= reach)
+                step = max(1, 65_536 // len(q))  # a block that stays in the cache
+                for a in range(0, len(p), step):
+                    d = p[a : a + step, None, 0] - q[None, :, 0]
+                    d *= d
+                    other = p[a : a + step, None, 1] - q[None, :, 1]
+                    other *= other
+                    d += other
+                    keep = (d > 0) & (d <= reach * reach)
                     if same:
-                        keep &= np.arange(len(q)) > np.arange(a, min(a + 500, len(p)))[:, None]
-                    d, far = d[keep], far[keep]
-                    lag = np.minimum((d / reach * lags).astype(np.int64), lags - 1)
+                        keep &= np.arange(len(q)) > np.arange(a, min(a + step, len(p)))[:, None]
+                    d = np.sqrt(d[keep])
+                    far = np.subtract(v[a : a + step, None], w[None], out=other)[keep]
+                    lag = np.minimum((d * (lags / reach)).astype(np.int64), lags - 1)
                     h += np.bincount(lag, d, lags)
-                    g += np.bincount(lag, far, lags)
+                    g += np.bincount(lag, far * far, lags)
                     n += np.bincount(lag, minlength=lags)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(lags)), pa.array(h), pa.array(g), pa.array(n)], names=["lag", "h", "g", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(lags)), pa.array(h), pa.array(g / 2), pa.array(n)], names=["lag", "h", "g", "n"])
 
     found = {r["lag"]: r for r in met.mapInArrow(run, "lag long, h double, g double, n long").groupBy("lag").agg(*[F.sum(c).alias(c) for c in ("h", "g", "n")]).collect()}
     return [(found[i]["h"], found[i]["g"], found[i]["n"]) if i in found else (0.0, 0.0, 0) for i in range(lags)]

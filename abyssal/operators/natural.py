@@ -57,7 +57,27 @@ def _beyond(poly: np.ndarray, count: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def cells(s: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of targets at the origin among samples s (b, c, 2), and their numbers of vertices."""
+    """The cells of targets at the origin among samples s (b, c, 2), cut from squares of half sides ``half``, and their numbers of vertices.
+
+    Squares grow from the distance of the nearest sample, as long as a cell reaches its square: so vertices are exact to the
+    cell's own size.
+    """
+    poly, count = np.zeros((len(s), 4, 2)), np.zeros(len(s), np.int64)
+    going = np.arange(len(s))
+    size = np.minimum(16 * np.sqrt((s**2).sum(2).min(1)), half) if s.shape[1] else half.copy()
+    while len(going):
+        new, n = _cells_in(s[going], size[going])
+        if new.shape[1] > poly.shape[1]:
+            poly = np.concatenate([poly, np.zeros((len(poly), new.shape[1] - poly.shape[1], 2))], 1)
+        poly[going] = 0
+        poly[going, : new.shape[1]], count[going] = new, n
+        reached = np.where(np.arange(new.shape[1])[None, :, None] < n[:, None, None], np.abs(new), 0).max((1, 2)) >= 0.999 * size[going]
+        going = going[reached & (size[going] < half[going])]
+        size[going] = np.minimum(64 * size[going], half[going])
+    return poly, count
+
+
+def _cells_in(s: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     poly, count = _SQUARE[None] * half[:, None, None], np.full(len(s), 4)
     used = np.zeros(s.shape[:2], bool)
     going = np.arange(len(s)) if s.shape[1] else np.zeros(0, np.int64)
