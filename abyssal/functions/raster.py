@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,11 +98,47 @@ def inverse_mercator(x: Column, y: Column, steps: int = 6) -> tuple[Column, Colu
     return F.degrees(x / _A), F.degrees(phi)
 
 
+_K0 = math.cos(math.radians(30)) / math.sqrt(1 - (_E * math.sin(math.radians(30))) ** 2)
+
+
+def _authalic(phi: Column) -> Column:
+    """The equal-area function of a latitude in radians, over 1 - e^2."""
+    sin = F.sin(phi)
+    es = F.lit(_E) * sin
+    return sin / (1 - es * es) - F.lit(1 / (2 * _E)) * F.log((1 - es) / (1 + es))
+
+
+_POLE = (1 - _E**2) * (1 / (1 - _E**2) - math.log((1 - _E) / (1 + _E)) / (2 * _E))
+
+
 def behrmann(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Degrees to metres, cylindrical equal-area on the ellipsoid with a standard parallel of 30 degrees."""
-    s = math.sin(math.radians(30))
-    k0 = math.cos(math.radians(30)) / math.sqrt(1 - (_E * s) ** 2)
-    sin = F.sin(F.radians(lat))
-    es = F.lit(_E) * sin
-    q = F.lit(1 - _E**2) * (sin / (1 - es * es) - F.lit(1 / (2 * _E)) * F.log((1 - es) / (1 + es)))
-    return F.lit(_A * k0) * F.radians(lon), F.lit(_A) * q / F.lit(2 * k0)
+    return F.lit(_A * _K0) * F.radians(lon), F.lit(_A) * (F.lit(1 - _E**2) * _authalic(F.radians(lat))) / F.lit(2 * _K0)
+
+
+def inverse_behrmann(x: Column, y: Column, steps: int = 2) -> tuple[Column, Column]:
+    """Metres to degrees: the series of the authalic latitude, then Newton steps. NULL beyond the poles."""
+    q = F.lit(2 * _K0 / _A) * y
+    beta = F.asin(F.when(F.abs(q) <= _POLE * (1 + 1e-12), F.greatest(F.least(q / F.lit(_POLE), F.lit(1.0)), F.lit(-1.0))))
+    e2, e4, e6 = _E**2, _E**4, _E**6
+    # fixed values: the series' published coefficients
+    phi = beta + F.lit(e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + F.lit(23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + F.lit(761 * e6 / 45360) * F.sin(6 * beta)
+    for _ in range(steps):
+        es = F.lit(_E) * F.sin(phi)
+        move = (1 - es * es) * (1 - es * es) / (2 * F.cos(phi)) * (q / F.lit(1 - e2) - _authalic(phi))
+        phi = F.when(F.cos(phi) > 1e-6, phi + move).otherwise(phi)
+    return F.degrees(x / F.lit(_A * _K0)), F.degrees(phi)
+
+
+class Projection(NamedTuple):
+    """A pair of functions: degrees to the plane, and back."""
+
+    forward: Callable[[Column, Column], tuple[Column, Column]]
+    inverse: Callable[[Column, Column], tuple[Column, Column]]
+
+
+PROJECTIONS = {
+    "degrees": Projection(lambda lon, lat: (lon, lat), lambda x, y: (x, y)),
+    "mercator": Projection(mercator, inverse_mercator),
+    "behrmann": Projection(behrmann, inverse_behrmann),
+}

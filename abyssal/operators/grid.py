@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from abyssal.functions.raster import inverse_mercator
+from abyssal.functions.raster import PROJECTIONS
+from abyssal.functions.rows import carried, restored
 
 
 @dataclass(frozen=True)
 class Grid:
-    """A cube's axes: regular in x and y, any increasing depths in z."""
+    """A cube's axes: any increasing depths in z; x and y regular, or any increasing coordinates where xs and ys are given."""
 
     nx: int
     ny: int
@@ -23,10 +24,35 @@ class Grid:
     y0: float = 0.0
     dx: float = 1.0
     dy: float = 1.0
+    xs: tuple[float, ...] | None = None
+    ys: tuple[float, ...] | None = None
     extent: tuple[float, float, float, float] = field(init=False)
 
     def __post_init__(self):
-        object.__setattr__(self, "extent", (self.x0, self.y0, self.x0 + self.dx * (self.nx - 1), self.y0 + self.dy * (self.ny - 1)))
+        for axis, n in ((self.xs, self.nx), (self.ys, self.ny), (self.zs, len(self.zs))):
+            if axis is not None and (len(axis) != n or n < 2 or any(a >= b for a, b in zip(axis, axis[1:]))):
+                raise ValueError("an axis has at least two coordinates, each above the one before, and as many as the grid")
+        x1, y1 = self.x0 + self.dx * (self.nx - 1), self.y0 + self.dy * (self.ny - 1)
+        across, along = (self.xs[0], self.xs[-1]) if self.xs else (self.x0, x1), (self.ys[0], self.ys[-1]) if self.ys else (self.y0, y1)
+        object.__setattr__(self, "extent", (across[0], along[0], across[1], along[1]))
+
+
+def rectilinear(xs: tuple[float, ...], ys: tuple[float, ...], zs: tuple[float, ...]) -> Grid:
+    """A grid with uneven axes."""
+    return Grid(len(xs), len(ys), tuple(zs), xs=tuple(xs), ys=tuple(ys))
+
+
+def axis_array(axis: tuple[float, ...]) -> Column:
+    """An axis as an array literal, of any length."""
+    return F.split(F.lit(",".join(map(repr, map(float, axis)))), ",").cast("array<double>")
+
+
+def lower_node(v: Column, axis: tuple[float, ...]) -> Column:
+    """The node below a value on any increasing axis, by binary search: 0 below the axis, the last but one from there on."""
+    n = len(axis)
+    nodes = axis_array(axis)
+    steps = [1 << i for i in range((n - 1).bit_length())][::-1]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= n - 2) & (F.get(nodes, at + step) <= v), at + step).otherwise(at))
 
 
 def axis_values(cube: DataFrame, dims: tuple[str, ...] = ("i", "j", "k")) -> DataFrame:
@@ -81,9 +107,10 @@ def depth_slice(cube: DataFrame, grid: Grid, depth: float) -> DataFrame:
 
 
 def sample(points: DataFrame, raster: DataFrame, value: str, out: str) -> DataFrame:
-    """points (with row and col) with the raster's value at their cell, NULL where it has none."""
-    cells = raster.select("row", "col", F.col(value).alias(out))
-    return points.join(cells, ["row", "col"], "left")
+    """points (with row and col) with the raster's value at their cell, NULL where it has none; a column named like ``out`` is replaced."""
+    cells = raster.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_v"))
+    at = points.select(carried(points).alias("_row"))
+    return restored(at.join(cells, (F.col("_row.row") == F.col("_r")) & (F.col("_row.col") == F.col("_c")), "left"), points, "_row", **{out: F.col("_v")})
 
 
 def resample_nearest(raster: DataFrame, factor: int, nrows: int, ncols: int) -> DataFrame:
@@ -127,18 +154,27 @@ def cell_index(x: Column, y: Column, spec: Spec) -> tuple[Column, Column]:
     return F.when(inside, row), F.when(inside, col)
 
 
-def reproject_mercator(raster: DataFrame, source: Spec, target: Spec) -> DataFrame:
-    """(row, col, z) of ``target``, in Mercator metres, from a raster in degrees: the value of the source cell that holds each centre.
+def reproject(raster: DataFrame, source: Spec, target: Spec, of: str = "degrees", to: str = "mercator") -> DataFrame:
+    """(row, col, z) of ``target`` in the projection ``to``, from a raster in the projection ``of``: the value of the source cell that holds each centre.
 
-    Target centres are projected back and meet source cells in one equi-join; cells outside the source have no value.
+    Projections are those of ``functions.raster.PROJECTIONS``. Target centres go back to degrees, on to the source's plane, and
+    meet its cells in one equi-join; cells outside the source or the projection have no value.
     """
-    lon, lat = inverse_mercator(F.col("x"), F.col("y"))
-    row, col = cell_index(lon, lat, source)
-    at = cells_of(raster.sparkSession, target).select("row", "col", row.alias("sr"), col.alias("sc"))
+    lon, lat = PROJECTIONS[to].inverse(F.col("x"), F.col("y"))
+    x, y = PROJECTIONS[of].forward(F.col("lon"), F.col("lat"))
+    at = cells_of(raster.sparkSession, target).select("row", "col", lon.alias("lon"), lat.alias("lat")).select("row", "col", x.alias("x"), y.alias("y"))
+    sr, sc = cell_index(F.col("x"), F.col("y"), source)
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & ~F.isnan("x") & ~F.isnan("y")
+    at = at.select("row", "col", *[F.when(finite, F.col(c)).alias(c) for c in ("x", "y")]).select("row", "col", sr.alias("sr"), sc.alias("sc"))
     cells = raster.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "z")
     return at.join(cells, ["sr", "sc"], "left").select("row", "col", "z")
 
 
+def reproject_mercator(raster: DataFrame, source: Spec, target: Spec) -> DataFrame:
+    """A raster in degrees to Mercator metres."""
+    return reproject(raster, source, target, "degrees", "mercator")
+
+
 def cube_of_layers(layers: DataFrame, catalog: DataFrame, nrows: int) -> DataFrame:
     """(i, j, k, v) from layers (name, row, col, z), rows counted from the top: columns become i, flipped rows j, layers in the order of depth k."""
     depths = catalog.select("name", (F.dense_rank().over(W.orderBy("depth_m")) - 1).alias("k"))  # a row per layer

@@ -10,28 +10,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from abyssal.operators.grid import Grid
+from abyssal.functions.rows import carried, restored
+from abyssal.operators.grid import Grid, axis_array, lower_node
 from abyssal.operators.natural import by_distance, natural_of
 from abyssal.operators.nearest import Leaves, flat, nearest_of, unpack
 
-#: Doubles of the corner table up to which it is broadcast; a larger one is shuffled by (i, j).
+#: Doubles of the corner table up to which it is broadcast; a larger one is shuffled by (i, j, slab).
 MOST_BROADCAST = 20_000_000
+#: Intervals of depth that a corner block spans; a deeper axis is cut into slabs.
+SLAB = 64
 
 
 def corner_blocks(cube: DataFrame, grid: Grid) -> DataFrame:
-    """(i, j, a00, a10, a01, a11): for each grid square the value columns over z at its four corners."""
-    levels = F.array(*[F.max(F.when(F.col("k") == k, F.col("v"))) for k in range(len(grid.zs))])
-    columns = cube.groupBy("i", "j").agg(levels.alias("a"))
-    spread = columns.select(F.explode(F.array(*[F.struct((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.lit(2 * dj + di).alias("c")) for di in (0, 1) for dj in (0, 1)])).alias("s"), "a")
+    """(i, j, slab, a00, a10, a01, a11): for each grid square and slab the value columns over z at its four corners.
+
+    A slab holds the levels from SLAB * slab to SLAB * (slab + 1), both included.
+    """
+    wide = min(len(grid.zs), SLAB + 1)
+    own = cube.select("i", "j", "v", F.expr(f"k div {SLAB}").alias("slab"), (F.col("k") % SLAB).alias("m"))
+    if len(grid.zs) > wide:  # a level on the edge of two slabs is in both
+        own = own.union(cube.where((F.col("k") % SLAB == 0) & (F.col("k") > 0)).select("i", "j", "v", F.expr(f"k div {SLAB} - 1"), F.lit(SLAB)))
+    levels = F.array(*[F.max(F.when(F.col("m") == m, F.col("v"))) for m in range(wide)])
+    columns = own.groupBy("i", "j", "slab").agg(levels.alias("a"))
+    spread = columns.select(F.explode(F.array(*[F.struct((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.lit(2 * dj + di).alias("c")) for di in (0, 1) for dj in (0, 1)])).alias("s"), "slab", "a")
     spread = spread.where(F.col("s.i").between(0, grid.nx - 2) & F.col("s.j").between(0, grid.ny - 2))
     corner = lambda c: F.max(F.when(F.col("s.c") == c, F.col("a")))  # noqa: E731  one row per corner: max picks it
-    return spread.groupBy(F.col("s.i").cast("int").alias("i"), F.col("s.j").cast("int").alias("j")).agg(corner(0).alias("a00"), corner(1).alias("a10"), corner(2).alias("a01"), corner(3).alias("a11"))
+    return spread.groupBy(F.col("s.i").cast("int").alias("i"), F.col("s.j").cast("int").alias("j"), F.col("slab").cast("int").alias("slab")).agg(corner(0).alias("a00"), corner(1).alias("a10"), corner(2).alias("a01"), corner(3).alias("a11"))
 
 
 def _lower(v: Column, origin: float, step: float, n: int) -> Column:
     return F.least(F.greatest(F.floor((v - F.lit(origin)) / F.lit(step)), F.lit(0)), F.lit(n - 2)).cast("int")
 
 
+def _bracket(v: Column, axis: tuple[float, ...] | None, origin: float, step: float, n: int) -> Column:
+    """The interval of a value: in closed form on a regular axis, by binary search on any other."""
+    if axis is None:
+        return _lower(v, origin, step, n)
+    return lower_node(v, axis)
+
+
+def _share(v: Column, at: Column, axis: tuple[float, ...] | None, origin: float, step: float) -> Column:
+    if axis is None:
+        return (v - (F.lit(origin) + at * F.lit(step))) / F.lit(step)
+    nodes = axis_array(axis)
+    return (v - F.get(nodes, at)) / (F.get(nodes, at + 1) - F.get(nodes, at))
+
+
 def edge_clamp(points: DataFrame, grid: Grid, deepest: float = 5500.0, at: float = 5499.0) -> DataFrame:
     """x and y moved onto the grid, depths from ``deepest`` on to ``at``, depths above the sea to 0."""
     xmin, ymin, xmax, ymax = map(F.lit, grid.extent)
@@ -68,49 +92,46 @@ def tile_flags(points: DataFrame, edges: DataFrame, grid: Grid, deepest: float =
     place = place.when(low, F.when(deep, "Bot").otherwise("Bottom")).when(side != "", side).otherwise("OK")
     edge = F.when(d.isNull(), "Flagged 1").when(deep, F.concat(place, F.lit("Deep"))).otherwise(place)
     inner = F.when(d.isNull(), "Flag 3").when(deep | (d < 0), "Flag 4").otherwise("Flag 2")
-    return points.join(edges.select(tile, "edge"), tile).withColumn("flag", F.when(F.col("edge"), edge).otherwise(inner)).drop("edge")
+    at = points.select(carried(points).alias("_row"), "x", "y", "d").join(edges.select(F.col(tile).alias("_tile"), F.col("edge").alias("_edge")), F.col(f"_row.`{tile}`") == F.col("_tile"))
+    return restored(at, points, "_row", flag=F.when(F.col("_edge"), edge).otherwise(inner))
 
 
 def nearest_depth(points: DataFrame, grid: Grid, out: str = "z") -> DataFrame:
     """points with the axis depth nearest to ``d``; the shallower of two as near."""
-    zs = F.array(*[F.lit(float(z)) for z in grid.zs])
-    best = F.array_min(F.transform(zs, lambda z: F.struct(F.abs(z - F.col("d")).alias("a"), z.alias("z")))).getField("z")
-    return points.withColumn(out, F.when(F.col("d").isNotNull(), best))
+    k, zs = lower_node(F.col("d"), grid.zs), axis_array(grid.zs)
+    low, high = F.get(zs, k), F.get(zs, k + 1)
+    return points.withColumn(out, F.when(F.col("d").isNotNull(), F.when(F.col("d") - low <= high - F.col("d"), low).otherwise(high)))
 
 
 def trilinear(points: DataFrame, cube: DataFrame, grid: Grid, bounds: str = "null") -> DataFrame:
     """points (x, y, d) with ``tri``. One equi-join per point, then a closed form; no UDF.
 
     bounds: 'null' leaves points outside without a value, 'error' fails when there are any, 'clamp' moves them onto the
-    grid. A NULL corner gives NULL, even at weight 0. The last interval of each axis is closed.
+    grid. A NULL corner gives NULL, even at weight 0, and so does a NULL coordinate. The last interval of each axis is closed.
+    Axes may be uneven. Other columns are kept whatever their names; one named tri is replaced.
     """
+    place = points.select(carried(points).alias("_row"), *[F.col(c) for c in ("x", "y", "d")])
     if bounds == "clamp":
-        moved = edge_clamp(points.withColumns({"_x": F.col("x"), "_y": F.col("y"), "_d": F.col("d")}), grid)
-        out = trilinear(moved, cube, grid)
-        return out.drop("x", "y", "d").withColumnsRenamed({"_x": "x", "_y": "y", "_d": "d"}).select(*points.columns, "tri")
-    xmin, ymin, xmax, ymax = grid.extent
-    zs = F.array(*[F.lit(float(z)) for z in grid.zs])
+        place = edge_clamp(place, grid)
+    xmin, ymin, xmax, ymax = map(float, grid.extent)
     nz = len(grid.zs)
-    inside = F.col("x").between(xmin, xmax) & F.col("y").between(ymin, ymax) & F.col("d").between(grid.zs[0], grid.zs[-1])
+    inside = F.col("x").between(xmin, xmax) & F.col("y").between(ymin, ymax) & F.col("d").between(float(grid.zs[0]), float(grid.zs[-1]))
     if bounds == "error" and (n := points.where(~inside).count()):
         raise ValueError(f"{n} points are outside the grid")
-    k = F.least(F.greatest(F.size(F.filter(zs, lambda z: z <= F.col("d"))) - 1, F.lit(0)), F.lit(nz - 2))
-    at = points.withColumns({"_i": _lower(F.col("x"), grid.x0, grid.dx, grid.nx), "_j": _lower(F.col("y"), grid.y0, grid.dy, grid.ny), "_k": k})
+    at = place.select("*", _bracket(F.col("x"), grid.xs, grid.x0, grid.dx, grid.nx).alias("_i"), _bracket(F.col("y"), grid.ys, grid.y0, grid.dy, grid.ny).alias("_j"), lower_node(F.col("d"), grid.zs).alias("_k"))
+    at = at.withColumns({"_s": F.expr(f"cast(_k div {SLAB} as int)"), "_m": F.col("_k") % SLAB})
     blocks = corner_blocks(cube, grid)
     if grid.nx * grid.ny * nz * 4 <= MOST_BROADCAST:
         blocks = F.broadcast(blocks)
-    at = at.join(blocks, (F.col("_i") == F.col("i")) & (F.col("_j") == F.col("j")), "left")
-    tx = (F.col("x") - (F.lit(grid.x0) + F.col("_i") * F.lit(grid.dx))) / F.lit(grid.dx)
-    ty = (F.col("y") - (F.lit(grid.y0) + F.col("_j") * F.lit(grid.dy))) / F.lit(grid.dy)
-    z0, z1 = zs[F.col("_k")], zs[F.col("_k") + 1]
-    tz = (F.col("d") - z0) / (z1 - z0)
+    at = at.join(blocks, (F.col("_i") == F.col("i")) & (F.col("_j") == F.col("j")) & (F.col("_s") == F.col("slab")), "left")
+    tx, ty, tz = _share(F.col("x"), F.col("_i"), grid.xs, grid.x0, grid.dx), _share(F.col("y"), F.col("_j"), grid.ys, grid.y0, grid.dy), _share(F.col("d"), F.col("_k"), grid.zs, 0.0, 1.0)
 
     def plane(step: int) -> Column:
-        v = {c: F.col(c)[F.col("_k") + step] for c in ("a00", "a10", "a01", "a11")}
+        v = {c: F.get(F.col(c), F.col("_m") + step) for c in ("a00", "a10", "a01", "a11")}
         return (v["a00"] * (1 - tx) + v["a10"] * tx) * (1 - ty) + (v["a01"] * (1 - tx) + v["a11"] * tx) * ty
 
     value = plane(0) * (1 - tz) + plane(1) * tz
-    return at.select(*[points[c] for c in points.columns], F.when(inside, value).alias("tri"))
+    return restored(at, points, "_row", tri=F.when(inside, value))
 
 
 def row_pad(cells: DataFrame) -> DataFrame:

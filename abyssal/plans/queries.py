@@ -65,6 +65,27 @@ def trilinear_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.trilinear(load(spark, sf_dir, "bathy_wide"), load(spark, sf_dir, "cube"), GRID)
 
 
+_UNEVEN = G.rectilinear(tuple(i * (0.7 + 0.02 * i) for i in range(16)), tuple(15 * (j / 15) ** 1.5 for j in range(16)), GRID.zs)
+
+
+def _uneven(points: str, cube: str) -> str:
+    """Trilinear interpolation over uneven axes, as eight joins."""
+    axis = {"x": _UNEVEN.xs, "y": _UNEVEN.ys, "d": _UNEVEN.zs}
+    nodes = {c: "[" + ", ".join(f"cast({v!r} as double)" for v in a) + "]" for c, a in axis.items()}
+    low = ", ".join(f"greatest(least(cast(len(list_filter({nodes[c]}, lambda v: v <= {c})) as int) - 1, {len(a) - 2}), 0) as {c}0" for c, a in axis.items())
+    share = ", ".join(f"({c} - {nodes[c]}[{c}0 + 1]) / ({nodes[c]}[{c}0 + 2] - {nodes[c]}[{c}0 + 1]) as t{c}" for c in axis)
+    corners = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    joins = " ".join(f"left join {cube} c{a}{b}{c} on c{a}{b}{c}.i = x0 + {a} and c{a}{b}{c}.j = y0 + {b} and c{a}{b}{c}.k = d0 + {c}" for a, b, c in corners)
+    plane = lambda c: f"((c00{c}.v * ({_ONE} - tx) + c10{c}.v * tx) * ({_ONE} - ty) + (c01{c}.v * ({_ONE} - tx) + c11{c}.v * tx) * ty)"
+    inside = " and ".join(f"{c} between {a[0]!r} and {a[-1]!r}" for c, a in axis.items())
+    return f"select id, x, y, d, case when {inside} then round({plane(0)} * ({_ONE} - td) + {plane(1)} * td, 6) end as tri from (select *, {share} from (select *, {low} from {points})) p {joins}"
+
+
+@query(_uneven("bathy", "cube_gaps"), "cube_gaps bathy")
+def trilinear_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.trilinear(load(spark, sf_dir, "bathy"), load(spark, sf_dir, "cube_gaps"), _UNEVEN).withColumn("tri", F.round("tri", 6))
+
+
 _CLAMPED = "(select id, x as x1, y as y1, d as d1, least(greatest(x, 0), 15) as x, least(greatest(y, 0), 15) as y, case when d >= 5500 then cast(5499 as double) when d < 0 then cast(0 as double) else d end as d from bathy_wide)"
 
 
@@ -395,6 +416,38 @@ def reproject_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reproject_mercator(raster, _DEGREES, _METRES)
 
 
+_PLANE = G.Spec(-12_000_000.0, -6_400_000.0, 12_000_000.0, 6_400_000.0, 100_000.0)
+_FORWARD = "6378137 * k0 * radians({0}) as x, 6378137 * ((1 - e * e) * (s / (1 - e * e * s * s) - 1 / (2 * e) * ln((1 - e * s) / (1 + e * s)))) / (2 * k0) as y"
+_CONSTANTS = "(select e, cos(radians(30)) / sqrt(1 - e * e * cast(0.25 as double)) as k0 from (select sqrt((1 / 298.257223563::double) * (2 - 1 / 298.257223563::double)) as e))"
+
+
+def _plane_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' prices as cells of a raster in Behrmann metres."""
+    return load(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") % 30720 / 240).cast("int").alias("row"), (F.col("o_orderkey") % 240).cast("int").alias("col")).agg(F.max("o_totalprice").alias("z"))
+
+
+# Behrmann metres to degrees, by the forward formula at each target centre; then on to Mercator as above
+@query(f""", c as (select cast(floor(o_orderkey % 30720 / cast(240 as double)) as int) as row, cast(o_orderkey % 240 as int) as col, max(o_totalprice) as z from orders group by 1, 2),
+g as (select cast(r as int) as row, cast(k as int) as col, {_FORWARD.format('lon')} from (select r, k, sin(radians(cast(60 as double) - (r + cast(0.5 as double)))) as s, cast(-125 as double) + (k + cast(0.5 as double)) as lon from range(120) a(r), range(250) b(k)), {_CONSTANTS}),
+deg as (select g.row, g.col, c.z from g left join c on c.row = 127 - floor((y + cast(6400000 as double)) / cast(100000 as double)) and c.col = floor((x + cast(12000000 as double)) / cast(100000 as double))),
+p0 as (select row, y, e, exp(-y / cast(6378137 as double)) as t, pi() / 2 - 2 * atan(exp(-y / cast(6378137 as double))) as phi from (select cast(r as int) as row, cast(8000000 as double) - (r + cast(0.5 as double)) * cast(100000 as double) as y from range(160) g(r)), {_E}){_STEPS},
+rows as (select row, cast(119 - floor((degrees(phi) + cast(60 as double)) / cast(1 as double)) as int) as sr from p6),
+cols as (select cast(k as int) as col, cast(floor((degrees((cast(-13000000 as double) + (k + cast(0.5 as double)) * cast(100000 as double)) / cast(6378137 as double)) + cast(125 as double)) / cast(1 as double)) as int) as sc from range(260) g(k))
+select rows.row, cols.col, deg.z from rows cross join cols left join deg on deg.row = sr and deg.col = sc""", "cube")
+def reproject_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Behrmann metres to degrees to Mercator metres."""
+    degrees = G.reproject(_plane_raster(spark, sf_dir), _PLANE, _DEGREES, "behrmann", "degrees")
+    return G.reproject(degrees, _DEGREES, _METRES, "degrees", "mercator")
+
+
+@query("select cast_id, level, round(lon, 6) as lon, round(lat, 6) as lat from casts", "casts")
+def behrmann_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = R.behrmann(F.col("lon"), F.col("lat"))
+    at = load(spark, sf_dir, "casts").select("cast_id", "level", x.alias("x"), y.alias("y"))
+    lon, lat = R.inverse_behrmann(F.col("x"), F.col("y"))
+    return at.select("cast_id", "level", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
 @query(_CLASSES + "select * from classified where tile_id = (select min(tile_id) from classified where status = 'pass')", "bathy_raster")
 def template_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.template_tile(T.tile_classify(_tiles(spark, sf_dir)))

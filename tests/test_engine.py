@@ -62,6 +62,51 @@ def test_trilinear_against_the_definition(spark):
         interpolation.trilinear(frame, cube, g, "error")
 
 
+def test_trilinear_over_uneven_and_deep_axes(spark):
+    rng = random.Random(2)
+    xs, ys = (-3.0, -2.9, 0.0, 10.0), (1.0, 4.0, 4.5)
+    zs = tuple(np.cumsum([rng.choice([0.01, 1.0, 7.0]) for _ in range(10_000)]).tolist())
+    g = grid.rectilinear(xs, ys, zs)
+    assert g.extent == (-3.0, 1.0, 10.0, 4.5)
+    f = lambda i, j, k: math.sin(i + 3 * j) * 5 + (k * 37 % 101)
+    cube = spark.range(12 * 10_000).select((F.col("id") % 4).cast("int").alias("i"), (F.col("id") / 4 % 3).cast("int").alias("j"), F.floor(F.col("id") / 12).cast("int").alias("k"))
+    cube = cube.withColumn("v", F.sin(F.col("i") + 3 * F.col("j")) * 5 + F.col("k") * 37 % 101)
+    points = [(n, rng.uniform(-3.5, 11), rng.uniform(0.5, 5), rng.uniform(-10, zs[-1] + 10)) for n in range(300)] + [(1000 + k, -2.9, 4.0, zs[k]) for k in (0, 63, 64, 65, 128, 9_998, 9_999)] + [(2000, 10.0, 4.5, zs[-1]), (2001, None, 2.0, 1.0), (2002, 0.0, 2.0, None)]
+    got = {r.id: r.tri for r in interpolation.trilinear(spark.createDataFrame(points, "id int, x double, y double, d double"), cube, g).collect()}
+    nearest = {r.id: r.z for r in interpolation.nearest_depth(spark.createDataFrame(points, "id int, x double, y double, d double"), g).collect()}
+    for n, x, y, d in points:
+        assert nearest[n] == (None if d is None else min(zs, key=lambda z: (abs(z - d), z)))
+        if x is None or d is None or not (xs[0] <= x <= xs[-1] and ys[0] <= y <= ys[-1] and zs[0] <= d <= zs[-1]):
+            assert got[n] is None
+            continue
+        (i, tx), (j, ty), (k, tz) = ((b := min(max(int(np.searchsorted(a, c, "right")) - 1, 0), len(a) - 2), (c - a[b]) / (a[b + 1] - a[b])) for a, c in ((xs, x), (ys, y), (zs, d)))
+        want = sum(f(i + a, j + b, k + c) * (tx if a else 1 - tx) * (ty if b else 1 - ty) * (tz if c else 1 - tz) for a in (0, 1) for b in (0, 1) for c in (0, 1))
+        assert got[n] == pytest.approx(want, abs=1e-6)
+    for bad in ((1.0,), (1.0, 1.0), (2.0, 1.0)):
+        with pytest.raises(ValueError):
+            grid.rectilinear(bad, ys, zs)
+
+
+OWN = ("i", "j", "a00", "slab", "tri", "_i", "_k", "edge", "flag", "tile", "z", "bathy_dep", "v", "lon", "lat")
+
+
+@pytest.mark.parametrize("act", ["trilinear", "clamp", "tile_flags", "sample"])
+def test_own_columns_of_any_name_are_kept(spark, act):
+    plain_points = spark.createDataFrame([(n, 0.5 * n, 1.0, 5.0, 1, n % 3, 7) for n in range(4)], "id int, x double, y double, d double, row int, col int, tile_id int")
+    points = plain_points.withColumns({c: F.lit(f"own {c}") for c in OWN})
+    cube = spark.createDataFrame([(i, j, k, float(i + j + k)) for i in range(3) for j in range(3) for k in range(2)], "i int, j int, k int, v double")
+    g = Grid(3, 3, (0.0, 10.0))
+    acts = {
+        "trilinear": ("tri", lambda p: interpolation.trilinear(p, cube, g)), "clamp": ("tri", lambda p: interpolation.trilinear(p, cube, g, "clamp")),
+        "tile_flags": ("flag", lambda p: interpolation.tile_flags(p, spark.createDataFrame([(7, True)], "tile_id int, edge boolean"), g)),
+        "sample": ("bathy_dep", lambda p: grid.sample(p, spark.createDataFrame([(1, 0, 2.5)], "row int, col int, z double"), "z", "bathy_dep")),
+    }
+    new, run = acts[act]
+    got, want = run(points), {r.id: r[new] for r in run(plain_points).collect()}
+    assert sorted(got.columns) == sorted(points.columns) and {r.id: r[new] for r in got.collect()} == want
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in OWN if c != new)
+
+
 def test_row_pad_case(spark):
     N = None
     rows = [[1, 2, N, 4], [N, N, N, N], [5, N, 7, N], [N, N, N, N]]
@@ -394,8 +439,13 @@ def test_projection_round_trip(spark):
     lon, lat = R.inverse_mercator(F.col("x"), F.col("y"))
     for r in at.select("lon", "lat", x.alias("x"), y.alias("y")).select("lon", "lat", lon.alias("a"), lat.alias("b")).collect():
         assert abs(r.lon - r.a) < 1e-10 and abs(r.lat - r.b) < 1e-10
+    wide = spark.createDataFrame([(float(lon), float(lat)) for lon in (-179, 0, 33) for lat in (-90, -89.999, -80, -1, 0, 1e-9, 45, 85, 89.9, 90)], "lon double, lat double")
     bx, by = R.behrmann(F.col("lon"), F.col("lat"))
-    assert np.isfinite([[r.x, r.y] for r in at.select(bx.alias("x"), by.alias("y")).collect()]).all()
+    lon, lat = R.inverse_behrmann(F.col("x"), F.col("y"))
+    for r in wide.select("lon", "lat", bx.alias("x"), by.alias("y")).select("lon", "lat", lon.alias("a"), lat.alias("b")).collect():
+        assert abs(r.lon - r.a) < 1e-9 and abs(r.lat - r.b) < (1e-9 if abs(r.lat) < 89.99 else 1e-4), r
+    beyond = spark.createDataFrame([(0.0, 9e6), (0.0, -9e6), (None, None)], "x double, y double").select(*R.inverse_behrmann(F.col("x"), F.col("y")))
+    assert [r[1] for r in beyond.collect()] == [None] * 3
 
 
 def test_grid_files_round_trip(spark, tmp_path):
