@@ -11,6 +11,7 @@ from abyssal.functions import raster as R
 from abyssal.operators import casts as C
 from abyssal.operators import grid as G
 from abyssal.operators import interpolation as I
+from abyssal.operators import polygons as Y
 from abyssal.operators import preflight as P
 from abyssal.operators import tiling as T
 from abyssal.operators import validation as V
@@ -471,6 +472,39 @@ def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").select(F.col("n_name").alias("bathymetry")).crossJoin(F.broadcast(load(spark, sf_dir, "region").select(F.col("r_name").alias("variable"))))  # job lists
 
 
+# ---------------------------------------------------------------- polygons
+
+# a star with a hole for each supplier: twelve outer vertices, five inner ones
+_VERTICES = """select s_suppkey as id, 0 as ring, cast(v as int) as v, cast(s_suppkey * 37 % 150 as double) / 10 + cos(v * pi() / 6 + 0.1234) * (case when v % 2 = 0 then 1.3 else 0.7 end + cast(s_suppkey % 7 as double) / 10) as x, cast(s_suppkey * 53 % 150 as double) / 10 + sin(v * pi() / 6 + 0.1234) * (case when v % 2 = 0 then 1.3 else 0.7 end + cast(s_suppkey % 7 as double) / 10) as y from supplier, range(12) r(v)
+union all select s_suppkey, 1, cast(v as int), cast(s_suppkey * 37 % 150 as double) / 10 + cos(v * pi() / 2.5 + 0.4321) * 0.5, cast(s_suppkey * 53 % 150 as double) / 10 + sin(v * pi() / 2.5 + 0.4321) * 0.5 from supplier, range(5) r(v)"""
+_EDGE = f", verts as ({_VERTICES}), edges as (select a.id, a.ring, a.x as x0, a.y as y0, b.x as x1, b.y as y1 from verts a join verts b on a.id = b.id and a.ring = b.ring and b.v = (a.v + 1) % case when a.ring = 0 then 12 else 5 end)\n"
+_ODD = "count(*) filter ((y0 <= {1}) <> (y1 <= {1}) and x0 + ({1} - y0) / (y1 - y0) * (x1 - x0) > {0}) % 2 = 1"
+
+
+def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, wkt)"""
+    vertices = spark.sql(_VERTICES.replace("from supplier", "from {s}").replace("range(12) r(v)", "(select id as v from range(12))").replace("range(5) r(v)", "(select id as v from range(5))"), s=load(spark, sf_dir, "supplier"))
+    rings = vertices.groupBy("id", "ring").agg(F.array_sort(F.collect_list(F.struct("v", "x", "y"))).alias("p"))
+    text = F.concat_ws(", ", F.transform("p", lambda e: F.concat_ws(" ", e["x"].cast("string"), e["y"].cast("string"))))
+    rings = rings.select("id", "ring", F.concat(F.lit("("), text, F.lit(", "), F.element_at("p", 1)["x"].cast("string"), F.lit(" "), F.element_at("p", 1)["y"].cast("string"), F.lit(")")).alias("t"))
+    return rings.groupBy("id").agg(F.concat(F.lit("POLYGON ("), F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("ring", "t"))), lambda r: r["t"])), F.lit(")")).alias("wkt"))
+
+
+@query(_EDGE + f", c as (select cast(r as int) as row, cast(k as int) as col, (k + cast(0.5 as double)) * cast(0.125 as double) as cx, (119 - r + cast(0.5 as double)) * cast(0.125 as double) as cy from range(120) a(r), range(120) b(k)), h as (select id, row, col from c, edges group by id, row, col, cx, cy having {_ODD.format('cx', 'cy')}) select row, col, min(id) as id from h group by row, col", "points")
+def polygon_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.to_raster(_stars(spark, sf_dir), G.Spec(0.0, 0.0, 15.0, 15.0, 0.125))
+
+
+@query(_EDGE + f", h as (select p.id as no, e.id as polygon from points p, edges e group by p.id, e.id, p.x, p.y having {_ODD.format('p.x', 'p.y')}) select p.id, p.x, p.y, h.polygon from points p left join h on h.no = p.id", "points")
+def points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.within(load(spark, sf_dir, "points").select("id", "x", "y"), _stars(spark, sf_dir))
+
+
+@query(_EDGE + "select id, round(max(area) filter (ring = 0) - max(area) filter (ring = 1), 6) as area, round(sum(length), 6) as length from (select id, ring, abs(sum(x0 * y1 - x1 * y0)) / 2 as area, sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))) as length from edges group by id, ring) group by id", "points")
+def polygon_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.measures(_stars(spark, sf_dir)).select("id", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"))
+
+
 # ---------------------------------------------------------------- casts and validation
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from abyssal.functions import raster as R
-from abyssal.operators import casts, grid, interpolation, preflight, tiling, validation
+from abyssal.operators import casts, grid, interpolation, polygons, preflight, tiling, validation
 from abyssal.operators.grid import Grid
 from abyssal.plans import queries as plans
 from abyssal.sources import aaigrid
@@ -474,3 +474,43 @@ def test_nearest_outside_the_first_ring(spark):
     s = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, 100.0, 0.0, 2.0)], "sid int, x double, y double, v double")
     t = spark.createDataFrame([(5, 40.0, 0.0)], "id int, x double, y double")
     assert [r.sid for r in interpolation.neighbours(t, s, 1, 1).collect()] == [0]
+
+
+def odd(rings, x, y):
+    """Even-odd by the definition, over all rings."""
+    hit = False
+    for ring in rings:
+        for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+            if y0 > y1:
+                x0, y0, x1, y1 = x1, y1, x0, y0
+            if y0 <= y < y1 and x0 + (y - y0) / (y1 - y0) * (x1 - x0) > x:
+                hit = not hit
+    return hit
+
+
+def test_polygons_against_the_definition(spark):
+    rng = random.Random(9)
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    star = [(5 + math.cos(a / 20 * math.pi) * rng.uniform(1, 4), 5 + math.sin(a / 20 * math.pi) * rng.uniform(1, 4)) for a in range(40)]
+    shapes = {1: [[square(0, 0, 4), square(1, 1, 2)]], 2: [[star]], 3: [[square(4, 0, 4)], [square(9, 9, 1), square(9.25, 9.25, 0.5)]], 4: [[square(0, 4, 4)]], 5: [[[(2, 2), (2, 2), (2, 2)]]]}
+    text = lambda ring: "(" + ", ".join(f"{x} {y}" for x, y in ring + ring[:1]) + ")"
+    wkt = [(i, ("MULTIPOLYGON (" if len(parts) > 1 else "POLYGON ") + ", ".join("(" + ", ".join(map(text, p)) + ")" for p in parts) + (")" if len(parts) > 1 else "")) for i, parts in shapes.items()]
+    frame = spark.createDataFrame(wkt + [(6, None), (7, "POLYGON EMPTY"), (8, "POINT (1 1)"), (9, "")], "id long, wkt string").repartition(3)
+    rings = {i: [r for p in parts for r in p] for i, parts in shapes.items()}
+    spec = grid.Spec(-1.0, -1.0, 11.0, 11.0, 0.25)
+    want = {}
+    for r in range(48):
+        for c in range(48):
+            hit = [i for i in rings if odd(rings[i], -0.875 + 0.25 * c, 11 - 0.125 - 0.25 * r)]
+            if hit:
+                want[r, c] = min(hit)
+    assert {(r.row, r.col): r.id for r in polygons.to_raster(frame, spec).collect()} == want
+    places = [(rng.uniform(-1, 11), rng.uniform(-1, 11)) for _ in range(300)] + [(float(x), float(y)) for x in range(-1, 11) for y in range(-1, 11)] + [(None, 1.0), (50.0, 50.0)]
+    points = spark.createDataFrame([(n % 50, *p, "own") for n, p in enumerate(places)], "id int, x double, y double, polygon string").repartition(2)  # ids repeat
+    expected = sorted((str(p), i) for p in places for i in ([k for k in rings if p[0] is not None and odd(rings[k], *p)] or [-1]))
+    for net in (None, 1, 7, 60):
+        got = polygons.within(points, frame, net=net).collect()
+        assert sorted((str((r.x, r.y)), -1 if r.polygon is None else r.polygon) for r in got) == expected, net
+    sizes = {r.id: (r.area, r.length) for r in polygons.measures(frame).collect()}
+    assert sizes[1] == (12.0, 24.0) and sizes[3] == (16.75, 22.0) and sizes[5] == (0.0, 0.0) and set(sizes) == set(shapes)
+    assert polygons.within(points, frame.where("id > 5")).where("polygon is not null").count() == 0 and polygons.to_raster(frame.where("id > 5"), spec).count() == 0
