@@ -11,6 +11,7 @@ from abyssal.functions import raster as R
 from abyssal.operators import casts as C
 from abyssal.operators import grid as G
 from abyssal.operators import interpolation as I
+from abyssal.operators import plots as L
 from abyssal.operators import polygons as Y
 from abyssal.operators import preflight as P
 from abyssal.operators import tiling as T
@@ -19,6 +20,7 @@ from abyssal.sources import aaigrid as S
 from abyssal.sources import ctd
 from abyssal.plans.fixtures import GRID, NCOLS, NROWS, load, with_tables
 from abyssal.session import scratch
+from abyssal.streaming import tiles as Z
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,6 +176,21 @@ def tile_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.tile_flags(points, T.edge_tiles(points, GRID.extent), GRID).select("id", "x", "y", "tile_id", "flag")
 
 
+_TILED = ", t1 as (select id, x, y, depth as d, tile_id, case when depth >= 5500 then cast(5499 as double) when depth < 0 then cast(0 as double) else depth end as moved from t)\n"
+
+
+@query(_EDGES.rstrip() + _TILED + "select p.id, p.x, p.y, p.tile_id, case when edge then cast(100000 as double) else tri end as tri, case when edge then 'Flag 5' when d is null then 'Flag 3' when d >= 5500 or d < 0 then 'Flag 4' else 'Flag 2' end as flag from t1 p join e using (tile_id) join (" + _tri("(select id, x, y, moved as d from t1)", "cube", "id") + ") v on v.id = p.id", "cube bathy_wide")
+def tile_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over half of the tiles, then one over all: finished ones are skipped, tiles at the grid's edge fail."""
+    points, cube = _tiled_points(spark, sf_dir), load(spark, sf_dir, "cube")
+    base = scratch(spark, "tiles")
+    for half in (0, 1):
+        part = points.where(f"pmod(tile_id, 2) = {half}") if not half else points
+        part.repartition("tile_id").write.mode("append").parquet(f"{base}/in")
+        Z.run_tiles(spark, f"{base}/in", "id long, x double, y double, d double, tile_id int", cube, GRID, f"{base}/out", f"{base}/state", "fail").awaitTermination()
+    return Z.results(spark, f"{base}/out").select("id", "x", "y", "tile_id", "tri", "flag")
+
+
 # ---------------------------------------------------------------- catalog, axes, algebra
 
 
@@ -693,3 +710,25 @@ def error_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_VP + f"select least(min(tri), min(obs)) as low, greatest(max(tri), max(obs)) as high from vp {_BOTH}", _T)
 def scatter_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.scatter_limits(_points(spark, sf_dir))
+
+
+_PLOTS = {"original_depth": ("depth", "bathy_dep", "original"), "filtered_depth": ("depth", "bathy_dep", "filtered"), "original_tri": ("tri", "obs", "original"), "filtered_tri": ("tri", "obs", "filtered")}
+
+
+def _plot_sql(name: str, x: str, y: str, variant: str) -> str:
+    pixel = lambda c: f"cast(case when hi > lo then least(floor(({c} - lo) / (hi - lo) * 200), 199) else 0 end as int)"
+    return f"select '{name}' as plot, {pixel('x')} as px, {pixel('y')} as py, count(*) as n from (select x, y, least(min(x) over (), min(y) over ()) as lo, greatest(max(x) over (), max(y) over ()) as hi from (select {x} as x, {y} as y from u where variant = '{variant}' and {x} is not null and {y} is not null)) group by 1, 2, 3"
+
+
+@query(_VP.rstrip() + ", " + _VARIANTS + " union all ".join(_plot_sql(n, *p) for n, p in _PLOTS.items()), _T)
+def scatter_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four scatter plots of a validation, as counts of pixels."""
+    points = V.observed(_points(spark, sf_dir))
+    rows = {"original": points, "filtered": V.depth_filter(points, _CUT_OFF)}
+    parts = [L.scatter_pixels(rows[v], x, y).select(F.lit(n).alias("plot"), "px", "py", "n") for n, (x, y, v) in _PLOTS.items()]
+    return C.union(parts)
+
+
+@query("select cast(floor(col / cast(1 as double)) as int) as px, cast(119 - row as int) as py, round(avg(z), 6) as z from bathy_raster where z is not null group by 1, 2", "bathy_raster")
+def overview_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.raster_pixels(load(spark, sf_dir, "bathy_raster"), NROWS, NCOLS).withColumn("z", F.round("z", 6))

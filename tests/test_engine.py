@@ -514,3 +514,58 @@ def test_polygons_against_the_definition(spark):
     sizes = {r.id: (r.area, r.length) for r in polygons.measures(frame).collect()}
     assert sizes[1] == (12.0, 24.0) and sizes[3] == (16.75, 22.0) and sizes[5] == (0.0, 0.0) and set(sizes) == set(shapes)
     assert polygons.within(points, frame.where("id > 5")).where("polygon is not null").count() == 0 and polygons.to_raster(frame.where("id > 5"), spec).count() == 0
+
+
+def test_a_broken_run_goes_on_without_repeats_or_gaps(spark, tmp_path, monkeypatch):
+    from abyssal.streaming import tiles
+
+    g = Grid(4, 4, (0.0, 10.0))
+    cube = spark.createDataFrame([(i, j, k, float(i + 2 * j + k)) for i in range(4) for j in range(4) for k in range(2)], "i int, j int, k int, v double")
+    schema = "id long, x double, y double, d double, tile_id int"
+    rows = [(t * 10 + n, 0.5 * t + 0.1 * n, 1.0, None if n == 3 else 4.0, t) for t in range(8) for n in range(4)]  # tiles from 6 on leave the grid
+    for t in range(8):
+        spark.createDataFrame([r for r in rows if r[4] == t], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start = lambda edges="fail": tiles.run_tiles(spark, str(tmp_path / "in"), schema, cube, g, str(tmp_path / "out"), str(tmp_path / "state"), edges, files=3)
+    calls, commit, write = [], tiles._committed, tiles._tiles_written
+
+    def breaks(*a):
+        calls.append(a[2])
+        if len(calls) == 2:
+            raise RuntimeError("lost before the commit")
+        commit(*a)
+
+    monkeypatch.setattr(tiles, "_committed", breaks)
+    with pytest.raises(Exception, match="lost before the commit"):
+        start().awaitTermination(120)
+    assert tiles.manifest(spark, str(tmp_path / "out")).count() == 3 and tiles.results(spark, str(tmp_path / "out")).count() == 12
+    start().awaitTermination(120)
+    spark.createDataFrame([r for r in rows if r[4] == 2], schema).write.mode("append").parquet(str(tmp_path / "in"))  # delivered again
+    start().awaitTermination(120)
+    want = tiles.interpolated(spark.createDataFrame(rows, schema), cube, g, "fail")
+    got = tiles.results(spark, str(tmp_path / "out")).select(*want.columns)
+    assert plain(map(tuple, got.collect())) == plain(map(tuple, want.collect())) and got.count() == 32
+    assert {(r.tile_id, r.failed) for r in tiles.manifest(spark, str(tmp_path / "out")).collect()} == {(t, t >= 6) for t in range(8)}
+    assert {(r.tri, r.flag) for r in got.where("tile_id >= 6").collect()} == {(100000.0, "Flag 5")}
+    assert {r.flag for r in got.where("tile_id < 6").collect()} == {"Flag 2", "Flag 3"}
+
+
+def test_plots_are_pixels(spark, tmp_path):
+    import struct
+    import zlib
+
+    from abyssal.operators import plots
+
+    points = spark.createDataFrame([(0.0, 0.0), (0.0, 0.1), (9.99, 10.0), (10.0, 10.0), (5.0, None), (float("nan"), 1.0)], "a double, b double")
+    assert {tuple(r) for r in plots.scatter_pixels(points, "a", "b", 10).collect()} == {(0, 0, 2), (9, 9, 2)}
+    assert {tuple(r) for r in plots.scatter_pixels(points, "a", "b", 10, (0, 5)).collect()} == {(0, 0, 2)}
+    assert {tuple(r) for r in plots.scatter_pixels(points.where("a = 0 and b = 0"), "a", "b").collect()} == {(0, 0, 1)}
+    assert plots.scatter_pixels(points.where("a > 99"), "a", "b").count() == 0
+    raster = spark.createDataFrame([(r, c, float(r)) for r in range(4) for c in range(6)] + [(0, 0, None)], "row int, col int, z double")
+    assert {tuple(r) for r in plots.raster_pixels(raster, 4, 6, 3).collect()} == {(x, y, 2.5 - 2 * y) for x in range(3) for y in range(2)}
+    path = tmp_path / "a" / "plot.png"
+    plots.save_png(plots.scatter_pixels(points, "a", "b", 10), str(path), 10, 10)
+    data = path.read_bytes()
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (10, 10)
+    at = data.index(b"IDAT")
+    body = zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]])
+    assert len(body) == 110 and body[1 + 9] != 255 and body[99 + 1] != 255 and body.count(255) == 98
