@@ -12,13 +12,13 @@ p cells that are not empty and d tokens of difference.
 
 Candidates. Cells are shuffled packed, in buckets by cell hash, and grouped in numpy. A cell of up to ``light`` classes
 is a light group. A cell of more is heavy (common passages, or a large group of copies); map tasks split off its surplus
-before the shuffle. A class with fewer heavy cells than p - d shares a light one with every partner, so heavy cells
-matter only between the classes that have more (saturated ones), and of those only the rarest h - (p - d - 1) of h, for
-all similar pairs share a cell among the first d+1 in the order of light cells, then heavy ones by count.
+before the shuffle. Of a class's cells in the order of their numbers of classes only the first d+1 matter: the rarest cell
+that two similar classes share is among these in both, as at most d cells of either are not shared. Cells that no other
+class has come first in that order, so a class keeps t - (p - d - 1) of its t shared cells, the rarest, and mostly none.
 
 Stars first: classes of equal minimum under one of a few hash functions are compared with the least of them, which makes a
 large group of copies one component. Then the members of cells, packed, are dealt by class, where they learn component, size
-and a short sketch and leave the cells that cannot matter, and back by cell. A cell of one component is passed over. In
+and a short sketch and leave the cells that do not matter, and back by cell. A cell of one component is passed over. In
 others, members of different components are compared by size and sketch, in numpy: all of a light cell, and what is outside
 the main component of a heavy one with all. This is done three times, for each class in a few of its cells with those of
 nearest sketch, so in all its cells, and, when these have joined what is alike, in all its cells with all. Thus every pair that shares a deciding cell is compared or already connected. A
@@ -238,10 +238,12 @@ def _cells(k: int, bands: Bands, buckets: int, light: int, chunk: int = 1_000_00
 
 
 _ENTRY = ["cls", "cell", "cnt", "slack"]
+#: An entry's cnt holds its cell's number of classes in so many bits, and above them for how many cells of these classes it stands.
+_COUNT_BITS = 40
 
 
 def _by_class(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Entries (class, cell, count of a heavy cell or 0, slack) dealt by class."""
+    """Entries (class, cell, its count and weight, slack) dealt by class."""
     return dealt(bucket_of(mix(columns[0].view(U64)), buckets), columns, _ENTRY)
 
 
@@ -286,13 +288,14 @@ def _groups(light: int, buckets: int):
         # of light cells with the same members, one
         few = (sizes > 1) & (sizes <= light)
         digest = mix(np.add.reduceat(mix(cls.view(U64) ^ _CLASS), starts) + sizes.astype(U64)) if len(starts) else np.zeros(0, U64)
-        keep = np.zeros(len(starts), bool)
+        stand = np.zeros(len(starts), np.int64)  # for how many cells one stands
         some = np.flatnonzero(few)
-        keep[some[np.unique(digest[some], return_index=True)[1]]] = True
-        keep = np.repeat(keep, sizes)
+        _, first, like = np.unique(digest[some], return_index=True, return_counts=True)
+        stand[some[first]] = like
+        keep = np.repeat(stand > 0, sizes)
         if keep.any():
-            none = np.zeros(int(keep.sum()), np.int64)
-            found = _by_class([cls[keep], cells[keep].view(np.int64), none, none], buckets)
+            weight = np.repeat(stand << _COUNT_BITS | sizes, sizes)[keep]
+            found = _by_class([cls[keep], cells[keep].view(np.int64), weight, slack[keep].astype(np.int64)], buckets)
             yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.int64()), *[pa.nulls(found.num_rows, _LONGS)] * 2], names=["bucket", *_ENTRY, *_FOUND[1:]])
 
     return run
@@ -308,6 +311,7 @@ def _turn(buckets: int):
             per = pc.list_value_length(batch.column(1)).to_numpy()
             cls, slack = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
             cell, cnt = (np.repeat(batch.column(i).to_numpy(), per) for i in (0, 3))
+            cnt = cnt | 1 << _COUNT_BITS
             yield _by_class([cls, cell, cnt, slack], buckets)
 
     return run
@@ -329,8 +333,9 @@ def _known(buckets: int):
 def _decide(buckets: int, most: int, only: int | None = None):
     """Entries and classes of the same buckets -> entries (key, class, component, size, sketch) dealt by cell.
 
-    A class keeps its light cells; of its heavy ones, rarest first, it leaves those that it can do without, and all when
-    it is not saturated. With ``only``, it takes part in so many of these cells. A cell of more than ``most`` classes is cut
+    Of a class's shared cells, rarest first, it leaves the last p - d - 1, and all when it has no more: two similar classes
+    share p - d or more, so the rarest that they share is in what either keeps. With ``only``, it takes part in so many of
+    these cells. A cell of more than ``most`` classes is cut
     into packs; each pair of packs is a key of its own.
     """
 
@@ -349,14 +354,17 @@ def _decide(buckets: int, most: int, only: int | None = None):
             return
         order = np.argsort(known)
         known, comp, size, sketch = known[order], comp[order], size[order], sketch[order]
+        weight, cnt = cnt >> _COUNT_BITS, cnt & (1 << _COUNT_BITS) - 1
         order = np.lexsort((cell, cnt, cls))
-        cls, cell, cnt, slack = cls[order], cell[order], cnt[order], slack[order]
+        cls, cell, cnt, slack, weight = cls[order], cell[order], cnt[order], slack[order], weight[order]
         fresh = np.concatenate([[True], (cls[1:] != cls[:-1]) | (cell[1:] != cell[:-1])])
-        cls, cell, cnt, slack = cls[fresh], cell[fresh], cnt[fresh], slack[fresh]
+        cls, cell, cnt, slack, weight = cls[fresh], cell[fresh], cnt[fresh], slack[fresh], weight[fresh]
         starts, sizes = runs(cls)
-        heavy = np.add.reduceat((cnt > 0).astype(np.int64), starts)
-        spare = slack[starts + sizes - 1]  # the slack of a heavy entry, where there is one
-        keep = sizes - heavy + np.where(heavy > spare, heavy - np.maximum(spare, 0), 0)
+        total = np.add.reduceat(weight, starts)
+        upto = np.cumsum(weight)
+        before = upto - weight - np.repeat(upto[starts] - weight[starts], sizes)
+        inside = before < np.repeat(total - np.maximum(slack[starts], 0), sizes)
+        keep = np.add.reduceat(inside.astype(np.int64), starts)  # the first so many of each class
         if only is None:
             at = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep) + np.repeat(starts, keep)
         else:  # so many of them, at even distances
