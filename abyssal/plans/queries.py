@@ -17,7 +17,7 @@ from abyssal.operators import preflight as P
 from abyssal.operators import tiling as T
 from abyssal.operators import validation as V
 from abyssal.sources import aaigrid as S
-from abyssal.sources import ctd
+from abyssal.sources import ctd, geotiff
 from abyssal.plans.fixtures import GRID, NCOLS, NROWS, load, with_tables
 from abyssal.session import scratch
 from abyssal.streaming import tiles as Z
@@ -484,6 +484,15 @@ def ascii_grid_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_grids(spark, path, parts=True).drop("path")
 
 
+@query(_TILES.rstrip() + """, b as (select tile_id, min(row) as r0, max(row) as r1, min(col) as c0, max(col) as c1 from tiles group by tile_id)
+select cast(b.tile_id as int) as tile_id, cast(-1000 as double) + (c + cast(0.5 as double)) * 25 as x, cast(500 as double) - (r + cast(0.5 as double)) * 25 as y, z from b join range(120) p(r) on r between r0 and r1 join range(125) q(c) on c between c0 and c1 left join tiles t on t.tile_id = b.tile_id and t.row = r and t.col = c""", "bathy_raster")
+def geotiff_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster's tiles written as GeoTIFFs and read again."""
+    path = scratch(spark, "tiff")
+    geotiff.write_tiles(_tiles(spark, sf_dir), path, -1000.0, 500.0, 25.0)
+    return geotiff.read_tiles(spark, path).select(F.regexp_extract("path", "tile_id=([0-9]+)", 1).cast("int").alias("tile_id"), "x", "y", "z")
+
+
 @query("select n_name as bathymetry, r_name as variable from nation, region")
 def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").select(F.col("n_name").alias("bathymetry")).crossJoin(F.broadcast(load(spark, sf_dir, "region").select(F.col("r_name").alias("variable"))))  # job lists

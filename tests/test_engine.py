@@ -569,3 +569,38 @@ def test_plots_are_pixels(spark, tmp_path):
     at = data.index(b"IDAT")
     body = zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]])
     assert len(body) == 110 and body[1 + 9] != 255 and body[99 + 1] != 255 and body.count(255) == 98
+
+
+def test_geotiffs_round_trip_and_windows(spark, tmp_path):
+    import struct
+
+    from abyssal.sources import geotiff
+
+    rng = np.random.default_rng(5)
+    z = np.round(rng.normal(0, 100, (70, 45)), 3)
+    z[rng.random(z.shape) < 0.2] = np.nan
+    f = geotiff.File(geotiff.encode(z, -10.0, 20.0, 0.5, side=16))
+    got = np.full(z.shape, -1.0)
+    for r, c, v in f.blocks():
+        got[r, c] = v
+    assert np.array_equal(got, z, equal_nan=True) and (f.left, f.top, f.dx, f.nodata, f.read) == (-10.0, 20.0, 0.5, -9999.0, 15)
+    f.read = 0
+    part = {(r, c): v for rr, cc, vv in f.blocks((17, 20, 10, 8)) for r, c, v in zip(rr.tolist(), cc.tolist(), vv.tolist())}
+    assert f.read == 1 and set(part) == {(r, c) for r in range(17, 27) for c in range(20, 28)}
+    # strips of short integers in the other byte order, as other writers leave them
+    whole = np.arange(12, dtype=">i2").reshape(4, 3)
+    tags = [(256, 3, 3), (257, 3, 4), (258, 3, 16), (259, 3, 1), (273, 4, 8 + 2 + 12 * 8 + 4), (277, 3, 1), (279, 4, 24), (339, 3, 2)]
+    plain_tiff = b"MM\0*" + struct.pack(">IH", 8, len(tags)) + b"".join(struct.pack(">HHIHH", t, k, 1, v, 0) if k == 3 else struct.pack(">HHII", t, k, 1, v) for t, k, v in tags) + struct.pack(">I", 0) + whole.tobytes()
+    other = np.zeros((4, 3))
+    for r, c, v in geotiff.File(plain_tiff).blocks():
+        other[r, c] = v
+    assert (other == whole).all()
+    cells = [(t, r, c, None if (r + c) % 5 == 0 else float(t * 100 + r * 10 + c)) for t in (3, 4) for r in range(2, 9) for c in range(4 * t, 4 * t + 4) if (r, c) != (5, 13)]
+    geotiff.write_tiles(spark.createDataFrame(cells + cells[:2], "tile_id int, row int, col int, z double"), str(tmp_path / "g"), 100.0, 50.0, 2.0)
+    back = geotiff.read_tiles(spark, str(tmp_path / "g")).collect()
+    want = {(100.0 + 2 * (c + 0.5), 50.0 - 2 * (r + 0.5)): z for _, r, c, z in cells} | {(127.0, 39.0): None}
+    assert {(r.x, r.y): r.z for r in back} == want and len(back) == 56
+    assert geotiff.read_tiles(spark, str(tmp_path / "g"), (0, 0, 2, 3)).count() == 12
+    (tmp_path / "g" / "no.tif").write_bytes(b"no tiff at all")
+    with pytest.raises(Exception, match="not a GeoTIFF"):
+        geotiff.read_tiles(spark, str(tmp_path / "g")).collect()
