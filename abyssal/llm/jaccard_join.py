@@ -384,8 +384,8 @@ def _decide(buckets: int, most: int, only: int | None = None):
     return run
 
 
-def _odd(num: int, light: int, nearest: int | None = None):
-    """Pairs of a cell's classes in different components that sizes and sketches allow.
+def _odd(num: int, light: int, buckets: int, nearest: int | None = None):
+    """Pairs of a cell's classes in different components that sizes and sketches allow, packed and dealt by pair.
 
     In small groups all across components, in others those outside the main component with all. ``nearest``: for each class
     only the so many of nearest sketch.
@@ -419,7 +419,7 @@ def _odd(num: int, light: int, nearest: int | None = None):
             if len(i):
                 out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1))
             if sum(map(len, out)) > 200_000:
-                yield _pairs(out)
+                yield _pairs(out, buckets)
                 out.clear()
 
         small = np.repeat(mixed & (sizes <= light), sizes)
@@ -438,14 +438,29 @@ def _odd(num: int, light: int, nearest: int | None = None):
                 lo, hi = np.searchsorted(100 * n, num * n[i], "left"), np.searchsorted(num * n, 100 * n[i], "right")
                 yield from add(*allowed(np.full(hi - lo, a + i), np.arange(a + lo, a + hi), comp, size, sketch))
         if out:
-            yield _pairs(out)
+            yield _pairs(out, buckets)
 
     return run
 
 
-def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
-    found = np.unique(np.concatenate(parts), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs without repeats."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    return a[fresh], b[fresh]
+
+
+def _pairs(parts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    both = np.concatenate(parts)
+    a, b = _once(both[:, 0], both[:, 1])
+    return dealt(bucket_of(mix(a.view(U64) ^ mix(b.view(U64))), buckets), [a, b], ["a", "b"])
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed pairs of whole buckets -> a row per pair: one that shares many cells is met in as many tasks."""
+    a, b = _once(*gathered(batches, [np.int64, np.int64]))
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _close(num: int):
@@ -546,7 +561,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         known = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "short")
         known = known.mapInArrow(tidy(_known(buckets)), f"bucket int, {entry}").select("bucket", F.lit(1).alias("kind"), *_ENTRY)
         met = entries.union(known).repartition(buckets, "bucket").mapInArrow(tidy(_decide(buckets, pack, only)), "bucket int, key binary, cls binary, comp binary, size binary, sketch binary")
-        pairs = met.repartition(buckets, "bucket").mapInArrow(tidy(_odd(percent, light, nearest)), "a long, b long").distinct()
+        pairs = met.repartition(buckets, "bucket").mapInArrow(tidy(_odd(percent, light, buckets, nearest)), "bucket int, a binary, b binary")
+        pairs = pairs.repartition(buckets, "bucket").mapInArrow(tidy(_distinct), "a long, b long")
         links = links.union(_linked(pairs, reps, texts, percent, k))
     return members, links
 
