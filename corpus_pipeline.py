@@ -65,7 +65,7 @@ STAGES = [
     ("byte_bpe", tokenise),
 ]
 
-#: The classifier and the join are not SQL. A test compares all pairs at the near-copy stage and checks invariants of the others.
+#: The classifier and the join are not SQL. A test compares all stages with a plain version, row for row.
 ORACLE_SQL = None
 
 
