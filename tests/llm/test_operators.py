@@ -511,16 +511,21 @@ def test_fingerprints(docs, none, spark):
 
 def test_fingerprints_of_null_and_repeated_ids(spark):
     """Many null ids are cut into ranges of their own; each row still has one successor."""
-    data = [(None, prose(random.Random(i), 30)) for i in range(60)] + [(i, prose(random.Random(i), 20)) for i in range(20)] + [(7, "again"), (7, "again")]
+    data = [(None, prose(random.Random(i), 30)) for i in range(60)] + [(i, prose(random.Random(1000 + i), 20)) for i in range(20)] + [(7, "again"), (7, "again")]
     got = fingerprints.successions(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
     assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in data)
-    # every text is the edited tail of exactly one row: a ring
-    tails = Counter()
-    for r in got:
-        tails[r.edited_sha256] += 1
-    order = sorted(data, key=lambda x: (x[0] is None, x[0] or 0))
-    ids = [i for i, _ in order]
-    assert ids[:20] and len(got) == len(data) and sum(tails.values()) == len(data)
+    # each row's edited text shows its successor: every row is that of one, and ids go up to the nulls
+    next_of = {}
+    for i, t in data:
+        h = len(t) // 2
+        next_of.setdefault((i, len(t)), []).append({hashlib.sha256((t[: len(t) - h] + u[:h]).encode()).hexdigest(): (j, u) for j, u in data})
+    found = [(r.doc_id, r.n_chars, [m[r.edited_sha256] for m in next_of[r.doc_id, r.n_chars] if r.edited_sha256 in m]) for r in got]
+    assert all(hits for _, _, hits in found)
+    after = Counter(hits[0] for _, n, hits in found if n > 5)  # the two short rows show too little of theirs
+    assert len(data) - 2 == sum(after.values()) and not after - Counter(data)
+    place = {i: n for n, i in enumerate([*range(20), None])}
+    assert all(place[j] - place[i] in (0, 1) for i, n, hits in found if n > 5 and i is not None for j, _ in hits[:1])
+    assert sum(i is None and hits[0][0] is not None for i, n, hits in found if n > 5) == 1  # the last one's is the first
 
 
 def test_words_and_shingles_follow_the_definition():
