@@ -42,7 +42,9 @@ def manifest(spark: SparkSession, out_dir: str) -> DataFrame:
     """(tile_id, failed, n, epoch) of all finished tiles; none before the first commit."""
     try:
         return spark.read.parquet(f"{out_dir}/manifest")
-    except AnalysisException:
+    except AnalysisException as e:
+        if (e.getCondition() or "") not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], "tile_id long, failed boolean, n long, epoch int")
 
 
