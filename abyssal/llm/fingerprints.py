@@ -6,8 +6,9 @@ length a loose one. The digests of the chunks, with their lengths, are the finge
 it only. Two fingerprints are compared by the length of the chunks they share: likeness is its share of the larger one,
 containment of one in another its share of the first.
 
-To compare a document with its successor by doc_id, rows are range-partitioned by bounds taken from doc_id quantiles, and
-the first row of each range is copied to the range before it: one shuffle of the texts, no window over all rows.
+To compare a document with its successor by doc_id, rows are dealt to ranges of (doc_id, text hash), found by binary search
+among bounds from a sample, and the first row of each range is copied to the range before it: one shuffle of the texts, no
+window over all rows.
 
 Defined results: a null or empty text has an empty fingerprint; two empty fingerprints have likeness 1, an empty one and
 another 0; null doc_ids come last; rows that repeat a doc_id follow each other in the order of their text's hash; a table
@@ -21,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abyssal.llm import textkit
@@ -118,33 +120,47 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fingerprint array<struct<digest: binary, length: int>>")
 
 
-def ranged(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = 32 << 20, most_ranges: int = 10_000) -> DataFrame:
-    """(b, look, id, text) in partitions by range bucket b, sorted; look = 1 marks the first row of the next range.
+def _range_of(bounds: list[tuple[int, int, int]]) -> Column:
+    """How many of the sorted bounds (is null, id, text hash) lie at or below a row (id, t): a binary search."""
+    if not bounds:
+        return F.lit(0)
+    flags, ids, hashes = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in zip(*bounds))  # folded once
+    own = F.struct(F.col("id").isNull().cast("bigint"), F.coalesce("id", F.lit(0)), F.col("t"))
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
 
-    Ranges have about ``range_bytes`` of text each, ``most_ranges`` at most; rows with null ids are cut by their text's hash. The
-    bounds, and which bucket follows which, are a few numbers per range on the driver.
+    def further(at: Column, step: Column) -> Column:
+        to = at + step - 1
+        return F.when((at + step <= len(bounds)) & (F.struct(F.get(flags, to), F.get(ids, to), F.get(hashes, to)) <= own), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
+def ranged(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = 32 << 20, most_ranges: int = 50_000, sampled: int = 20) -> DataFrame:
+    """(b, look, id, text) in partitions by range b of (id, text hash), sorted; look = 1 marks the first row of the next range.
+
+    Ranges have about ``range_bytes`` of text each, ``most_ranges`` at most. Their bounds come from a sample of about ``sampled``
+    keys a range, as Spark's own range partitioning has them; results do not depend on it. An id that many rows repeat, or null,
+    is cut by its texts' hashes. The first row of each range, and the range before it, are a broadcast table of a row per range.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n, size, nulls = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text")), F.count_if(F.col("id").isNull())).first()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min((size or 0) // range_bytes + 1, most_ranges))
-    ids = rows.select(F.col("id").cast("double").alias("d")).where("d is not null")
-    bounds = sorted(set(ids.approxQuantile("d", [i / parts for i in range(1, parts)], 1 / (20 * parts)))) if parts > 1 else []
-    held = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<double>")
-    cuts = max(1, round(parts * nulls / max(n, 1)))
-    by_hash = len(bounds) + 1 + F.least(F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * cuts), F.lit(cuts - 1))
-    bucket = F.when(F.col("id").isNull(), by_hash).otherwise(F.size(F.filter(held, lambda x: x <= F.col("id").cast("double"))))
-    rows = rows.withColumns({"b": bucket.cast("int"), "t": F.xxhash64("text")})
-    firsts = {r.b: r.first for r in rows.groupBy("b").agg(F.min(F.struct("id", "t")).alias("first")).collect()}  # a row per range
-    order = sorted(firsts)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    known = lambda values, kind: F.create_map(*[x for b in order for x in (F.lit(b), F.lit(values[b]).cast(kind))])[F.col("b")] if order else F.lit(None).cast(kind)
-    heads = F.col("id").eqNullSafe(known({b: x.id for b, x in firsts.items()}, "long")) & (F.col("t") == known({b: x.t for b, x in firsts.items()}, "long"))
+    keys = rows.select("id", "t").sample(min(1.0, sampled * parts / max(n, 1)), seed=10).collect() if parts > 1 else []
+    keys = sorted((int(r.id is None), r.id or 0, r.t) for r in keys)
+    bounds = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+    rows = rows.withColumn("b", _range_of(bounds))
+    firsts = rows.groupBy("b").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first"))
+    order = W.orderBy("b")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    firsts = firsts.select("b", "first", F.coalesce(F.lag("b").over(order), F.max("b").over(whole)).alias("before"))  # a row per range
+    rows = rows.join(F.broadcast(firsts), "b")
+    heads = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("look"))
-    copy = F.struct(known(before, "int").alias("b"), F.lit(1).alias("look"))
+    copy = F.struct(F.col("before").alias("b"), F.lit(1).alias("look"))
     rows = rows.withColumn("to", F.explode(F.when(heads, F.array(own, copy)).otherwise(F.array(own))))
     rows = rows.select("to.b", "to.look", "id", "t", "text")
-    return rows.repartition(max(1, len(order)), "b").sortWithinPartitions("b", "look", F.col("id").asc_nulls_last(), "t").select("b", "look", "id", "text")
+    return rows.repartitionById(len(bounds) + 1, F.col("b")).sortWithinPartitions("b", "look", F.col("id").asc_nulls_last(), "t").select("b", "look", "id", "text")
 
 
 def successions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ Targets: sources in code-point order, null last, weigh by a repeating pattern an
 size / weight, prefix sums of the capped ones.
 
 Defined results: null text has size 0; documents of size 0 are taken 0 words; a null source is a source of its own; a
-null doc_id hashes as the string 'null'; rows alike in doc_id and text are taken alike; an empty table gives no rows.
+null doc_id hashes by its text, so that many of them do not share one key; rows alike in doc_id and text are taken alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ def clean_share(text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(0.05), rest / n)).otherwise(F.lit(1.0))
 
 
-def sampling_key(id_: Column, weight: Column, seed: str = "mix") -> Column:
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_.cast("string"), F.lit("null")))), 1, 13)
+def sampling_key(id_: Column, weight: Column, otherwise: Column, seed: str = "mix") -> Column:
+    """-ln(u) / weight with u hashed from the id; from ``otherwise`` where it is null."""
+    name = F.coalesce(id_.cast("string"), F.concat(F.lit("null:"), otherwise.cast("string")))
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
@@ -64,7 +66,8 @@ def targets(stats: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), share: float
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
     """(row, _size, _source, _key, _id, _th); row holds the columns of docs."""
     text = F.col(text_col)
-    key = sampling_key(F.col(id_col), clean_share(text) if weight is None else F.greatest(F.lit(0.001), F.coalesce(weight, F.lit(0.001))))
+    weight = clean_share(text) if weight is None else F.greatest(F.lit(0.001), F.coalesce(weight, F.lit(0.001)))
+    key = sampling_key(F.col(id_col), weight, F.xxhash64(text))
     return docs.select(carried(docs).alias("row"), n_words(text).alias("_size"), F.col(source_col).alias("_source"), key.alias("_key"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"))
 
 

@@ -4,7 +4,8 @@ Each (key, shard) pair hashes to u in (0, 1); a record goes to the shard with th
 scores do not depend on the other shards, so one more shard only takes records, in proportion to its weight.
 
 Slots number a shard's records without gaps. A shard is cut into buckets by the record's hash, so that no task sorts a
-whole shard: buckets are counted, their counts prefix-summed, and slots are offset plus rank within the bucket.
+whole shard: buckets are counted, their counts prefix-summed, and slots are offset plus rank within the bucket. A key that
+many rows share, as null may be, is cut further by the texts' checksums.
 
 Defined results: a null text has no bytes and checksum 0; a null key hashes as 'null'; rows that repeat a key share its
 shard and have slots of their own; an empty table gives no rows; columns named like the outputs are replaced.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from abyssal.llm.common import carried
+from abyssal.llm.common import carried, materialise, small_or_plain
 
 _BUCKET_ROWS = 20_000
 
@@ -55,11 +56,25 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
 
 
 def with_slots(sharded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A gapless slot from 0 within each shard, in the order of (hash of the key, key, checksum)."""
+    """A gapless slot from 0 within each shard, in the order of (hash of the key, key, checksum).
+
+    A key with more than _BUCKET_ROWS rows is cut into pieces by the checksum. The table is read several times: pass one that
+    is written, or cheap to compute.
+    """
     total = sharded.groupBy(F.col("shard").alias("sh")).agg(F.ceil(F.count(F.lit(1)) / _BUCKET_ROWS).alias("nb"))
     hashed = F.conv(F.substring(F.md5(_key(id_col)), 1, 8), 16, 10).cast("long")
     rows = sharded.select(carried(sharded, ("slot",)).alias("row"), F.col("shard").alias("s"), hashed.alias("h"), F.col(id_col).alias("id"), F.col("text_crc32").alias("crc"))
     rows = rows.join(total, F.col("s") == F.col("sh")).withColumn("b", F.floor(F.col("h") * F.col("nb") / float(1 << 32)).cast("long")).drop("sh", "nb")
+    # keys that many rows share, as null may be: of the few overfull buckets, those alone are counted by key
+    full = rows.groupBy(F.col("s").alias("fs"), F.col("b").alias("fb")).count().where(F.col("count") > 4 * _BUCKET_ROWS).select("fs", "fb")
+    hot = rows.join(full, (F.col("s") == F.col("fs")) & (F.col("b") == F.col("fb"))).groupBy("s", "b", "h").count().where(F.col("count") > _BUCKET_ROWS)
+    hot = hot.groupBy(F.col("s").alias("hs"), F.col("b").alias("hb")).agg(F.collect_list(F.struct("h", F.ceil(F.col("count") / _BUCKET_ROWS).alias("cuts"))).alias("hot"))
+    hot = materialise(hot, "hot_keys")
+    rows = rows.join(small_or_plain(hot, hot.count(), 100_000), (F.col("s") == F.col("hs")) & (F.col("b") == F.col("hb")), "left")
+    cuts = F.get(F.filter("hot", lambda x: x["h"] == F.col("h")), F.lit(0)).getField("cuts")
+    below = F.when(F.col("hot").isNull(), 0).otherwise(2 * F.size(F.filter("hot", lambda x: x["h"] < F.col("h"))) + cuts.isNotNull().cast("int"))
+    piece = F.coalesce(F.floor(F.col("crc") * cuts / float(1 << 32)), F.lit(0)).cast("long")
+    rows = rows.select("row", "s", "h", "id", "crc", F.struct("b", below.alias("q"), piece.alias("p")).alias("b"))
     sums = rows.groupBy(F.col("s").alias("sh"), F.col("b").alias("sb")).agg(F.count(F.lit(1)).alias("n"))
     sums = sums.select("sh", "sb", (F.sum("n").over(W.partitionBy("sh").orderBy("sb")) - F.col("n")).alias("from"))
     rows = rows.withColumn("r", F.row_number().over(W.partitionBy("s", "b").orderBy("h", "id", "crc")) - 1)
@@ -70,7 +85,7 @@ def with_slots(sharded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def assignment(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """The contract's columns."""
     rows = shard(docs.select("doc_id", "text"), [1.0] * n_shards, [1.0] * (n_shards + 1)).drop("text")
-    return with_slots(rows).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return with_slots(materialise(rows, "sharded")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 #: The same in DuckDB: md5 gives the hash units, the largest -1 / ln(u) wins, ties to the lower shard. The checksum is

@@ -417,6 +417,31 @@ def test_sharding_weights(spark):
     assert 0.72 < n[1] / 20000 < 0.78
 
 
+def test_sharding_of_keys_that_many_rows_share(spark, monkeypatch):
+    """Slots stay gapless, and no bucket holds many rows, when null and one id fill most of the table."""
+    monkeypatch.setattr(sharding, "_BUCKET_ROWS", 20)
+    data = [(None, f"n {i}") for i in range(700)] + [(5, f"five {i}") for i in range(500)] + [(i, "x") for i in range(10, 400)]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sharding.assignment(table, 2).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t in data)
+    for s in range(2):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    hashed = lambda r: int(hashlib.md5(("null" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:8], 16)
+    assert all([hashed(r) for r in part] == sorted(hashed(r) for r in part) for part in (sorted((r for r in got if r.shard == s), key=lambda r: r.slot) for s in range(2)))
+    assert {(r.doc_id, r.text_crc32, r.slot) for r in got} == {(r.doc_id, r.text_crc32, r.slot) for r in sharding.assignment(table.repartition(5), 2).collect()}
+
+
+def test_mixing_of_null_ids_in_number(spark):
+    """Null ids have keys of their own texts: as many of them are taken as the target asks for."""
+    data = [(None, f"w{i} " * (i % 5 + 1), "hot") for i in range(900)] + [(i, "a b c", f"s{i % 4}") for i in range(600)]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix(table).collect()
+    assert len(got) == len(data)
+    mine = [r for r in got if r.doc_id is None]
+    assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(table.repartition(7)).collect()))
+
+
 def test_line_dedup(docs, none):
     seen, want = {}, []
     for key, text in sorted({(r[0] if r[0] is not None else 1 << 63, r[1]) for r in rows() if r[1] is not None}, key=lambda x: x[0]):
@@ -528,6 +553,25 @@ def test_fingerprints_of_null_and_repeated_ids(spark):
     assert sum(i is None and hits[0][0] is not None for i, n, hits in found if n > 5) == 1  # the last one's is the first
 
 
+def test_fingerprint_ranges_cut_an_id_that_many_rows_share(spark):
+    """Ranges follow (id, text hash), nulls last, each with the next one's first row; a repeated id has several."""
+    data = [(None, f"n{i}") for i in range(300)] + [(7, f"seven {i}") for i in range(500)] + [(i, f"t{i}") for i in range(-100, 200)]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = fingerprints.ranged(table, "doc_id", "text", range_bytes=500).collect()
+    own = [r for r in got if not r.look]
+    assert Counter((r.id, r.text) for r in own) == Counter(data)
+    ranges = {}
+    for r in got:
+        ranges.setdefault(r.b, []).append(r)
+    assert len({r.b for r in own if r.id == 7}) > 2 and len({r.b for r in own if r.id is None}) > 2
+    order = sorted(ranges)
+    place = lambda r: (r.id is None, r.id or 0)
+    assert [place(r) for b in order for r in ranges[b] if not r.look] == sorted(place(r) for r in own)
+    for b, after in zip(order, [*order[1:], order[0]]):
+        assert [(r.id, r.text) for r in ranges[b] if r.look] == [(ranges[after][0].id, ranges[after][0].text)]
+        assert ranges[b][-1].look
+
+
 def test_words_and_shingles_follow_the_definition():
     import pyarrow as pa
 
