@@ -154,22 +154,21 @@ def _meets(at: np.ndarray, poly: np.ndarray, count: np.ndarray, box: np.ndarray)
     return out
 
 
-def _first(leaves: Leaves, few: int, diagonal: float, middle: np.ndarray):
-    """(id, x, y, no, leaf, near) -> (id, x, y, no, leaf, v, w, need): need lists the leaves to look at, NULL where v is final; w is by distance."""
+def _first(leaves: Leaves, diagonal: float, middle: np.ndarray):
+    """(id, x, y, no, leaf, near) -> (id, x, y, no, leaf, v, need): need lists the leaves to look at, NULL where v is final."""
     total, ids, box = leaves.n, leaves.ids, leaves.box
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, d2, places, v = flat(batch.column(5))
             b = batch.num_rows
-            value, weighed = np.full(b, np.nan), np.full(b, np.nan)
+            value = np.full(b, np.nan)
             need: list = [None] * b
             starts = np.cumsum(sizes) - sizes
             xy = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)], 1)
             for m in np.unique(sizes[sizes > 0]).tolist():
                 rows = np.flatnonzero(sizes == m)
                 e = starts[rows][:, None] + np.arange(m)
-                weighed[rows] = by_distance(d2[e[:, :few]], v[e[:, :few]])
                 here = d2[e[:, 0]] == 0
                 value[rows[here]] = v[e[here, 0]]
                 rows, e = rows[~here], e[~here]
@@ -187,7 +186,7 @@ def _first(leaves: Leaves, few: int, diagonal: float, middle: np.ndarray):
                 value[rows[done]] = values(poly[done], count[done], s[done], v[e[done]], half[done])
                 for i, hit in zip(rows[left].tolist(), met):
                     need[i] = ids[hit].tolist() or None
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(value, from_pandas=True), pa.array(weighed, from_pandas=True), pa.array(need, pa.list_(pa.int64()))], names=["id", "x", "y", "no", "leaf", "v", "w", "need"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(value, from_pandas=True), pa.array(need, pa.list_(pa.int64()))], names=["id", "x", "y", "no", "leaf", "v", "need"])
 
     return run
 
@@ -220,18 +219,18 @@ def _again(leaves: Leaves, diagonal: float, middle: np.ndarray):
             value[a + done] = values(poly[done], count[done], s[done], np.broadcast_to(v, (len(done), len(v))), half[done])
             for i in np.flatnonzero(new).tolist():
                 need[a + i] = np.union1d(looked, ids[met[i]]).tolist()
-        return pa.table([*[left[c] for c in ("id", "x", "y", "no", "leaf")], pa.array(value, from_pandas=True), left["w"], pa.array(need, pa.list_(pa.int64()))], names=["id", "x", "y", "no", "leaf", "v", "w", "need"])
+        return pa.table([*[left[c] for c in ("id", "x", "y", "no", "leaf")], pa.array(value, from_pandas=True), pa.array(need, pa.list_(pa.int64()))], names=["id", "x", "y", "no", "leaf", "v", "need"])
 
     return run
 
 
-def natural_of(near: DataFrame, leaves: Leaves, kind: str, few: int = 10) -> DataFrame:
-    """(id, x, y, no, v, w) from the rows of ``nearest_of``: v by natural neighbours, w by distance over the ``few`` nearest."""
-    out = f"id {kind}, x double, y double, no long, leaf long, v double, w double, need array<long>"
-    names = ["id", "x", "y", "no", "v", "w"]
+def natural_of(near: DataFrame, leaves: Leaves, kind: str) -> DataFrame:
+    """(id, x, y, v) from the rows of ``nearest_of``: v by natural neighbours."""
+    out = f"id {kind}, x double, y double, no long, leaf long, v double, need array<long>"
+    names = ["id", "x", "y", "v"]
     low, high = leaves.box[:, [0, 2]].min(0), leaves.box[:, [1, 3]].max(0)
     diagonal, middle = max(float(np.hypot(*(high - low))), 1e-300), (low + high) / 2
-    step = written(near.select("id", "x", "y", "no", "leaf", "near").mapInArrow(_first(leaves, few, diagonal, middle), out), "natural")
+    step = written(near.select("id", "x", "y", "no", "leaf", "near").mapInArrow(_first(leaves, diagonal, middle), out), "natural")
     done = None
     while True:
         part = step.where("need is null").select(*names)

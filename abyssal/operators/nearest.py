@@ -238,6 +238,14 @@ def nearest_of(targets: DataFrame, leaves: Leaves, n: int) -> DataFrame:
     return out
 
 
+def at_places(targets: DataFrame, solve) -> DataFrame:
+    """(id, x, y, v), a row per target row, from ``solve``: (id, x, y) of the different places, all with id 0 -> (id, x, y, v). Targets at one place are solved once."""
+    own = targets.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    places = own.where("x is not null and y is not null").select("x", "y").distinct()
+    solved = solve(places.select(F.lit(0).cast("long").alias("id"), "x", "y")).select("x", "y", "v")
+    return own.join(solved, ["x", "y"], "left").select("id", "x", "y", "v")
+
+
 def flat(near: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sizes, d2, places, values) of a column ``near``, entries of all rows one after another."""
     if isinstance(near, pa.ChunkedArray):

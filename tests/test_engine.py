@@ -207,6 +207,23 @@ def test_natural_neighbours_against_plain_cuts(spark):
     assert len(none) == len(places) + 1 and {r.v for r in none} == {None}
 
 
+def test_natural_neighbours_solve_a_place_once(spark, monkeypatch):
+    from abyssal.operators import natural, nearest
+
+    held = {}
+    keep = lambda df, name, write=nearest.written: held.setdefault(name, write(df, name))
+    monkeypatch.setattr(nearest, "written", keep)
+    monkeypatch.setattr(natural, "written", keep)
+    s = spark.createDataFrame([(36 * n + 6 * i + j, float(i), float(j), 2.0 * i - j + 100 * n) for n in range(30) for i in range(6) for j in range(6)], "sid long, x double, y double, v double")
+    places = [(0.5, 0.5), (2.25, 3.5), (4.0, 1.0), (7.0, 1.0)]
+    t = spark.createDataFrame([(n, *q) for n, q in enumerate(places * 5)], "id long, x double, y double")
+    got = {r.id: r.v for r in interpolation.natural_neighbour(t, s, 10).collect()}
+    want = [0.5, 1.0, 7.0, None]
+    assert len(got) == 20 and all(got[n] is None if want[n % 4] is None else got[n] == pytest.approx(want[n % 4]) for n in got)
+    assert held["targets"].count() == 4 and held["samples"].count() == 36  # a row for each place
+    assert held["natural"].where("need is not null and x < 6").count() == 0  # copies of near samples do not hide the others
+
+
 def test_tension_basis():
     # K0(1) = 0.42102, K0(0.1) = 2.42707
     for x, k0 in ((1.0, 0.4210244382), (0.1, 2.4270690247)):
