@@ -77,6 +77,13 @@ class Tree:
         return np.where(good, -1 - at, -1)
 
 
+def tree_of(rows: DataFrame, n: int, per: float) -> Tree:
+    """The tree of n rows (x, y), a written table, with about ``per`` of them in a leaf; its cuts come from a bounded sample."""
+    share = min(1.0, _PLACES / max(n, 1))
+    some = rows.select("x", "y").sample(share, 7) if share < 1 else rows.select("x", "y")
+    return Tree(np.array([tuple(r) for r in some.collect()], float).reshape(-1, 2), max(per * share, 1.0))
+
+
 def _xy(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (i, i + 1)], 1)
 
@@ -93,9 +100,7 @@ class Leaves:
         rows = written(rows, "samples")
         self.n = rows.count()
         per = max(per, self.n // (_LEAVES // 2))
-        share = min(1.0, _PLACES / max(self.n, 1))
-        some = rows.select("x", "y").sample(share, 7) if share < 1 else rows.select("x", "y")
-        self.tree = tree = Tree(np.array([tuple(r) for r in some.collect()], float).reshape(-1, 2), max(per * share, 1.0))
+        self.tree = tree = tree_of(rows, self.n, per)
 
         def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -121,8 +126,13 @@ class Leaves:
 
     def apart(self, boxes: np.ndarray) -> np.ndarray:
         """Distances of boxes (x0, x1, y0, y1) from those of the leaves, a row each."""
-        gap = lambda i: np.maximum(np.maximum(boxes[:, None, i] - self.box[None, :, i + 1], self.box[None, :, i] - boxes[:, None, i + 1]), 0.0)
-        return np.hypot(gap(0), gap(2))
+        return gaps(boxes, self.box)
+
+
+def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of boxes (x0, x1, y0, y1) from others, a row for each of the first."""
+    gap = lambda i: np.maximum(np.maximum(a[:, None, i] - b[None, :, i + 1], b[None, :, i] - a[:, None, i + 1]), 0.0)
+    return np.hypot(gap(0), gap(2))
 
 
 def unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

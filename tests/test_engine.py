@@ -262,6 +262,22 @@ def test_lag_sums_are_those_of_all_pairs(spark):
         assert np.allclose([x[:2] for x in got], [x[:2] for x in want])
 
 
+def test_variogram_sends_places_not_samples(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(interpolation, "written", lambda df, name, write=interpolation.written: held.setdefault(name, write(df, name)))
+    rng = np.random.default_rng(2)
+    p, v = rng.integers(0, 40, (3000, 2)) / 4, rng.normal(50, 1, 3000)
+    s = spark.createDataFrame([(i, float(x), float(y), float(z)) for i, ((x, y), z) in enumerate(zip(p, v))], "sid long, x double, y double, v double")
+    i, j = np.triu_indices(len(p), 1)
+    d, g = np.hypot(*(p[i] - p[j]).T), (v[i] - v[j]) ** 2 / 2
+    some = (d > 0) & (d <= 2.3)
+    lag = np.minimum((d[some] * (5 / 2.3)).astype(int), 4)
+    got = interpolation.lag_sums(s, 2.3, 5, 4)
+    assert [x[2] for x in got] == np.bincount(lag, minlength=5).tolist()
+    assert np.allclose([x[0] for x in got], np.bincount(lag, d[some])) and np.allclose([x[1] for x in got], np.bincount(lag, g[some]))
+    assert held["variogram_places"].count() == len(np.unique(p, axis=0)) < 1601 and held["variogram_leaves"].count() <= 2 * 64
+
+
 def test_nearest_where_samples_are_dense_equal_or_absent(spark):
     rng = random.Random(4)
     places = [(rng.uniform(0, 5), rng.uniform(0, 5)) for _ in range(80)] + [(2.0, 2.0)] * 60 + [(rng.gauss(1, 0.001), 1.0) for _ in range(60)] + [(float(x), float(y)) for x in range(4) for y in range(4)]
