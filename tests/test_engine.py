@@ -230,6 +230,49 @@ def test_tension_basis():
         assert interpolation.tension(np.array([x]), 1.0)[0] == pytest.approx(-(math.log(x / 2) + 0.5772156649 + k0) / (2 * math.pi), abs=1e-8)
 
 
+def test_solvers_take_a_place_once(spark, monkeypatch):
+    from abyssal.operators import nearest
+
+    held = []
+    monkeypatch.setattr(nearest, "written", lambda df, name, write=nearest.written: held.append((name, write(df, name))) or held[-1][1])
+    rng = random.Random(12)
+    spots = [(rng.uniform(0, 5), rng.uniform(0, 5)) for _ in range(30)]
+    s = spark.createDataFrame([(n, *spots[n % 30], n % 7 + 0.5) for n in range(90)], "sid int, x double, y double, v double")
+    t = spark.createDataFrame([(n, *[(1.5, 2.0), (3.25, 3.0)][n % 2]) for n in range(40)], "id int, x double, y double")
+    for f in (interpolation.spline, interpolation.idw):
+        del held[:]
+        got = {r.id: r.v for r in f(t, s, 9).collect()}
+        assert len(got) == 40 and len(set(got.values())) == 2
+        assert dict(held)["targets"].count() == 2
+
+
+def test_systems_of_samples_at_one_place():
+    rng = np.random.default_rng(8)
+    p, v = rng.uniform(0, 3, (6, 2)), rng.normal(0, 1, 6)
+    p[3] = p[1]
+    parts = list(interpolation._merged(np.stack([p, rng.uniform(0, 3, (6, 2))]), np.stack([v, v])))
+    assert [(r.tolist(), q.shape, z.shape) for r, q, z in parts] == [([0], (1, 5, 2), (1, 5)), ([1], (1, 6, 2), (1, 6))]
+    # the least-norm solution of the whole system gives the same value
+    a = np.ones((7, 7))
+    a[:6, :6], a[6, 6] = interpolation.tension(interpolation._apart(p[None])[0], 0.1), 0
+    c = np.linalg.pinv(a) @ np.append(v, 0)
+    own, mean = parts[0][1][0], parts[0][2][0]
+    b = np.ones((6, 6))
+    b[:5, :5], b[5, 5] = interpolation.tension(interpolation._apart(own[None])[0], 0.1), 0
+    e = interpolation._linear(b[None], np.append(mean, 0)[None])[0]
+    at = np.array([1.0, 2.0])
+    far = lambda q: interpolation.tension(np.hypot(*(q - at).T), 0.1)
+    assert far(p) @ c[:6] + c[6] == pytest.approx(far(own) @ e[:5] + e[5], abs=1e-9)
+    one = np.eye(3)
+    both = interpolation._linear(np.stack([one * 2, np.ones((3, 3)), one]), np.ones((3, 3)))  # a singular one among others
+    assert np.allclose(both, [[0.5] * 3, [1 / 3] * 3, [1] * 3])
+    for x in (1e-7, 1e-3, 0.5, 1.9999, 2.0001, 5.0, 40.0):  # by the integral on a fine net
+        t = np.linspace(0, 24, 4801)
+        y = np.exp(-np.minimum(x * np.cosh(t), 700))
+        k0 = 0.005 * (y.sum() - y[0] / 2 - y[-1] / 2)
+        assert interpolation.tension(np.array([x]), 1.0)[0] == pytest.approx(-(math.log(x / 2) + 0.5772156649015329 + k0) / (2 * math.pi), rel=1e-9, abs=1e-13)
+
+
 def test_variogram_is_fitted(spark):
     rng = np.random.default_rng(1)
     p = rng.uniform(0, 20, (1500, 2))
