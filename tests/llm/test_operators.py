@@ -313,6 +313,18 @@ def test_passages_with_heavy_signatures(spark):
             assert min(r.start_word for r in got if r.doc_id == i) <= 10 + i % 9 + 2 and max(r.stop_word for r in got if r.doc_id == i) >= 10 + i % 9 + 68
 
 
+def test_heavy_rows_are_chained_over_their_edges(spark):
+    n = 9
+    columns = [np.full(n, 8, passages.U64), np.arange(n), 100 + np.arange(n), np.full(n, 3), 10 + np.arange(n), np.full(n, 90)]
+    columns = [c.astype(k) for c, k in zip(columns, passages._ENTRY_KINDS)]
+    found = passages._heavy(columns, 2)  # rows of two windows
+    rows = [(b"".join(x), h, f) for x, h, f in zip(zip(*(found.column(i).to_pylist() for i in range(1, 7))), found.column(7).to_pylist(), found.column(8).to_pylist())]
+    hot = spark.createDataFrame(rows, "windows binary, heavy long, first struct<id: long, th: long, c: long, l: long, r: long>").repartition(3)
+    met = passages._chained(hot).mapInArrow(passages._heavy_couples(20, 4), "bucket int, " + ", ".join(f"{c} binary" for c in passages._PAIR)).collect()
+    pairs = {(a, b) for r in met for a, b in zip(np.frombuffer(r["id"], np.int64).tolist(), np.frombuffer(r["fid"], np.int64).tolist())}
+    assert pairs == {(i, 0) for i in range(1, n)} | {(i, i - 1) for i in range(1, n)}
+
+
 def test_supported_windows():
     rng = np.random.default_rng(5)
     for _ in range(40):
