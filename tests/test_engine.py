@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -697,3 +698,17 @@ def test_geotiffs_round_trip_and_windows(spark, tmp_path):
     (tmp_path / "g" / "no.tif").write_bytes(b"no tiff at all")
     with pytest.raises(Exception, match="not a GeoTIFF"):
         geotiff.read_tiles(spark, str(tmp_path / "g")).collect()
+
+
+def test_points_travel_with_one_copy_of_their_place(spark):
+    frame = spark.createDataFrame([(1, "POLYGON ((0 0, 4 0, 4 4, 0 4))")], "id long, wkt string")
+    data = [(7, 1.0, 1.0, "a"), (8, 9.0, None, "b"), (9, -0.0, 2.0, "c")]
+    points = spark.createDataFrame(data, "no long, x double, y double, polygon string")
+    got = polygons.within(points, frame)
+    assert got.columns == ["no", "x", "y", "polygon"] and {tuple(r) for r in got.collect()} == {(7, 1.0, 1.0, 1), (8, 9.0, None, None), (9, -0.0, 2.0, 1)}
+    plan = got._jdf.queryExecution().analyzed().toString()
+    (held,) = set(re.findall(r"struct\([^)]*\) AS row#", plan))
+    assert "x#" not in held and "y#" not in held, held
+    assert {tuple(r) for r in polygons.within(points.select("x", "y"), frame).collect()} == {(1.0, 1.0, 1), (9.0, None, None), (-0.0, 2.0, 1)}
+    whole = points.selectExpr("no", "cast(x as int) as x", "cast(y as decimal(9,2)) as y")
+    assert dict(polygons.within(whole, frame).dtypes) == {"no": "bigint", "x": "int", "y": "decimal(9,2)", "polygon": "bigint"}
